@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_lsm, simhash, topk
+from . import exact_lsm, langid, sentencepiece_dropout, simhash, topk
 from .common import read_table
 
 
@@ -14,6 +14,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sentencepiece_dropout.encode(docs, dropout=0.1, seed=1, variants=4).withColumn("n_ids", F.size("ids").cast("long"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -25,6 +34,8 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_langid": op5_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_topk": op10_topk,
 }
