@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_lsm, langid, sentencepiece_dropout, simhash, topk
+from . import exact_lsm, langid, line_dedup, mixing, sentencepiece_dropout, simhash, topk
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_run=3)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return sentencepiece_dropout.encode(docs, dropout=0.1, seed=1, variants=4).withColumn("n_ids", F.size("ids").cast("long"))
@@ -27,6 +31,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), seed=1, repetition=2.0)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -34,13 +42,59 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_langid": op5_langid,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mixing": op8_mixing,
     "op10_topk": op10_topk,
 }
 
 ORACLES = {
+    "op3_line_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
+             w AS (SELECT doc_id, s - 1 AS s, list_slice(a, s, s + 2) AS w
+                   FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS s FROM d WHERE len(a) >= 3)),
+             o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM w),
+             g AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS line FROM o WHERE r > 1),
+             l AS (SELECT doc_id, unnest(a) AS x, unnest(range(0, len(a))) AS line FROM d),
+             k AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) AS text FROM l ANTI JOIN g USING (doc_id, line) GROUP BY l.doc_id),
+             c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.a) AS BIGINT) AS n_lines, coalesce(c.n, 0) AS n_removed, coalesce(k.text, '') AS text
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+    "op8_mixing": """
+        WITH RECURSIVE
+        c AS (SELECT doc_id, coalesce(source, '') AS source,
+                     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens,
+                     sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+        t AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total, count(*) AS n FROM c GROUP BY source),
+        k AS (SELECT i, max(share / z * all_tokens / total) <= 2.0 AS fits
+              FROM (SELECT i, total, pow(total, i / 1000000.0) AS share, sum(pow(total, i / 1000000.0)) OVER (PARTITION BY i) AS z,
+                           sum(total) OVER (PARTITION BY i) AS all_tokens
+                    FROM t, (SELECT unnest(range(0, 1001)) * 1000 AS i)) WHERE total > 0 GROUP BY i),
+        g AS (SELECT coalesce(min(i), 1000000) AS top FROM k WHERE fits),
+        f AS (SELECT i, max(share / z * all_tokens / total) <= 2.0 AS fits
+              FROM (SELECT i, total, pow(total, i / 1000000.0) AS share, sum(pow(total, i / 1000000.0)) OVER (PARTITION BY i) AS z,
+                           sum(total) OVER (PARTITION BY i) AS all_tokens
+                    FROM t, (SELECT unnest(range(greatest(0, top - 1000), top + 1)) AS i FROM g)) WHERE total > 0 GROUP BY i),
+        e AS (SELECT coalesce(min(i), 1000000) / 1000000.0 AS a FROM f WHERE fits),
+        s AS (SELECT source, total, CAST(ceil(n / 512.0) AS BIGINT) AS blocks,
+                     CASE WHEN total > 0 THEN CAST(floor(pow(total, a) / (SELECT sum(pow(total, a)) FROM t) * (SELECT sum(total) FROM t)) AS BIGINT) ELSE 0 END AS share
+              FROM t, e),
+        p AS (SELECT source, blocks, CASE WHEN total > 0 THEN share // total ELSE 1 END AS whole,
+                     share - CASE WHEN total > 0 THEN share // total ELSE 1 END * total AS rest FROM s),
+        o AS (SELECT c.doc_id, c.source, c.tokens, CAST('0x' || substr(h, 1, 8) AS BIGINT) % blocks AS block, substr(h, 9, 56) AS h
+              FROM c JOIN p USING (source)),
+        b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+        z AS (SELECT source, block, sum(tokens) AS size FROM o GROUP BY source, block),
+        x AS (SELECT source, block, size, whole, rest, unnest(range(1, whole + 2)) AS epoch FROM z JOIN p USING (source)),
+        y AS (SELECT *, sha256('1:' || epoch || ':' || source || ':' || block) AS turn FROM x),
+        r AS (SELECT *, row_number() OVER w AS block_rank, sum(size) OVER w - size AS done FROM y
+              WINDOW w AS (PARTITION BY source, epoch ORDER BY turn, block))
+        SELECT b.doc_id, b.source, b.tokens, CAST(r.epoch AS INTEGER) AS epoch, b.block, CAST(r.block_rank AS INTEGER) AS block_rank
+        FROM b JOIN r USING (source, block) WHERE r.epoch <= r.whole OR b.before < r.rest - r.done
+    """,
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
              g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
