@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_lsm, langid, line_dedup, mixing, pii, sentencepiece_dropout, simhash, topk
+from . import exact_lsm, langid, line_dedup, mixing, pii, sentencepiece_dropout, simhash, suffix_dedup, topk
 from .common import read_table
 
 
@@ -39,6 +39,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), seed=1, repetition=2.0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_langid": op5_langid,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk": op10_topk,
 }
 
