@@ -17,7 +17,7 @@ MEMTABLES = 4
 #: Groups of copies whose digests are broadcast (under 100 bytes each).
 BROADCAST_GROUPS = 500_000
 #: Distinct digests a filter of a run file is sized for.
-FILTER_DIGESTS = 1_000_000
+FILTER_DIGESTS = 20_000
 _RUN = T.StructType(
     [
         T.StructField("digest", T.LongType()),
