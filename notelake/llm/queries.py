@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_lsm, langid, line_dedup, mixing, pii, sentencepiece_dropout, simhash, suffix_dedup, topk
+from . import exact_lsm, langid, line_dedup, mixing, pii, quality_crf, sentencepiece_dropout, simhash, suffix_dedup, topk
 from .common import read_table
 
 
@@ -31,6 +31,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_lsm.exact_duplicates(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_langid": op5_langid,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
