@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounded training sample: documents a language, and characters a language in all.
 SAMPLE_DOCS = 400
@@ -235,3 +236,16 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     return rows.select("doc_id", "held_out", "text").mapInArrow(
         lambda it: _predictions(it, samples), f"doc_id {ids}, held_out boolean, lang_pred string, score double"
     )
+
+
+def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose language ``identify`` names, with all columns; ``und`` ones go."""
+    held_out = F.coalesce(fold(docs["doc_id"], folds) == held, F.lit(True))
+    rows = docs.select("doc_id", held_out.alias("held_out"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
+    samples = docs.sparkSession.sparkContext.broadcast(training_sample(rows.where(~F.col("held_out")).select("doc_id", "text", "lang")))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
+    schema = T.StructType(
+        [whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    )
+    named = whole.mapInArrow(lambda it: _predictions(it, samples), schema)
+    return named.where(F.col("lang_pred") != UNKNOWN).select("row.*")
