@@ -167,4 +167,4 @@ def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that keep their group, with all columns; of repeated rows all stay."""
     found = exact_duplicates(docs, keep)
     heads = materialize(found.where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(heads.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

@@ -152,5 +152,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     uses = mix(docs, **options).groupBy("doc_id").agg(F.max("epoch").alias("copies"))
     times = materialize(uses.select(F.col("doc_id").alias("used_id"), "copies"), "uses")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    joined = docs.select(docs["doc_id"].cast("long").alias("own_id"), row).join(times, F.col("own_id").eqNullSafe(F.col("used_id")))
+    joined = docs.select(docs["doc_id"].cast("long").alias("own_id"), row).join(times.hint("merge"), F.col("own_id").eqNullSafe(F.col("used_id")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("row.*")

@@ -198,4 +198,4 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """Rows of ``docs`` whose document is the smallest of its component; of repeated rows all stay."""
     groups = near_duplicates(docs, shingle, distance)
     heads = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "heads")
-    return docs.join(heads, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(heads.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

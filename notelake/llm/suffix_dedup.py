@@ -273,7 +273,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     open_grams = grams.where("least = 1 and m > 1").select("gram", (F.col("m") > SORT_LIMIT).alias("hot"))
     todo = classes.join(open_grams, "gram").select("r.d", "r.k", F.struct("gram", "hot", (F.col("c") == 1).alias("single"), "r.p", "r.s0", "r.s1").alias("x"))
     per_doc = materialize(todo.groupBy("d", "k").agg(F.collect_list("x").alias("todo")), "open")
-    texts = rows.select("d", "k", "raw").join(per_doc, ["d", "k"]).select("d", "k", "raw", "todo")
+    texts = rows.select("d", "k", "raw").join(per_doc.hint("merge"), ["d", "k"]).select("d", "k", "raw", "todo")
     detail = materialize(texts.mapInArrow(_detail_rows, _DETAIL), "detail")
 
     few = detail.where("not hot").select("gram", "single", "d", "k", "p", "s0", "s1", "left", "right")
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty result.
     """
     ranges = repeated_ranges(docs)
-    rows = keyed(docs).join(ranges, ["d", "k"], "left").select("doc_id", "raw", "ranges")
+    rows = keyed(docs).join(ranges.hint("merge"), ["d", "k"], "left").select("doc_id", "raw", "ranges")
     return rows.mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
