@@ -76,7 +76,7 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     lines = F.split(F.col("t"), "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     kept = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
-    return rows.join(per_doc, ["d", "k"], "left").select(
+    return rows.join(per_doc.hint("merge"), ["d", "k"], "left").select(
         "doc_id",
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
