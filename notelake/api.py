@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,14 @@ class Vault:
     def search(self, query: str, strategy: str = "") -> DataFrame:
         """Merged results in the order of strategies; neither sorted nor cut."""
         steps = [router.Step(strategy, {"query": query})] if strategy else router.route(query, self.chat).steps
-        found = [r for r in (self._strategy(s, query) for s in steps) if r is not None]
+        found = []
+        for step in steps:
+            try:
+                rows = self._strategy(step, query)
+            except (TypeError, AttributeError, yaml.YAMLError):  # an unreadable base contributes nothing
+                continue
+            if rows is not None:
+                found.append(rows)
         if not found:
             found = [search.text_strategy(self.raw.limit(0), "a")]
         return search.merge(found)
