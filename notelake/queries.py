@@ -47,15 +47,10 @@ def _base(filters: list[str], logic: str = "and", columns=("file.name", "lang",
 _BASE_ROW = "path AS _path, title AS file_name, lang, 'q' || quality AS quality"
 
 
-@registered(f"WITH {{DV}} SELECT {_BASE_ROW}, CAST(row_number() OVER (ORDER BY coalesce('q' || quality, '') DESC, title, path) AS INTEGER) AS place "
-            "FROM dv WHERE source = 'src0' AND lang = 'en'")
+@registered(f"WITH {{DV}} SELECT {_BASE_ROW} FROM dv WHERE source = 'src0' AND lang = 'en' ORDER BY coalesce('q' || quality, '') DESC, title, path")
 def base_filter_sort(spark, sf_dir):
     base = _base(['file.folder == "src0"', 'lang == "en"'], sort=[("quality", "DESC"), ("file.name", "ASC")])
-    from pyspark.sql import Window
-
-    rows = bases.resolve(base, _notes(spark, sf_dir))
-    view = base.views[0]
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*bases.sort_keys(view.sort, view.columns), "_path")))
+    return bases.resolve(base, _notes(spark, sf_dir))
 
 
 @registered(f"WITH {{DV}} SELECT {_BASE_ROW} FROM dv WHERE source = 'src1' OR ('q' || quality) = 'q0'")
@@ -83,15 +78,13 @@ def base_contains(spark, sf_dir):
     return bases.resolve(_base(["file.name contains _1", "file.tags contains FR"]), _notes(spark, sf_dir))
 
 
-@registered("""SELECT c_name AS file_name, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation,
-  CAST(row_number() OVER (ORDER BY c_mktsegment DESC, CAST(c_nationkey AS VARCHAR), c_name) AS INTEGER) AS place FROM customer""")
+@registered("""SELECT c_name AS file_name, c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer
+  ORDER BY c_mktsegment DESC, CAST(c_nationkey AS VARCHAR), c_name""")
 def base_multi_key_desc(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = _read(spark, sf_dir, "customer")
     rows = c.select(F.col("c_name").alias("file_name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
     keys = bases.sort_keys([("segment", "DESC"), ("nation", "ASC"), ("absent", "ASC")], ["segment", "nation"])
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*keys, "file_name")))
+    return rows.orderBy(*keys, "file_name")
 
 
 def _fm(name, value, op, test):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -128,9 +127,6 @@ def tree(files: DataFrame, path: str = "", depth: int = 3) -> DataFrame:
     return rows.groupBy("path", "depth", "parent", "type").agg(F.count("*").alias("n_files")).orderBy("path")
 
 
-EMPTY_NOTES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.StringType())])
-
-
 def derived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)`` notes made from the documents and labels tables."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
