@@ -177,3 +177,45 @@ def render(rows: DataFrame, n: int = 50) -> str:
 
 def render_size(n_bytes: int) -> str:
     return f"{n_bytes / 1024:.1f} KB"
+
+
+# Text of the other calls. Rows are listings for people, so they are read to the driver.
+
+
+def render_listing(rows: DataFrame) -> str:
+    """A folder's entries, folders first marked by a slash, files with their size."""
+    line = lambda r: f"{r['name']}/" if r["is_dir"] else f"{r['name']} ({render_size(r['size'])})"
+    return "\n".join(line(r) for r in rows.orderBy("name").collect()) or "(empty)"
+
+
+def render_tree(rows: DataFrame) -> str:
+    """Folders and files indented by depth."""
+    shown = rows.orderBy("path").select(
+        F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.element_at(F.split("path", "/"), -1), F.when(F.col("type") == "directory", F.lit("/")).otherwise(F.lit("")))
+    )
+    return "\n".join(r[0] for r in shown.collect())
+
+
+def render_tags(rows: DataFrame) -> str:
+    """``#tag (n)`` by falling count, or one path a line for the notes of a tag."""
+    if "tag" not in rows.columns:
+        return "\n".join(r["path"] for r in rows.collect())
+    return "\n".join(f"#{r['tag']} ({r['n']})" for r in rows.collect())
+
+
+def render_note(note: DataFrame) -> str:
+    """A parsed note: path, the sections that aren't empty, and its body."""
+    r = note.first()
+    parts = [
+        ("Properties", [f"{e.k}: {e.v.str}" for e in r.fm]),
+        ("Tags", [" ".join(f"#{t}" for t in r.tags)] if r.tags else []),
+        ("Links", [", ".join(r.wikilinks)] if r.wikilinks else []),
+        ("Headers", [f"{'  ' * (h.level - 1)}{h.text} (line {h.line_number})" for h in r.headers]),
+    ]
+    head = [f"{r.path} ({r.line_count} lines)"]
+    return "\n\n".join(head + [name + ":\n" + "\n".join(lines) for name, lines in parts if lines] + [r.body])
+
+
+def render_rows(rows: DataFrame, n: int = 50) -> str:
+    """Rows of a view as ``name: value`` pairs, empty values left out."""
+    return "\n".join(" | ".join(f"{k}: {v}" for k, v in r.asDict().items() if v and k != "_path") for r in rows.limit(n).collect())

@@ -324,3 +324,13 @@ def test_debounce(spark):
     assert [(r.n_changes, r.n_paths) for r in got] == [(3, 2), (1, 1)]
     last = {(str(r.start)[-2:], r.path): r.change_type for r in changes.last_changes(df).collect()}
     assert last == {("00", "a"): "deleted", ("00", "b"): "modified", ("08", "a"): "created"}
+
+
+def test_rendering(lake):
+    assert api.render_listing(lake.ls("Files")) == f"Gamma.md ({len(NOTES['Files/Gamma.md']) / 1024:.1f} KB)\nMedia/"
+    assert api.render_tree(lake.tree("Files")).split("\n") == ["Gamma.md", "Media/", "  Alpha.md", "  Beta.md"]
+    assert api.render_tags(lake.tags()).split("\n")[0] == "#one (1)" and api.render_tags(lake.tags("two")) == "Files/Media/Alpha.md"
+    assert api.render_note(lake.read("Short.md")) == "Short.md (1 lines)\n\ntiny"
+    shown = api.render_note(lake.read("Files/Media/Alpha.md"))
+    assert "Tags:\n#one #two #three/four" in shown and "Headers:\nAlpha (line 12)" in shown
+    assert api.render_rows(lake.base_query("View.base")).split("\n")[1] == "file_name: Beta | status: Done"
