@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,3 +55,16 @@ def ascii_lower(c: Column) -> Column:
     """
     upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
+
+
+def hash_sample(ids: DataFrame, group: str, size: int) -> DataFrame:
+    """At most ``size`` rows of each group of ``ids(doc_id, h, <group>)``: those of least hash ``h``.
+
+    A group's count sets a threshold that about twice as many hashes pass, so that only those
+    rows, however large the group, meet in one task to be ranked.
+    """
+    counts = ids.groupBy(group).agg(F.count("*").alias("n"))
+    part = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    some = ids.join(counts, group).where(part * F.col("n") < 2.0 * size + 50).drop("n")
+    first = Window.partitionBy(group).orderBy(F.shiftrightunsigned("h", 1), "doc_id")
+    return some.withColumn("r", F.row_number().over(first)).where(F.col("r") <= size).drop("r")

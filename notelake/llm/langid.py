@@ -8,10 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import hash_sample
+
 #: Bounded training sample: documents a language, and characters a language in all.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
@@ -177,9 +179,7 @@ def training_sample(labelled: DataFrame) -> tuple[tuple[str, tuple[str, ...]], .
     Documents are taken in the order of a hash of their id, pieces from a hash-chosen place.
     """
     ids = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "lang", "h")
-    kept = chosen.distinct()
+    kept = hash_sample(ids, "lang", SAMPLE_DOCS).distinct()
     n = max(1, kept.select("lang").distinct().count())
     piece = max(20, min(SAMPLE_CHARS, SAMPLE_TOTAL // n) // SAMPLE_DOCS)
     room = F.greatest(F.lit(1), F.length("text") - piece)

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hash_sample, text_of
 from .langid import fold
 
 #: Bounded sample of labelled documents of each class that the field is fitted on.
@@ -194,10 +194,9 @@ def fit_field(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1)
     """Fit on a bounded, hash-ordered sample of labelled documents outside the held-out fold."""
     known = labels.where("quality is not null and doc_id is not null").groupBy(labels["doc_id"].cast("long").alias("doc_id"))
     marked = known.agg(F.max(F.col("quality").cast("int")).alias("label")).where(fold(F.col("doc_id"), folds) != held)
-    first = Window.partitionBy("label").orderBy("h", "doc_id")
     present = docs.select(docs["doc_id"].cast("long").alias("doc_id")).distinct()
-    ranked = marked.join(present, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(13))).withColumn("r", F.row_number().over(first))
-    chosen = ranked.where(F.col("r") <= SAMPLE_DOCS).select("doc_id", "label")
+    ids = marked.join(present, "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(13)))
+    chosen = hash_sample(ids, "label", SAMPLE_DOCS).select("doc_id", "label")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("raw"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "raw").mapInArrow(_feature_rows, "label int, bins binary, size binary")
     got = sorted(((r["label"], bytes(r["bins"]), bytes(r["size"])) for r in rows.collect()))
