@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segmented chunks a worker remembers, over all variants, before it starts afresh.
-CACHE = 600_000
+#: Segmented chunks, over all variants, of a generation; a worker remembers the last two generations.
+CACHE = 400_000
 #: Symbols of a chunk up to which the agenda is a plain list.
 SHORT = 40
 _M = (1 << 64) - 1
@@ -37,6 +37,44 @@ def _draws(keys: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)) ^ (h >> np.uint64(40))
 
 
+class PairTable:
+    """Merges in an open-addressing hash table that is probed for many pairs at once."""
+
+    def __init__(self, keys: np.ndarray, piece: np.ndarray, ranks: np.ndarray):
+        self.bits = max(10, int(len(keys) * 6).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.row = np.full(1 << self.bits, len(keys), np.int32)
+        self.piece = np.append(piece, -1).astype(np.int32)
+        self.rank = np.append(ranks, _FAR).astype(np.int32)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):
+            free = self.keys[at] == -1
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            put = first[free[first]]
+            self.keys[at[put]], self.row[at[put]] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, at = left[rest], (at[rest] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of ``keys``; the row past the last where a pair doesn't merge (also for keys under 0)."""
+        at = self._slot(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.row[at], np.int32(len(self.rank) - 1))
+        go = np.flatnonzero((seen != keys) & (seen != -1))
+        while len(go):
+            at[go] = (at[go] + 1) & (len(self.keys) - 1)
+            seen = self.keys[at[go]]
+            hit = seen == keys[go]
+            out[go[hit]] = self.row[at[go[hit]]]
+            go = go[~hit & (seen != -1)]
+        return out
+
+
 class Pieces:
     """A SentencePiece BPE vocabulary with byte fallback."""
 
@@ -54,6 +92,10 @@ class Pieces:
         self.scores = {self.texts[i]: sp.get_score(i) for i in normal}
         self.costs = {t: -s for t, s in self.scores.items()}
         self._pairs = None
+        self.char_ids = np.full(0x10000, -1, np.int32)
+        for t, i in self.ids.items():
+            if len(t) == 1 and ord(t) < 0xFFFF:
+                self.char_ids[ord(t)] = i
         self.bytes = [b""] * len(self.texts)
         for i in normal:
             self.bytes[i] = self.texts[i].replace(SPACE, " ").encode()
@@ -122,8 +164,8 @@ class Pieces:
                 out.append(known)
         return out
 
-    def pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys ``left id * vocabulary + right id`` of all merges, their piece and agenda rank."""
+    def pair_table(self) -> PairTable:
+        """All merges by ``left id * vocabulary + right id``, with their piece and agenda rank."""
         if self._pairs is None:
             size, order = len(self.texts), sorted({-s for s in self.scores.values()})
             rank = {c: r for r, c in enumerate(order)}
@@ -133,8 +175,7 @@ class Pieces:
                 for k in range(1, len(t))
                 if t[:k] in self.ids and t[k:] in self.ids
             ]
-            keys, piece, ranks = np.array(sorted(rows), np.int64).reshape(-1, 3).T
-            self._pairs = (np.ascontiguousarray(keys), np.append(piece, -1).astype(np.int32), np.append(ranks, _FAR).astype(np.int32))
+            self._pairs = PairTable(*np.array(rows, np.int64).reshape(-1, 3).T)
         return self._pairs
 
     def merge_many(self, chunks: list[str], dropout: float, keys: list[int]) -> list[bytes]:
@@ -144,32 +185,37 @@ class Pieces:
         are long or hold a character without a piece go one by one.
         """
         out: list[bytes] = [b""] * len(chunks)
-        ids = self.ids
         side: dict[int, list[int]] = {}
         for k, c in enumerate(chunks):
-            if len(c) <= SHORT and all(x in ids for x in c):
-                side.setdefault((len(c) + 3) // 4 * 4, []).append(k)
+            if len(c) <= SHORT:
+                side.setdefault(max(8, (len(c) + 3) // 4 * 4), []).append(k)
             else:
                 out[k] = self.merge(c, dropout, keys[k]).tobytes()
         for width, which in side.items():
             for at in range(0, len(which), 20_000):
                 part = which[at : at + 20_000]
-                symbols = np.full((len(part), width), -1, np.int32)
-                for r, k in enumerate(part):
-                    symbols[r, : len(chunks[k])] = [ids[x] for x in chunks[k]]
-                rows = self._merge_grid(symbols, int(dropout * 2.0**64), np.array([keys[k] for k in part], np.uint64))
-                for k, row in zip(part, rows, strict=True):
-                    out[k] = row
+                text = "".join([chunks[k].ljust(width, "\0") for k in part])
+                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, width)
+                symbols = self.char_ids[np.minimum(codes, len(self.char_ids) - 1)]
+                size = np.array([len(chunks[k]) for k in part])
+                known = ((symbols >= 0) | (np.arange(width) >= size[:, None])).all(axis=1)
+                symbols = np.where(np.arange(width) < size[:, None], symbols, np.int32(-1))[known]
+                for k in np.flatnonzero(~known):
+                    out[part[k]] = self.merge(chunks[part[k]], dropout, keys[part[k]]).tobytes()
+                which_known = np.flatnonzero(known)
+                key = np.array([keys[part[k]] for k in which_known], np.uint64)
+                for k, row in zip(which_known, self._merge_grid(symbols, int(dropout * 2.0**64), key), strict=True):
+                    out[part[k]] = row
         return out
 
     def _merge_grid(self, symbols: np.ndarray, limit: int, keys: np.ndarray) -> list[bytes]:
-        table, piece, ranks = self.pair_table()
-        size = len(self.texts)
+        table = self.pair_table()
+        piece, ranks, none = table.piece, table.rank, len(table.rank) - 1
+        size = np.int64(len(self.texts))
 
         def find(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            want = a.astype(np.int64) * size + b
-            at = np.minimum(np.searchsorted(table, want), len(table) - 1)
-            return np.where((table[at] == want) & (a >= 0) & (b >= 0), at, len(table))
+            want = np.where((a < 0) | (b < 0), np.int64(-2), a * size + b)
+            return table.find(want.ravel()).reshape(want.shape)
 
         n, width = symbols.shape
         done: list[bytes] = [b""] * n
@@ -204,7 +250,7 @@ class Pieces:
             skip = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > b[:, None]), width)
             start[g] = np.take_along_axis(start[g], skip, 1)
             drop = np.minimum(cells[:-1] + (cells[:-1] >= b[:, None]), width - 2)
-            for x, last in ((slot, len(table)), (agenda, _FAR)):
+            for x, last in ((slot, none), (agenda, _FAR)):
                 y = np.take_along_axis(x[g], drop, 1)
                 y[:, -1] = last
                 x[g] = y
@@ -242,6 +288,7 @@ class Encoder:
     def __init__(self, model: bytes, dropout: float, seed: int, variants: int):
         self.pieces, self.dropout, self.seed, self.variants = Pieces(model), dropout, seed, max(1, variants)
         self.seen: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         self.size = 0
         self.literal = array("i", (self.pieces.byte_ids[x] for x in SPACE.encode())).tobytes()
 
@@ -251,20 +298,27 @@ class Encoder:
     def encode_many(self, texts: list[str], variants: list[int]) -> list[bytes]:
         """The int32 ids of each text, as bytes."""
         if self.size >= CACHE:
-            for c in self.seen:
-                c.clear()
-            self.size = 0
+            self.older, self.seen, self.size = self.seen, [{} for _ in self.seen], 0
         split, new = [], [set() for _ in self.seen]
         for text, v in zip(texts, variants, strict=True):
             parts = [self.pieces.chunks(p.replace(" ", SPACE)) for p in (" " + text).split(SPACE)]
             split.append(parts)
             for p in parts:
                 new[v].update(p)
+        fresh, keys, bounds = [], [], [0]
         for v, chunks in enumerate(new):
-            cache = self.seen[v]
-            fresh = [c for c in chunks if c not in cache]
-            cache.update(zip(fresh, self.pieces.merge_many(fresh, self.dropout, [self._key(c, v) for c in fresh]), strict=True))
-            self.size += len(fresh)
+            cache, older = self.seen[v], self.older[v]
+            missing = [c for c in chunks if c not in cache]
+            cache.update({c: older[c] for c in missing if c in older})
+            mine = [c for c in missing if c not in cache]
+            fresh += mine
+            keys += [self._key(c, v) for c in mine]
+            bounds.append(len(fresh))
+            self.size += len(missing)
+        merged = self.pieces.merge_many(fresh, self.dropout, keys)
+        for v, cache in enumerate(self.seen):
+            mine = slice(bounds[v], bounds[v + 1])
+            cache.update(zip(fresh[mine], merged[mine], strict=True))
         out = []
         for parts, v in zip(split, variants, strict=True):
             cache = self.seen[v]
@@ -298,7 +352,7 @@ def _lists(parts: list[bytes]) -> pa.Array:
 
 
 #: Texts of one output batch, in characters.
-_BATCH_CHARS = 1_500_000
+_BATCH_CHARS = 4_000_000
 
 
 def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
