@@ -39,9 +39,9 @@ def _word_blocks(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash of a UTF-8 text, unsigned; zero for a text without words."""
-    counts, total, carry, any_full = np.zeros(BITS, np.int64), 0, [], False
+def shingle_hashes(raw: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of a text's word shingles, a bounded piece of text at a time; of a shorter text, of all its words."""
+    carry, any_full = [], False
     digest = xxhash.xxh64_intdigest
     for block in _word_blocks(raw):
         words = carry + block
@@ -53,14 +53,19 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         n = len(words) - shingle + 1
         spans = zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
-        cells = hashes.view(np.uint8).reshape(n, 8) + _BYTE_OFFSET
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, n)
+        carry, any_full = words[n:], True
+    if carry and not any_full:
+        yield np.array([digest(b" ".join(carry), seed)], np.uint64)
+
+
+def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """64-bit SimHash of a UTF-8 text, unsigned; zero for a text without words."""
+    counts, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(raw, shingle, seed):
+        cells = hashes.view(np.uint8).reshape(len(hashes), 8) + _BYTE_OFFSET
         counts += (np.bincount(cells.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
-        total, carry, any_full = total + n, words[n:], True
-    if not any_full:
-        if not carry:
-            return 0
-        return digest(b" ".join(carry), seed)
+        total += len(hashes)
     return int(np.packbits(counts * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
