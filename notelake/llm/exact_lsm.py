@@ -164,7 +164,15 @@ def _compared(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that keep their group, with all columns; of repeated rows all stay."""
+    """The rows of ``docs`` that keep their group, with all columns; of repeated rows all stay.
+
+    Rows are decided by doc_id and text: an id that carries several texts is judged text by text,
+    and rows without an id stay where no row of their group has one.
+    """
     found = exact_duplicates(docs, keep)
-    heads = materialize(found.where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(heads.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    heads = materialize(found.where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct(), "kept")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    sha = F.unhex(F.sha2(ascii_lower(text_of(docs)), 256))
+    keyed = docs.select(docs["doc_id"].cast("long").alias("own_id"), sha.alias("own_sha"), row)
+    same = keyed["own_id"].eqNullSafe(heads["kept_id"]) & (keyed["own_sha"] == heads["kept_sha"])
+    return keyed.join(heads.hint("merge"), same, "left_semi").select("row.*")
