@@ -114,6 +114,8 @@ def mix(
     found = solve([r["total"] for r in known], entropy, repetition, budget, cover)
 
     share = F.when(F.col("total") > 0, F.floor(found.weight(F.col("total")) * F.lit(found.budget)).cast("long")).otherwise(0)
+    if cover:  # the largest source's share is its total but for rounding
+        share = F.greatest(share, F.col("total"))
     whole = F.when(F.col("total") > 0, F.floor(share / F.greatest(F.col("total"), F.lit(1))).cast("int")).otherwise(1)
     plan = totals.select(
         "source", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"), whole.alias("whole"), (share - whole * F.col("total")).alias("rest")
