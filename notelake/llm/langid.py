@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,51 +9,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import ArrowUDFType
 
 from .common import hash_sample
+from .inttable import IntTable
 
 #: Bounded training sample: documents a language, and characters a language in all.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 60_000
 #: Characters over all languages together; many languages share it.
 SAMPLE_TOTAL = 600_000
-#: Symbols of the alphabet: white space and others, then the commonest letters.
-ALPHABET = 64
 #: Texts are parsed in blocks of this many symbols, each begun with a new phrase.
 BLOCK = 1024
 #: Symbols parsed side by side at once.
-BATCH_SYMBOLS = 4_000_000
+BATCH_SYMBOLS = 1_000_000
+#: Entries (4 bytes each) of the direct table of a model's commonest symbols; a hash table has the others.
+DIRECT = 1 << 24
 UNKNOWN = "und"
+#: Score under which ``keep_identified`` rejects a text.
+LEAST_SCORE = 0.5
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """1 at every code point that is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.int32, 0x110000)
+
+
 class Symbols:
-    """Maps lower-cased letters to small integers: 0 for all that is no letter, 1 for a rare letter."""
+    """Maps lower-cased letters to integers: 0 for all that is no letter, 1 for a letter that no
+    sample has, and from 2 on every letter of the samples, whatever its script, the commonest first."""
 
     def __init__(self, texts: list[str]):
-        seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        common = sorted(sorted(seen), key=lambda c: -seen[c])[: ALPHABET - 2]
-        self.table = np.array([chr(c).isalpha() for c in range(0x10000)], np.uint8)
-        for i, c in enumerate(sorted(common)):
-            if ord(c) < len(self.table):
-                self.table[ord(c)] = i + 2
-        self.size = len(common) + 2
+        seen, n = np.unique(np.concatenate([_codes(t) for t in texts]) if texts else np.empty(0, np.uint32), return_counts=True)
+        letter = _letters()[seen] > 0
+        self.seen = seen[letter][np.argsort(-n[letter], kind="stable")]
+        self.size = len(self.seen) + 2
+        self._table = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_table": None}
 
     def encode(self, text: str) -> np.ndarray:
-        codes = _codes(text)
-        out = self.table[np.minimum(codes, len(self.table) - 1)]
-        for i in np.flatnonzero(codes >= len(self.table)):
-            out[i] = chr(codes[i]).isalpha()
+        if self._table is None:
+            self._table = _letters().copy()
+            self._table[self.seen] = np.arange(2, self.size)
+        out = self._table[_codes(text)]
         keep = np.ones(len(out), bool)
         keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
         return out[keep]
 
 
-def _automaton(symbols: list[int]) -> tuple[list[dict[int, int]], int]:
+def _automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Suffix automaton: transitions of every state; state 0 is the root."""
     moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -81,41 +91,56 @@ def _automaton(symbols: list[int]) -> tuple[list[dict[int, int]], int]:
                     moves[p][c] = copy
                     p = link[p]
         last = new
-    return moves, len(moves)
+    return moves
 
 
-def _phrase_table(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transition table of the greedy parse, flat.
+class Model:
+    """The suffix automata of ``{language: texts}``, their states numbered through.
 
-    An entry is the next state, negative where the symbol starts a new phrase: at the root, and
-    where the state has no such transition and the longest match so far ends. The last row
-    repeats the root, so that a start of a phrase by an unseen symbol can be told from zero.
+    ``keys`` holds ``state * symbols + symbol`` of every transition that goes on with a phrase,
+    ``to`` its next state; ``starts`` holds the state after a phrase's first symbol by language
+    (its root where the language lacks the symbol). A model travels as these arrays; the hash
+    tables over them are made where it is used.
     """
-    moves, n = _automaton(symbols.tolist())
-    root = np.full(width, -n, np.int32)
-    for c, to in moves[0].items():
-        root[c] = -to
-    table = np.tile(root, (n + 1, 1))
-    rows = np.repeat(np.arange(1, n), [len(m) for m in moves[1:]])
-    cols = np.fromiter((c for m in moves[1:] for c in m), np.int64, len(rows))
-    table[rows, cols] = np.fromiter((t for m in moves[1:] for t in m.values()), np.int32, len(rows))
-    return table.ravel()
-
-
-class Model:
-    """Phrase tables per language, made from ``{language: texts}``."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         self.symbols = Symbols([t for k in self.langs for t in samples[k]])
-        self.tables, self.cost = [], []
-        for k in self.langs:
+        width, n = self.symbols.size, 0
+        self.cost, self.roots, keys, to = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        self.starts = np.zeros((len(self.langs), width), np.int32)
+        for j, k in enumerate(self.langs):
             joined = self.symbols.encode(" ".join(samples[k]))
-            self.tables.append(_phrase_table(joined, self.symbols.size))
+            moves = _automaton(joined.tolist())
             self.cost.append(float(np.log2(len(joined) + 2)))
+            self.roots.append(n)
+            self.starts[j] = n
+            for c, t in moves[0].items():
+                self.starts[j, c] = n + t
+            state = np.repeat(np.arange(n + 1, n + len(moves), dtype=np.int64), [len(m) for m in moves[1:]])
+            keys.append(state * width + np.fromiter((c for m in moves[1:] for c in m), np.int64, len(state)))
+            to.append(np.fromiter((t + n for m in moves[1:] for t in m.values()), np.int32, len(state)))
+            n += len(moves)
+        self.keys, self.to = np.concatenate(keys), np.append(np.concatenate(to), np.int32(-1))
+        self.states, self._tables = n, None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_tables": None}
+
+    def _next(self) -> tuple[np.ndarray, int, IntTable, np.ndarray]:
+        """A direct table of all states and the first symbols, its width, and a hash table of the rest."""
+        if self._tables is None:
+            width = max(2, min(self.symbols.size, DIRECT // max(1, self.states)))
+            state, c = np.divmod(self.keys, self.symbols.size)
+            direct = np.full(self.states * width, -1, np.int32)
+            near = c < width
+            direct[state[near] * width + c[near]] = self.to[:-1][near]
+            self._tables = direct, width, IntTable(self.keys[~near]), np.append(self.to[:-1][~near], np.int32(-1))
+        return self._tables
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of the greedy parse of each text by each language: ``(texts, languages)``."""
+        direct, near, table, far_to = self._next()
         owner, parts = [], []
         for i, t in enumerate(texts):
             for at in range(0, len(t), BLOCK):
@@ -126,17 +151,25 @@ class Model:
             return out
         size = np.array([len(p) for p in parts])
         order = np.argsort(-size, kind="stable")
-        grid = np.zeros((int(size.max()), len(parts)), np.uint8)
+        grid = np.zeros((int(size.max()), len(parts)), np.int32 if self.symbols.size > 255 else np.uint8)
         for j, k in enumerate(order):
             grid[: size[k], j] = parts[k]
         active = np.searchsorted(-size[order], -np.arange(len(grid)), side="left")
-        who, width = np.array(owner)[order], np.int32(self.symbols.size)
-        for j, table in enumerate(self.tables):
-            state, found = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int64)
+        who = np.array(owner)[order]
+        rare = (grid >= near).any(axis=1) if near < self.symbols.size else np.zeros(len(grid), bool)
+        for j, root in enumerate(self.roots):
+            state, found = np.full(len(parts), root, np.int32), np.zeros(len(parts), np.int64)
             for step, n in enumerate(active):
-                to = table.take(state[:n] * width + grid[step, :n])
-                found[:n] += to < 0
-                state[:n] = np.abs(to)
+                c = grid[step, :n]
+                if rare[step]:
+                    to = direct.take(state[:n] * near + np.minimum(c, near - 1))
+                    k = np.flatnonzero(c >= near)
+                    to[k] = far_to[table.find(state[k].astype(np.int64) * self.symbols.size + c[k])]
+                else:
+                    to = direct.take(state[:n] * near + c)
+                new = to < 0
+                found[:n] += new
+                state[:n] = np.where(new, self.starts[j].take(c), to)
             np.add.at(out[:, j], who, found)
         return out
 
@@ -163,11 +196,6 @@ class Model:
         return names, np.where(letter, score, 0.0)
 
 
-@lru_cache(maxsize=2)
-def _model(samples: tuple[tuple[str, tuple[str, ...]], ...]) -> Model:
-    return Model({k: list(v) for k, v in samples})
-
-
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
@@ -200,22 +228,33 @@ def training_sample(labelled: DataFrame) -> tuple[tuple[str, tuple[str, ...]], .
     return tuple(out)
 
 
-def _predictions(batches: Iterator[pa.RecordBatch], samples) -> Iterator[pa.RecordBatch]:
-    model = _model(samples.value)
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        at = 0
-        while at < batch.num_rows:
-            end, total = at, 0
-            while end < batch.num_rows and (end == at or total <= BATCH_SYMBOLS):
-                total += len(texts[end].as_py() or "")
-                end += 1
-            names, score = model.predict(texts.slice(at, end - at).to_pylist())
-            cols = [c.slice(at, end - at) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(names, pa.string()), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"]
-            )
-            at = end
+def _predictor(docs: DataFrame, folds: int, held: int):
+    """A function of text giving ``struct<lang_pred, score>``, learned from rows outside the held-out fold.
+
+    Only texts travel to the Python workers, and only names and scores come back.
+    """
+    learned = docs.where(F.coalesce(fold(docs["doc_id"], folds) != held, F.lit(False)))
+    picked = training_sample(learned.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    model = docs.sparkSession.sparkContext.broadcast(Model({k: list(v) for k, v in picked}))
+
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = model.value
+        for texts in batches:
+            names, scores, at = [], [], 0
+            while at < len(texts):
+                end, total, part = at, 0, []
+                while end < len(texts) and (end == at or total <= BATCH_SYMBOLS):
+                    part.append(texts[end].as_py())
+                    total += len(part[-1] or "")
+                    end += 1
+                name, score = known.predict(part)
+                names += name
+                scores.append(score)
+                at = end
+            score = pa.array(np.concatenate(scores) if scores else np.empty(0))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), score], names=["lang_pred", "score"])
+
+    return F.arrow_udf(predicted, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
@@ -229,23 +268,21 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     rows, a null doc_id counts as held out, other columns are ignored.
     """
     held_out = F.coalesce(fold(docs["doc_id"], folds) == held, F.lit(True))
-    rows = docs.select("doc_id", held_out.alias("held_out"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    learned = rows.where(~F.col("held_out")).select("doc_id", "text", "lang")
-    samples = docs.sparkSession.sparkContext.broadcast(training_sample(learned))
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text").mapInArrow(
-        lambda it: _predictions(it, samples), f"doc_id {ids}, held_out boolean, lang_pred string, score double"
-    )
+    predicted = _predictor(docs, folds, held)
+    rows = docs.select("doc_id", held_out.alias("held_out"), predicted(docs["text"].cast("string")).alias("p"))
+    return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose language ``identify`` names, with all columns; ``und`` ones go."""
-    held_out = F.coalesce(fold(docs["doc_id"], folds) == held, F.lit(True))
-    rows = docs.select("doc_id", held_out.alias("held_out"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
-    samples = docs.sparkSession.sparkContext.broadcast(training_sample(rows.where(~F.col("held_out")).select("doc_id", "text", "lang")))
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].cast("string").alias("text"))
-    schema = T.StructType(
-        [whole.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    )
-    named = whole.mapInArrow(lambda it: _predictions(it, samples), schema)
-    return named.where(F.col("lang_pred") != UNKNOWN).select("row.*")
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, folds: int = 4, held: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose language ``identify`` names with a score of ``least`` or more.
+
+    All columns stay, and ``lang`` becomes the predicted language. Rows with null, empty or
+    letterless texts go (they are ``und``), and so do texts that fit several languages alike. Repeated rows
+    are judged alike, a null doc_id doesn't matter, an empty table gives an empty result.
+    """
+    predicted = _predictor(docs, folds, held)
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    named = docs.select(row, predicted(docs["text"].cast("string")).alias("p"))
+    kept = named.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least))
+    kind = docs.schema["lang"].dataType
+    return kept.select(*[F.col("p.lang_pred").cast(kind).alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])

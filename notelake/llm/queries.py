@@ -24,7 +24,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return sentencepiece_dropout.encode(docs, dropout=0.1, seed=1, variants=4).withColumn("n_ids", F.size("ids").cast("long"))
+    return sentencepiece_dropout.encode(docs, dropout=0.1, seed=1).withColumn("n_ids", F.size("ids").cast("long"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

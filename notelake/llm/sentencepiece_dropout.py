@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -11,68 +10,49 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .inttable import IntTable
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Segmented chunks, over all variants, of a generation; a worker remembers the last two generations.
-CACHE = 400_000
-#: Symbols of a chunk up to which the agenda is a plain list.
+#: Symbols of the longest chunk that is merged side by side with others, grid widths, and chunks of a grid.
 SHORT = 40
+WIDTHS = (4, 6, 8, 10, 12, 16, 24, SHORT)
+ROWS = 16_384
+#: Characters of the texts that are encoded together.
+BATCH_CHARS = 1_000_000
 _M = (1 << 64) - 1
-_NONE = float("inf")
-_FAR = np.iinfo(np.int32).max
+_FAR, _WIDE = np.iinfo(np.int32).max, 64
+_AT, _STOP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
 
+def _place(at: int, stop: int) -> int:
+    return (at * _AT + stop * _STOP) & _M
 
-def _draw(key: int, at: int, stop: int) -> int:
+
+def _draw(key: int, place: int) -> int:
     """Keyed 64-bit hash of a candidate merge's place."""
-    h = ((key ^ ((at * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F) & _M)) * 0xFF51AFD7ED558CCD) & _M
+    h = ((key ^ place) * 0xFF51AFD7ED558CCD) & _M
     return (((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & _M) ^ (h >> 40)
 
 
-def _draws(keys: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def _draws(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
     """``_draw`` of many."""
-    place = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (keys ^ place) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (keys ^ places) * np.uint64(0xFF51AFD7ED558CCD)
     return ((h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)) ^ (h >> np.uint64(40))
 
 
-class PairTable:
-    """Merges in an open-addressing hash table that is probed for many pairs at once."""
-
-    def __init__(self, keys: np.ndarray, piece: np.ndarray, ranks: np.ndarray):
-        self.bits = max(10, int(len(keys) * 6).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.row = np.full(1 << self.bits, len(keys), np.int32)
-        self.piece = np.append(piece, -1).astype(np.int32)
-        self.rank = np.append(ranks, _FAR).astype(np.int32)
-        left = np.arange(len(keys))
-        at = self._slot(keys)
-        while len(left):
-            free = self.keys[at] == -1
-            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
-            put = first[free[first]]
-            self.keys[at[put]], self.row[at[put]] = keys[left[put]], left[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, at = left[rest], (at[rest] + 1) & (len(self.keys) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of ``keys``; the row past the last where a pair doesn't merge (also for keys under 0)."""
-        at = self._slot(keys)
-        seen = self.keys[at]
-        out = np.where(seen == keys, self.row[at], np.int32(len(self.rank) - 1))
-        go = np.flatnonzero((seen != keys) & (seen != -1))
-        while len(go):
-            at[go] = (at[go] + 1) & (len(self.keys) - 1)
-            seen = self.keys[at[go]]
-            hit = seen == keys[go]
-            out[go[hit]] = self.row[at[go[hit]]]
-            go = go[~hit & (seen != -1)]
-        return out
+def chunk_keys(key: int, n: int) -> np.ndarray:
+    """Keys of the ``n`` chunks of a text whose own key is ``key``."""
+    x = np.uint64(key) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_AT)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def text_key(seed: int, doc_id, use: int, text: str) -> int:
+    """Key of one use of a document's text."""
+    return xxhash.xxh64_intdigest(f"{doc_id}:{use}:".encode() + text.encode(), seed)
 
 
 class Pieces:
@@ -90,28 +70,33 @@ class Pieces:
         normal = [i for i in range(len(self.texts)) if not special[i] and not sp.is_byte(i)]
         self.ids = {self.texts[i]: i for i in normal}
         self.scores = {self.texts[i]: sp.get_score(i) for i in normal}
-        self.costs = {t: -s for t, s in self.scores.items()}
-        self._pairs = None
-        self.char_ids = np.full(0x10000, -1, np.int32)
-        for t, i in self.ids.items():
-            if len(t) == 1 and ord(t) < 0xFFFF:
-                self.char_ids[ord(t)] = i
         self.bytes = [b""] * len(self.texts)
         for i in normal:
             self.bytes[i] = self.texts[i].replace(SPACE, " ").encode()
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
         joins = [t for t in self.ids if len(t) > 1]
-        if any(SPACE in t.lstrip(SPACE) for t in joins):
-            self.cut = None
-        elif any("\n" in t for t in joins):
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        else:
-            self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.cut_at_space = not any(SPACE in t.lstrip(SPACE) for t in joins)
+        self.cut_at_line = not any("\n" in t for t in joins)
+        self._pairs = None
+        self.char_ids = np.full(0x10000, -1, np.int32)
+        for t, i in self.ids.items():
+            if len(t) == 1 and ord(t) < 0xFFFF:
+                self.char_ids[ord(t)] = i
 
-    def chunks(self, text: str) -> list[str]:
-        """Pieces of text that no merge crosses."""
-        return self.cut.findall(text) if self.cut else [text] * bool(text)
+    def chunk_starts(self, codes: np.ndarray, literal: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Where a chunk starts that no merge crosses: at a text's begin, about a literal U+2581, and
+        as far as no piece crosses them, where a run of spaces begins and about a line's end."""
+        out = begin | literal
+        out[1:] |= literal[:-1]
+        if self.cut_at_space:
+            space = codes == ord(SPACE)
+            out[1:] |= space[1:] & ~space[:-1]
+        if self.cut_at_line:
+            line = codes == 10
+            out |= line
+            out[1:] |= line[:-1]
+        return out
 
     def merge(self, chunk: str, dropout: float, key: int) -> array:
         """Ids of one chunk: the agenda of merges, best score first, then leftmost.
@@ -121,8 +106,6 @@ class Pieces:
         """
         n = len(chunk)
         scores, limit = self.scores, int(dropout * 2.0**64)
-        if n <= SHORT:
-            return self._merge_short(chunk, limit, key)
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 once merged away
         before = list(range(-1, n - 1))
         agenda: list[tuple[float, int, int, int]] = []
@@ -135,7 +118,7 @@ class Pieces:
             _, a, b, stop = heapq.heappop(agenda)
             if end[a] != b or end[b] != stop:
                 continue
-            if limit and _draw(key, a, stop) < limit:
+            if limit and _draw(key, _place(a, stop)) < limit:
                 continue
             end[a], end[b] = stop, 0
             if stop < n:
@@ -164,225 +147,209 @@ class Pieces:
                 out.append(known)
         return out
 
-    def pair_table(self) -> PairTable:
-        """All merges by ``left id * vocabulary + right id``, with their piece and agenda rank."""
+    def pair_table(self) -> tuple[IntTable, np.ndarray, np.ndarray]:
+        """All merges by ``left id * vocabulary + right id``: a table, and each row's piece and agenda rank."""
         if self._pairs is None:
-            size, order = len(self.texts), sorted({-s for s in self.scores.values()})
+            size, order = len(self.texts), sorted(set(self.scores.values()), reverse=True)
             rank = {c: r for r, c in enumerate(order)}
             rows = [
-                (self.ids[t[:k]] * size + self.ids[t[k:]], i, rank[self.costs[t]])
+                (self.ids[t[:k]] * size + self.ids[t[k:]], i, rank[self.scores[t]])
                 for t, i in self.ids.items()
                 for k in range(1, len(t))
                 if t[:k] in self.ids and t[k:] in self.ids
             ]
-            self._pairs = PairTable(*np.array(rows, np.int64).reshape(-1, 3).T)
+            keys, piece, ranks = np.array(rows, np.int64).reshape(-1, 3).T
+            self._pairs = IntTable(keys), np.append(piece, -1).astype(np.int32), np.append(ranks * _WIDE, _FAR).astype(np.int32)
         return self._pairs
 
-    def merge_many(self, chunks: list[str], dropout: float, keys: list[int]) -> list[bytes]:
-        """``merge`` of many chunks side by side, as the bytes of their int32 ids.
+    def merge_grid(self, symbols: np.ndarray, size: np.ndarray, limit: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many chunks side by side: their ids one after the other, and how many each has.
 
-        Chunks share steps: in each, every chunk pops its agenda's first candidate. Chunks that
-        are long or hold a character without a piece go one by one.
+        ``symbols[i, k]`` is the id of chunk k's i-th character, -1 beyond its ``size``. In
+        every step each chunk pops its agenda's first candidate; symbols are linked lists.
         """
-        out: list[bytes] = [b""] * len(chunks)
-        side: dict[int, list[int]] = {}
-        for k, c in enumerate(chunks):
-            if len(c) <= SHORT:
-                side.setdefault(max(8, (len(c) + 3) // 4 * 4), []).append(k)
-            else:
-                out[k] = self.merge(c, dropout, keys[k]).tobytes()
-        for width, which in side.items():
-            for at in range(0, len(which), 20_000):
-                part = which[at : at + 20_000]
-                text = "".join([chunks[k].ljust(width, "\0") for k in part])
-                codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, width)
-                symbols = self.char_ids[np.minimum(codes, len(self.char_ids) - 1)]
-                size = np.array([len(chunks[k]) for k in part])
-                known = ((symbols >= 0) | (np.arange(width) >= size[:, None])).all(axis=1)
-                symbols = np.where(np.arange(width) < size[:, None], symbols, np.int32(-1))[known]
-                for k in np.flatnonzero(~known):
-                    out[part[k]] = self.merge(chunks[part[k]], dropout, keys[part[k]]).tobytes()
-                which_known = np.flatnonzero(known)
-                key = np.array([keys[part[k]] for k in which_known], np.uint64)
-                for k, row in zip(which_known, self._merge_grid(symbols, int(dropout * 2.0**64), key), strict=True):
-                    out[part[k]] = row
-        return out
-
-    def _merge_grid(self, symbols: np.ndarray, limit: int, keys: np.ndarray) -> list[bytes]:
-        table = self.pair_table()
-        piece, ranks, none = table.piece, table.rank, len(table.rank) - 1
-        size = np.int64(len(self.texts))
-
-        def find(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            want = np.where((a < 0) | (b < 0), np.int64(-2), a * size + b)
-            return table.find(want.ravel()).reshape(want.shape)
-
-        n, width = symbols.shape
-        done: list[bytes] = [b""] * n
-        rows = np.arange(n)
-        start = np.tile(np.arange(width + 1, dtype=np.int32), (n, 1))
-        slot = find(symbols[:, :-1], symbols[:, 1:])
-        agenda = ranks[slot]
-        cells = np.arange(width)
-        while len(rows):
-            best = agenda.argmin(axis=1)
-            r = np.arange(len(rows))
-            live = agenda[r, best] != _FAR
-            if not live.all():
-                for k, row in zip(rows[~live], symbols[~live], strict=True):
-                    done[k] = row[row >= 0].tobytes()
-                rows, symbols, start, slot, agenda, keys, best = (x[live] for x in (rows, symbols, start, slot, agenda, keys, best))
-                r = np.arange(len(rows))
-            if not len(rows):
-                break
-            go = np.ones(len(rows), bool)
+        table, piece, ranks = self.pair_table()
+        width, n = symbols.shape
+        vocabulary = np.int64(len(self.texts))
+
+        def find(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return table.find(np.where((x < 0) | (y < 0), np.int64(-2), x * vocabulary + y))
+
+        alive = (symbols >= 0).ravel()
+        flat = np.append(symbols.astype(np.int32).ravel(), np.int32(-1))  # the last stands for beyond the end
+        after = np.repeat(np.arange(1, width + 1, dtype=np.int32)[:, None], n, axis=1).ravel()
+        after = np.where(after >= np.tile(size, width), np.int32(width), after)
+        before = np.repeat(np.arange(-1, width - 1, dtype=np.int32)[:, None], n, axis=1).ravel()
+        row = np.full(width * n, table.none, np.int32)
+        row[: (width - 1) * n] = find(flat[: (width - 1) * n], flat[n : width * n])
+        mine = np.arange(n)
+        agenda = (ranks[row] + np.repeat(np.arange(width, dtype=np.int32), n) * (ranks[row] != _FAR)).reshape(width, n)
+        while len(mine):
+            best = agenda.min(axis=0)
+            live = best != _FAR
+            if live.sum() < 0.75 * len(live) or not live.any():
+                mine, agenda, best, live = mine[live], np.ascontiguousarray(agenda[:, live]), best[live], live[live]
+                if not len(mine):
+                    break
+            col = np.flatnonzero(live)
+            a, k = best[col] % _WIDE, mine[col]
+            at = a * n + k
+            b = after[at]
+            stop = after[b * n + k]
+            agenda[a, col] = _FAR
             if limit:
-                go = _draws(keys, start[r, best], start[r, best + 2]) >= np.uint64(limit)
-                agenda[r[~go], best[~go]] = _FAR
-            if not go.any():
-                continue
-            g, b = r[go], best[go]
-            symbols[g, b] = piece[slot[g, b]]
-            shift = np.minimum(cells + (cells > b[:, None]), width - 1)
-            moved = np.take_along_axis(symbols[g], shift, 1)
-            moved[:, -1] = -1
-            symbols[g] = moved
-            skip = np.minimum(np.arange(width + 1) + (np.arange(width + 1) > b[:, None]), width)
-            start[g] = np.take_along_axis(start[g], skip, 1)
-            drop = np.minimum(cells[:-1] + (cells[:-1] >= b[:, None]), width - 2)
-            for x, last in ((slot, none), (agenda, _FAR)):
-                y = np.take_along_axis(x[g], drop, 1)
-                y[:, -1] = last
-                x[g] = y
-            for at in (b, b - 1):
-                ok = (at >= 0) & (at < width - 1)
-                gg, aa = g[ok], at[ok]
-                new = find(symbols[gg, aa], symbols[gg, aa + 1])
-                slot[gg, aa], agenda[gg, aa] = new, ranks[new]
-        return done
-
-    def _merge_short(self, chunk: str, limit: int, key: int) -> array:
-        """The same agenda kept as a list, which is quicker for a few symbols."""
-        get, symbols, start = self.costs.get, list(chunk), list(range(len(chunk) + 1))
-        agenda = [get(x + y, _NONE) for x, y in zip(symbols, symbols[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best is _NONE:
-                break
-            i = agenda.index(best)
-            if limit and _draw(key, start[i], start[i + 2]) < limit:
-                agenda[i] = _NONE
-                continue
-            symbols[i] += symbols[i + 1]
-            del symbols[i + 1], start[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], _NONE)
-            if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], _NONE)
-        return self._ids(symbols)
+                place = a.astype(np.uint64) * np.uint64(_AT) + np.minimum(stop, size[k]).astype(np.uint64) * np.uint64(_STOP)
+                go = _draws(keys[k], place) >= np.uint64(limit)
+                col, a, k, at, b, stop = (x[go] for x in (col, a, k, at, b, stop))
+            agenda[b, col] = _FAR
+            alive[b * n + k] = False
+            flat[at] = own = piece[row[at]]
+            after[at] = stop
+            inner = stop < width
+            before[(stop * n + k)[inner]] = a[inner]
+            right = np.where(inner, stop * n + k, width * n)
+            found = find(own, flat[right])
+            row[at] = found
+            agenda[a, col] = ranks[found] + a * (ranks[found] != _FAR)
+            p = before[at]
+            some = p >= 0
+            p, col, k = p[some], col[some], k[some]
+            found = find(flat[p * n + k], own[some])
+            row[p * n + k] = found
+            agenda[p, col] = ranks[found] + p * (ranks[found] != _FAR)
+        alive = alive.reshape(width, n)
+        return flat[:-1].reshape(width, n).T[alive.T], alive.sum(axis=0)
+
+
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``first[k] .. first[k] + size[k]`` of all k, one after the other."""
+    done = np.cumsum(size) - size
+    return np.repeat(first - done, size) + np.arange(int(size.sum()))
 
 
 class Encoder:
-    """Encodes texts; remembers chunks per variant."""
-
-    def __init__(self, model: bytes, dropout: float, seed: int, variants: int):
-        self.pieces, self.dropout, self.seed, self.variants = Pieces(model), dropout, seed, max(1, variants)
-        self.seen: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.size = 0
-        self.literal = array("i", (self.pieces.byte_ids[x] for x in SPACE.encode())).tobytes()
-
-    def _key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(chunk.encode(), self.seed * self.variants + variant)
-
-    def encode_many(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """The int32 ids of each text, as bytes."""
-        if self.size >= CACHE:
-            self.older, self.seen, self.size = self.seen, [{} for _ in self.seen], 0
-        split, new = [], [set() for _ in self.seen]
-        for text, v in zip(texts, variants, strict=True):
-            parts = [self.pieces.chunks(p.replace(" ", SPACE)) for p in (" " + text).split(SPACE)]
-            split.append(parts)
-            for p in parts:
-                new[v].update(p)
-        fresh, keys, bounds = [], [], [0]
-        for v, chunks in enumerate(new):
-            cache, older = self.seen[v], self.older[v]
-            missing = [c for c in chunks if c not in cache]
-            cache.update({c: older[c] for c in missing if c in older})
-            mine = [c for c in missing if c not in cache]
-            fresh += mine
-            keys += [self._key(c, v) for c in mine]
-            bounds.append(len(fresh))
-            self.size += len(missing)
-        merged = self.pieces.merge_many(fresh, self.dropout, keys)
-        for v, cache in enumerate(self.seen):
-            mine = slice(bounds[v], bounds[v + 1])
-            cache.update(zip(fresh[mine], merged[mine], strict=True))
-        out = []
-        for parts, v in zip(split, variants, strict=True):
-            cache = self.seen[v]
-            out.append(self.literal.join([b"".join([cache[c] for c in p]) for p in parts]))
+    """Encodes texts; every occurrence of a chunk has its own draws, so nothing is remembered."""
+
+    def __init__(self, model: bytes, dropout: float, seed: int):
+        self.pieces, self.dropout, self.seed = Pieces(model), dropout, seed
+        size = np.fromiter(map(len, self.pieces.bytes), np.int64, len(self.pieces.bytes))
+        self.piece_size, self.piece_first = size, np.cumsum(size) - size
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces.bytes), np.uint8)
+        self.literal = np.array([self.pieces.byte_ids[x] for x in SPACE.encode()], np.int32)
+
+    def encode_many(self, texts: list[str], keys: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        pieces = self.pieces
+        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        codes = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        begin = np.zeros(len(codes), bool)
+        begin[np.cumsum(length) - length] = True
+        literal = codes == ord(SPACE)
+        codes = np.where(codes == 32, np.uint32(ord(SPACE)), codes)
+        first = np.flatnonzero(pieces.chunk_starts(codes, literal, begin))
+        size = np.diff(first, append=len(codes))
+        owner = np.searchsorted(np.cumsum(length), first, side="right")
+        counts = np.bincount(owner, minlength=len(texts))
+        key = np.concatenate([np.empty(0, np.uint64), *(chunk_keys(k, n) for k, n in zip(keys, counts.tolist(), strict=True))])
+        symbols = pieces.char_ids[np.minimum(codes, len(pieces.char_ids) - 1)]
+        unknown = np.add.reduceat((symbols < 0).astype(np.int64), first) if len(first) else size
+        got: list[np.ndarray] = [self.literal]
+        n_ids, at, done = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), len(self.literal)
+        n_ids[literal[first]] = len(self.literal)
+        side = ~literal[first] & (unknown == 0) & (size <= SHORT)
+        for k in np.flatnonzero(~side & ~literal[first]).tolist():
+            chunk = codes[first[k] : first[k] + size[k]].tobytes().decode("utf-32-le", "surrogatepass")
+            ids = pieces.merge(chunk, self.dropout, int(key[k]))
+            got.append(np.frombuffer(ids, np.int32))
+            n_ids[k], at[k], done = len(ids), done, done + len(ids)
+        low = 0
+        for width in WIDTHS:
+            which = np.flatnonzero(side & (size > low) & (size <= width))
+            low = width
+            for part in np.array_split(which, -(-len(which) // ROWS) or 1):
+                if len(part):
+                    place = first[part] + np.arange(width)[:, None]
+                    grid = np.where(np.arange(width)[:, None] < size[part], symbols[np.minimum(place, len(symbols) - 1)], np.int32(-1))
+                    ids, n = pieces.merge_grid(grid, size[part], int(self.dropout * 2.0**64), key[part])
+                    got.append(ids)
+                    n_ids[part], at[part] = n, done + np.cumsum(n) - n
+                    done += len(ids)
+        ids = np.concatenate(got)[_spread(at, n_ids)]
+        total = np.bincount(owner, n_ids, minlength=len(texts)).astype(np.int64)
+        return ids, total
+
+    def encode(self, text: str, key: int = 0) -> array:
+        return array("i", self.encode_many([text], [key])[0].tobytes())
+
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ``ids`` stand for."""
+        return self.piece_bytes[_spread(self.piece_first[ids], self.piece_size[ids])]
+
+    def lossless(self, texts: list[str], ids: np.ndarray, counts: np.ndarray) -> list[bool]:
+        """Whether the ids of each text decode to it."""
+        want = [(" " + t).encode() for t in texts]
+        got, ends = self.raw(ids), np.cumsum(counts)
+        size = np.concatenate(([0], np.cumsum(self.piece_size[ids])))
+        size = size[ends] - size[ends - counts]
+        out, at = [], 0
+        for w, n in zip(want, size.tolist(), strict=True):
+            out.append(n == len(w) and got[at : at + n].tobytes() == w)
+            at += n
         return out
 
-    def encode(self, text: str, variant: int = 0) -> array:
-        return array("i", self.encode_many([text], [variant])[0])
-
     def decode(self, ids) -> str:
         """The text of ``ids``, without the space that encoding puts first."""
-        of = self.pieces.bytes
-        return b"".join([of[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return self.raw(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")[1:]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(model: bytes, dropout: float, seed: int, variants: int) -> Encoder:
-    key = (xxhash.xxh3_128_digest(model), dropout, seed, variants)
+def _encoder(model: bytes, dropout: float, seed: int) -> Encoder:
+    key = (xxhash.xxh3_128_digest(model), dropout, seed)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model, dropout, seed, variants)
+        _ENCODERS[key] = Encoder(model, dropout, seed)
     return _ENCODERS[key]
 
 
-def _lists(parts: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
-
-
-#: Texts of one output batch, in characters.
-_BATCH_CHARS = 4_000_000
-
-
-def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    at = 0
-    while at < len(texts):
-        end, total = at, 0
-        while end < len(texts) and total <= _BATCH_CHARS:
-            total += len(texts[end].as_py() or "")
-            end += 1
-        yield at, end
-        at = end
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """First row and texts of each part of a batch that is encoded together."""
+    part, at, total = [], 0, 0
+    for k in range(len(texts)):
+        part.append(texts[k].as_py())
+        total += len(part[-1] or "")
+        if total > BATCH_CHARS:
+            yield at, part
+            part, at, total = [], k + 1, 0
+    if part:
+        yield at, part
 
 
-def _encoded(batches, model, dropout: float, seed: int, variants: int) -> Iterator[pa.RecordBatch]:
-    enc = _encoder(model.value, dropout, seed, variants)
+def _encoded(batches, model, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
+    enc = _encoder(model.value, dropout, seed)
+    last, use = None, 0
     for batch in batches:
-        for at, end in _runs(batch.column(2)):
-            texts = batch.column(2).slice(at, end - at).to_pylist()
-            which = batch.column(1).slice(at, end - at).to_pylist()
-            ids = enc.encode_many([t or "" for t in texts], which)
-            ids = [b"" if t is None else i for t, i in zip(texts, ids, strict=True)]
-            back = [t is None or enc.decode(memoryview(i).cast("i")) == t for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), _lists(ids), pa.array(back, pa.bool_())],
-                names=["doc_id", "variant", "ids", "lossless"],
-            )
+        for at, texts in _runs(batch.column(1)):
+            owners, uses, keys = batch.column(0).slice(at, len(texts)), [], []
+            for d, t in zip(owners.to_pylist(), texts, strict=True):
+                own = (d, xxhash.xxh3_128_digest(t or ""))
+                last, use = own, use + 1 if own == last else 0
+                uses.append(use)
+                keys.append(text_key(seed, d, use, t or ""))
+            ids, counts = enc.encode_many([t or "" for t in texts], keys)
+            fine = enc.lossless([t or "" for t in texts], ids, counts)
+            none = np.array([t is None for t in texts])
+            if none.any():
+                ids, counts = ids[~np.repeat(none, counts)], np.where(none, 0, counts)
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            cols = [owners, pa.array(uses, pa.int32()), lists, pa.array(fine, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "use", "ids", "lossless"])
 
 
 def _decoded(batches, model) -> Iterator[pa.RecordBatch]:
-    enc = _encoder(model.value, 0.0, 0, 1)
+    enc = _encoder(model.value, 0.0, 0)
     for batch in batches:
         texts = [None if i is None else enc.decode(i) for i in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -393,24 +360,23 @@ def _broadcast_model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> DataFrame:
-    """``(doc_id, variant, ids, lossless)`` of every row of ``docs(doc_id, text)``.
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+    """``(doc_id, use, ids, lossless)`` of every row of ``docs(doc_id, text)``.
 
-    A document takes one of ``variants`` segmentations by a hash of its id and the seed; a
-    candidate merge is skipped by a hash keyed with seed, variant, chunk and place, so that runs
-    repeat exactly and equal words of a variant are segmented once a worker. With ``dropout`` 0
+    A candidate merge is skipped by a hash keyed with seed, doc_id, text, use, the chunk's number in
+    the text and the candidate's place, so that every occurrence of a word has its own draws and
+    runs repeat exactly. ``use`` is 0, and counts up over rows that repeat doc_id and text directly one after
+    the other in a file's part (the mixing operator writes them so). With ``dropout`` 0
     the ids are SentencePiece's own. ``lossless`` says whether decoding gives the text back.
     Characters without a piece, and a literal U+2581, become byte pieces. A null text gives no
-    ids, an empty one the piece of the leading space; the model file (bounded by its
-    vocabulary) is read by the driver and broadcast; a null doc_id takes the variant of its hash.
+    ids and counts as lossless, an empty one gives the piece of the leading space; the model file (bounded by its
+    vocabulary) is read by the driver and broadcast; a null doc_id is keyed as None; other columns
+    are ignored; an empty table gives an empty result.
     """
     model = _broadcast_model(docs, model_path)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    variant = F.pmod(F.xxhash64(F.lit(seed), docs["doc_id"]), F.lit(max(1, variants))).cast("int")
-    rows = docs.select("doc_id", variant.alias("variant"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(
-        lambda it: _encoded(it, model, dropout, seed, variants), f"doc_id {ids}, variant int, ids array<int>, lossless boolean"
-    )
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _encoded(it, model, dropout, seed), f"doc_id {ids}, use int, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

@@ -236,24 +236,54 @@ def test_sentencepiece_is_lossless_and_seeded(docs):
     assert all(plain[i] == sp.encode(t) for i, t in texts.items() if t and "▁" not in t)
 
 
-def test_sentencepiece_agendas_agree():
+def plain_dropout(pieces, chunk, dropout, key):
+    """The agenda by brute force: the best candidate of all, drawn or dropped, until none is left."""
+    symbols, dropped = [(i, i + 1) for i in range(len(chunk))], set()
+    while True:
+        found = [(-pieces.scores[chunk[a:d]], a, b, d) for (a, b), (_, d) in zip(symbols, symbols[1:], strict=False) if chunk[a:d] in pieces.scores]
+        found = [f for f in found if f[1:] not in dropped]
+        if not found:
+            return [i for a, b in symbols for i in ([pieces.ids[chunk[a:b]]] if chunk[a:b] in pieces.ids else [pieces.byte_ids[x] for x in chunk[a:b].encode()])]
+        _, a, b, d = min(found)
+        h = ((key ^ ((a * 0x9E3779B97F4A7C15 + d * 0xC2B2AE3D27D4EB4F) % 2**64)) * 0xFF51AFD7ED558CCD) % 2**64
+        if (((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) % 2**64) ^ (h >> 40) < int(dropout * 2.0**64):
+            dropped.add((a, b, d))
+        else:
+            symbols[symbols.index((a, b))] = (a, d)
+            symbols.remove((b, d))
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_sentencepiece_follows_the_agenda(dropout):
     with open(sentencepiece_dropout.DEFAULT_MODEL, "rb") as f:
-        pieces = sentencepiece_dropout.Pieces(f.read())
+        enc = sentencepiece_dropout.Encoder(f.read(), dropout, 3)
     rng = random.Random(3)
-    chunks = ["▁" + "".join(rng.choice("etaoinshrdlué.,xyz日") for _ in range(rng.randint(1, 30))) for _ in range(400)]
-    keys = [rng.getrandbits(64) for _ in chunks]
-    many = pieces.merge_many(chunks, 0.25, keys)
-    assert many == [pieces.merge(c, 0.25, k).tobytes() for c, k in zip(chunks, keys, strict=True)]
-    short, sentencepiece_dropout.SHORT = sentencepiece_dropout.SHORT, 0
-    try:
-        assert many == [pieces.merge(c, 0.25, k).tobytes() for c, k in zip(chunks, keys, strict=True)]
-    finally:
-        sentencepiece_dropout.SHORT = short
+    word = lambda: "".join(rng.choice("etaoinshrdlué.,xyz日") for _ in range(rng.choice([1, 3, 8, 15, 45])))
+    texts = [" ".join(word() for _ in range(30)), "", " ", "▁", "a▁b ▁ c\n\n  d\n e 日本😀 \x00", "the " * 40, "x" * 90]
+    keys = [rng.getrandbits(64) for _ in texts]
+    ids, counts = enc.encode_many(texts, keys)
+    want = []
+    for text, key in zip(texts, keys, strict=True):
+        chunks = [c for part in (" " + text).split("▁") for c in [*re.findall("\n|▁*[^▁\n]+|▁+", part.replace(" ", "▁")), None]][:-1]
+        own = sentencepiece_dropout.chunk_keys(key, len(chunks)).tolist()
+        want.append([i for c, k in zip(chunks, own, strict=True) for i in (enc.literal.tolist() if c is None else plain_dropout(enc.pieces, c, dropout, k))])
+    assert [len(w) for w in want] == counts.tolist() and ids.tolist() == sum(want, [])
+    assert all(enc.lossless(texts, ids, counts))
+    if dropout:
+        repeated = want[5]
+        assert len({tuple(repeated[i : i + 2]) for i in range(0, 40)}) > 2  # a word's occurrences differ
+
+
+def test_sentencepiece_uses_of_a_document_differ(spark):
+    text = "a window of stone and light"
+    got = sentencepiece_dropout.encode(spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, None)], "doc_id long, text string").coalesce(1), dropout=0.5).collect()
+    assert [(r.doc_id, r.use) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (None, 0)]
+    assert len({tuple(r.ids) for r in got[:4]}) == 4 and all(r.lossless for r in got) and got[4].ids == []
 
 
 def plain_phrases(model, lang, text):
     """Greedy longest matches of the coded text in the coded training text, block by block."""
-    train, coded, n = bytes(lang), bytes(model.symbols.encode(text)), 0
+    train, coded, n = "".join(map(chr, lang)), "".join(map(chr, model.symbols.encode(text))), 0
     for at in range(0, len(coded), langid.BLOCK):
         part, i = coded[at : at + langid.BLOCK], 0
         while i < len(part):
@@ -274,12 +304,15 @@ def test_langid_predicts():
     assert names[:2] == ["en", "de"] and names[2:5] == ["und"] * 3 and ((score >= 0) & (score <= 1)).all()
 
 
-def test_langid_counts_phrases_exactly():
-    text = "abracadabra abacus cabbage"
+def test_langid_counts_phrases_exactly(monkeypatch):
+    text = "abracadabra abacus cabbage 日本語"
     model = langid.Model({"x": [text]})
     train = model.symbols.encode(text)
-    for t in ("abraabra", "zabz", "cabcabcab", "abracadabra abacus cabbage", "q"):
-        assert model.phrases([model.symbols.encode(t)])[0, 0] == plain_phrases(model, train, t)
+    for direct in (langid.DIRECT, 0):  # with 0, all but two symbols go by the hash table
+        monkeypatch.setattr(langid, "DIRECT", direct)
+        model._tables = None
+        for t in ("abraabra", "zabz", "cabcabcab", "abracadabra abacus cabbage", "q", "日本語日本", "ab日本x"):
+            assert model.phrases([model.symbols.encode(t)])[0, 0] == plain_phrases(model, train, t)
 
 
 def test_langid_on_rows(docs, empty):
