@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from .common import materialize
 
 TILE_QUERIES = 512
 SHARD_ROWS = 4096
-_PARTIAL = "query_id long, vec_id long, score long"
+#: Bytes of the queries that are broadcast at once.
+GROUP_BYTES = 32_000_000
+_PARTIAL = "q long, query_id long, own long, vec_id long, score long"
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -39,62 +42,99 @@ def _products(q: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ s.astype(object).T, low, high).astype(np.int64)
 
 
-def _best(qids: np.ndarray, q: np.ndarray, sids: np.ndarray, s: np.ndarray, k: int):
-    """Of one tile and shard: each query's k best, ties to the smaller id, without its own row."""
+def _merged(ids: np.ndarray, score: np.ndarray, more_ids: np.ndarray, more: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two lists a query (rows), the k best, ties to the smaller id."""
+    ids, score = np.concatenate((ids, more_ids), axis=1), np.concatenate((score, more), axis=1)
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
+
+
+def _best(q: np.ndarray, sids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one tile and shard: ids and scores of each query's k best, ties to the smaller id.
+
+    A partition finds each query's k-th score; only where ties at it leave a choice are they
+    ranked by id.
+    """
     order = np.argsort(sids, kind="stable")
-    sids = sids[order]
-    score = _products(q, s[order])
-    score[qids[:, None] == sids[None, :]] = np.iinfo(np.int64).min
+    sids, score = sids[order], _products(q, s[order])
     want = min(k, len(sids))
-    edge = np.partition(score, len(sids) - want, axis=1)[:, len(sids) - want]
-    for i in range(len(qids)):
+    top = np.argpartition(score, len(sids) - want, axis=1)[:, len(sids) - want :]
+    edge = np.take_along_axis(score, top, 1).min(axis=1)
+    for i in np.flatnonzero((score >= edge[:, None]).sum(axis=1) > want):
         hit = np.flatnonzero(score[i] >= edge[i])
-        hit = hit[sids[hit] != qids[i]]
-        hit = hit[np.argsort(-score[i, hit], kind="stable")][:k]
-        yield np.full(len(hit), qids[i]), sids[hit], score[i, hit]
+        top[i] = hit[np.argsort(-score[i, hit], kind="stable")][:want]
+    return sids[top], np.take_along_axis(score, top, 1)
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _group(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Queries ``(q, vec_id, v)`` by length: rows ``(q, vec_id, product with itself)`` and vectors."""
+    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for row in range(batch.num_rows):
-            cell = lambda name: batch.column(name)[row]  # noqa: B023, E731
-            dim = cell("dim").as_py()
-            part = [np.asarray(cell(c).values, dtype=np.int64) for c in ("qids", "qv", "sids", "sv")]
-            found = list(_best(part[0], part[1].reshape(len(part[0]), dim), part[2], part[3].reshape(len(part[2]), dim), k))
-            cols = [pa.array(np.concatenate([f[j] for f in found]), pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, names=["query_id", "vec_id", "score"])
+        for own, v in _by_length(batch.column(2)):
+            product = np.concatenate([_products(x[None], x[None]).ravel() for x in v])
+            out.setdefault(v.shape[1], []).append((np.stack([batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], product], axis=1), v))
+    return {dim: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for dim, parts in out.items()}
 
 
-def _packed(rows: DataFrame, ids: str, vec: str, size: int, n: int, name: str) -> DataFrame:
-    """Rows gathered into blocks of about ``size``: one row a block and dimension."""
-    blocks = max(1, -(-n // size))
-    spread = rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias(name))
-    got = spread.groupBy("dim", name).agg(F.collect_list(F.struct("vec_id", "v")).alias("g"))
-    return got.select("dim", name, F.col("g.vec_id").alias(ids), F.flatten("g.v").alias(vec))
+def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors of each length."""
+    sizes, values = pa.compute.list_value_length(vectors).to_numpy(), vectors.flatten().to_numpy()
+    first = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == dim)
+        yield own, values[first[own][:, None] + np.arange(dim)]
+
+
+def _search(batches: Iterator[pa.RecordBatch], group, k: int) -> Iterator[pa.RecordBatch]:
+    """The shards of one task against a group of queries: each query's k best of the task."""
+    queries = group.value
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for own, v in _by_length(batch.column(1)):
+            dim = v.shape[1]
+            for at in range(0, len(own) if dim in queries else 0, SHARD_ROWS):
+                shard, tiles = slice(at, at + SHARD_ROWS), queries[dim][1]
+                got = [_best(tiles[t : t + TILE_QUERIES], ids[own[shard]], v[shard], k) for t in range(0, len(tiles), TILE_QUERIES)]
+                got = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+                found[dim] = _merged(*found[dim], *got, k) if dim in found else got
+    for dim, (ids, score) in found.items():
+        rows = np.repeat(queries[dim][0], ids.shape[1], axis=0)
+        cols = [*(np.ascontiguousarray(c) for c in rows.T), ids.ravel(), score.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "query_id", "own", "vec_id", "score"])
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """``queries``/``vectors`` of ``(vec_id, v)`` -> ``(query_id, rank, vec_id, score)``.
 
-    Queries and candidates are packed into blocks of bounded size; every query tile meets every
-    shard once (an equi-join on the tile's number, since the query set is stated), one matrix
-    product and one partial selection a meeting; per-query lists merge over groups of shards and
-    then over those groups. Only vectors of the query's own length are scored; ties go to the
-    smaller vec_id; a query's own row is left out; repeated ids count as one vector each.
-    Empty tables give an empty result.
+    ``queries`` are rows of ``vectors``. They are read in groups of about GROUP_BYTES, each of which is broadcast and
+    meets all shards where they lie: a shard of SHARD_ROWS vectors and a tile of TILE_QUERIES
+    queries make one matrix product and one partial selection. A task merges the lists of its shards, so that
+    only k + 1 rows a query and task are shuffled; these merge over branches and then whole.
+
+    Only vectors of the query's own length are scored; ties go to the smaller vec_id. A query's own row is left
+    out: of k + 1 best, one row with its id and its own product goes, else the last. Rows that repeat a vec_id are
+    candidates of their own, and as queries have a list each under the same query_id. Empty
+    tables give an empty result.
     """
-    n_q, n_v = queries.count(), vectors.count()
-    tiles = materialize(_packed(queries, "qids", "qv", TILE_QUERIES, n_q, "tile"), "tiles")
-    shards = materialize(_packed(vectors, "sids", "sv", SHARD_ROWS, n_v, "shard"), "shards")
-    n_tiles = max(1, -(-n_q // TILE_QUERIES))
-    meets = shards.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))).alias("tile"))
-    work = meets.join(tiles, ["dim", "tile"]).repartition(F.col("tile"), F.col("shard"))
-    part = work.select("dim", "qids", "qv", "sids", "sv").mapInArrow(lambda it: _search(it, k), _PARTIAL)
-    first = Window.partitionBy("query_id", "tree").orderBy(F.desc("score"), "vec_id")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    spark = queries.sparkSession
+    numbered = materialize(queries.select(F.monotonically_increasing_id().alias("q"), "vec_id", "v"), "queries")
+    size = numbered.agg(F.sum(F.size("v").cast("long") * 8 + 16).alias("n")).first()["n"] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    lists = None
+    for g in range(groups):
+        part = numbered.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g).toArrow().to_batches()
+        shared = spark.sparkContext.broadcast(_group(part))
+        found = vectors.select("vec_id", "v").mapInArrow(lambda it, shared=shared: _search(it, shared, k + 1), _PARTIAL)
+        lists = found if lists is None else lists.union(found)
+    first = Window.partitionBy("q", "tree").orderBy(F.desc("score"), "vec_id")
+    last = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     merged = (
-        part.withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-        .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-        .withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+        lists.withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+        .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+        .withColumn("r", F.row_number().over(last)).where(F.col("r") <= k + 1)
     )
-    return merged.select("query_id", "rank", "vec_id", "score")
+    mine = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("r"))
+    cut = F.coalesce(F.min(mine).over(Window.partitionBy("q")), F.lit(k + 1))
+    rest = merged.withColumn("cut", cut).where(F.col("r") != F.col("cut"))
+    return rest.select("query_id", F.when(F.col("r") > F.col("cut"), F.col("r") - 1).otherwise(F.col("r")).cast("int").alias("rank"), "vec_id", "score")
