@@ -46,34 +46,44 @@ class DigestIndex:
         self.path = path or f"{shared_dir(spark)}/notelake/lsm-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
 
-    def _flush(self, rows: DataFrame, level: int) -> None:
+    def _run(self, level: int) -> str:
         while len(self.levels) <= level:
             self.levels.append([])
-        run = f"{self.path}/level-{level}/run-{uuid.uuid4().hex}"
-        (
-            rows.select(*[f.name for f in _RUN.fields])
-            .sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
+        return f"{self.path}/level-{level}/run-{uuid.uuid4().hex}"
+
+    @staticmethod
+    def _writer(rows: DataFrame):
+        return (
+            rows.write.option("parquet.bloom.filter.enabled#digest", "true")
             .option("parquet.bloom.filter.expected.ndv#digest", str(FILTER_DIGESTS))
             .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(run)
         )
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= FAN_OUT:
-            self.compact(level)
 
-    def add(self, entries: DataFrame) -> None:
-        """``entries(digest, n_bytes, sha, doc_id)``, one row a document."""
-        grouped = entries.groupBy(*_KEY).agg(
+    def add(self, entries: DataFrame, memtables: int = 1) -> None:
+        """``entries(digest, n_bytes, sha, doc_id)``, one row a document, dealt to ``memtables``.
+
+        One pass groups the rows of every memtable and flushes each as a run of its own.
+        """
+        table = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(memtables)).cast("int").alias("memtable")
+        grouped = entries.groupBy(table, *_KEY).agg(
             F.min("doc_id").alias("smallest"), F.max("doc_id").alias("largest"), F.count("*").alias("members")
         )
-        self._flush(grouped, 0)
+        run = self._run(0)
+        self._writer(grouped.sortWithinPartitions("memtable", "digest")).partitionBy("memtable").parquet(run)
+        written = self.spark.read.schema(T.StructType([*_RUN.fields, T.StructField("memtable", T.IntegerType())])).parquet(run)
+        filled = sorted(r["memtable"] for r in written.select("memtable").distinct().collect())
+        self.levels[0] += [f"{run}/memtable={k}" for k in filled]
+        if len(self.levels[0]) >= FAN_OUT:
+            self.compact(0)
 
     def compact(self, level: int) -> None:
         """Merge the runs of ``level`` into one run of the next level."""
-        merged = self._merged(self.levels[level])
+        run = self._run(level + 1)
+        self._writer(self._merged(self.levels[level]).sortWithinPartitions("digest")).parquet(run)
         self.levels[level] = []
-        self._flush(merged, level + 1)
+        self.levels[level + 1].append(run)
+        if len(self.levels[level + 1]) >= FAN_OUT:
+            self.compact(level + 1)
 
     def _merged(self, runs: list[str]) -> DataFrame:
         rows = self.spark.read.schema(_RUN).parquet(*runs)
@@ -132,26 +142,25 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", index: DigestIndex
     rows.select("doc_id", *_KEY).write.parquet(flat)
     entry_schema = T.StructType([T.StructField("doc_id", T.LongType()), *_RUN.fields[:3]])
     entries = spark.read.schema(entry_schema).parquet(flat)
-    for k in range(MEMTABLES):
-        index.add(entries.where(F.pmod(F.xxhash64("doc_id"), F.lit(MEMTABLES)) == k))
+    index.add(entries, MEMTABLES)
     merged = index.entries().withColumnRenamed(keep, "keep_id").select(*_KEY, "keep_id", "members")
-    info = materialize(merged.join(_compared(rows, merged), _KEY, "left"), "groups")
-    out = entries.join(info, _KEY)
-    differs = F.raise_error(F.lit("two texts share a digest, a length and a SHA-256")).cast("long")
-    return out.select(
+    if not materialize(_differing(rows, merged), "differing").isEmpty():
+        raise ValueError("two texts share a digest, a length and a SHA-256")
+    return entries.join(merged, _KEY).select(
         "doc_id",
         "keep_id",
-        F.when(F.coalesce("differing", F.lit(0)) > 0, differs).otherwise(F.col("members")).alias("group_size"),
+        F.col("members").alias("group_size"),
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
-def _compared(rows: DataFrame, merged: DataFrame) -> DataFrame:
-    """Per group of two or more: how many members differ from the keeper's bytes.
+def _differing(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """Members of groups of two or more whose bytes differ from their keeper's.
 
     Up to BROADCAST_GROUPS groups, their digests are broadcast so that only members' texts are
-    shuffled; beyond, the same rows come from a shuffled join.
+    shuffled; beyond, the same rows come from a shuffled join. Nothing after the join with the
+    keepers needs a group's rows together, so adaptive execution may split a hot one.
     """
     groups = materialize(merged.where("members > 1").select(*_KEY, "keep_id"), "repeated")
     few = groups.select("digest").limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
@@ -159,8 +168,7 @@ def _compared(rows: DataFrame, merged: DataFrame) -> DataFrame:
     hits = materialize(near.select(*_KEY, "doc_id", "keep_id", "norm"), "hits")
     first = hits.where("doc_id <=> keep_id").groupBy(*_KEY).agg(F.min("norm").alias("kept_norm"))
     keeper = materialize(first, "keepers")
-    compared = hits.join(keeper, _KEY).select(*_KEY, (F.col("norm") != F.col("kept_norm")).alias("differs"))
-    return compared.groupBy(*_KEY).agg(F.count_if("differs").alias("differing"))
+    return hits.join(keeper.hint("merge"), _KEY).where("norm <> kept_norm").select(*_KEY, "doc_id")
 
 
 def drop_duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
