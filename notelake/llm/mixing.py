@@ -135,11 +135,20 @@ def mix(
         "source", "block", "size", "whole", "rest", F.explode(F.sequence(F.lit(1), F.col("whole") + 1)).alias("epoch")
     )
     turn = _digest(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block"))
-    run = Window.partitionBy("source", "epoch").orderBy("turn", "block")
+    # A source's blocks are ranked in two levels: within ranges of the turn's hash, then over the 256 ranges.
+    turned = materialize(epochs.withColumn("turn", turn).withColumn("range", F.substring("turn", 1, 2)), "turns")
+    among = Window.partitionBy("source", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = turned.groupBy("source", "epoch", "range").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    ahead = ranges.select(
+        "source", "epoch", "range", F.coalesce(F.sum("n").over(among), F.lit(0)).alias("n_ahead"), F.coalesce(F.sum("total").over(among), F.lit(0)).alias("ahead")
+    )
+    run = Window.partitionBy("source", "epoch", "range").orderBy("turn", "block")
     ranked = (
-        epochs.withColumn("turn", turn)
-        .withColumn("block_rank", F.row_number().over(run))
-        .withColumn("done", F.sum("size").over(run) - F.col("size"))
+        turned.withColumn("own_rank", F.row_number().over(run))
+        .withColumn("own_done", F.sum("size").over(run) - F.col("size"))
+        .join(ahead, ["source", "epoch", "range"])
+        .withColumn("block_rank", (F.col("own_rank") + F.col("n_ahead")).cast("int"))
+        .withColumn("done", F.col("own_done") + F.col("ahead"))
         .withColumn("room", F.when(F.col("epoch") <= F.col("whole"), F.lit((1 << 63) - 1)).otherwise(F.col("rest") - F.col("done")))
         .where("room > 0")
         .select("source", "block", "epoch", "block_rank", "room")
