@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from .common import hash_sample
+from .common import hash_sample, released, small_batches
 from .inttable import IntTable
 
 #: Bounded training sample: documents a language, and characters a language in all.
@@ -233,11 +233,15 @@ def _predictor(docs: DataFrame, folds: int, held: int):
 
     Only texts travel to the Python workers, and only names and scores come back.
     """
+    small_batches(docs.sparkSession)
     learned = docs.where(F.coalesce(fold(docs["doc_id"], folds) != held, F.lit(False)))
     picked = training_sample(learned.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
     model = docs.sparkSession.sparkContext.broadcast(Model({k: list(v) for k, v in picked}))
 
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(parts(batches))
+
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = model.value
         for texts in batches:
             names, scores, at = [], [], 0

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, text_of
+from .common import hash_sample, released, small_batches, text_of
 from .langid import fold
 
 #: Bounded sample of labelled documents of each class that the field is fitted on.
@@ -17,7 +17,7 @@ SAMPLE_DOCS = 1_500
 #: Training steps, their size and the penalty on weights.
 STEPS, RATE, PENALTY = 120, 0.15, 1e-3
 #: Bytes of text whose lines are scored side by side.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 BINS = 10
 #: Largest preference for a line to share its neighbour's label (documents carry one label for all lines).
 MAX_BOND = 1.5
@@ -232,8 +232,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     line; repeated rows give repeated rows, a null doc_id counts as held out; several labels of
     a document count as their largest; with no labels all scores are 0.5.
     """
+    small_batches(docs.sparkSession)
     field = docs.sparkSession.sparkContext.broadcast(fit_field(docs, labels, folds, held))
     kind = docs.schema["doc_id"].dataType.simpleString()
     held_out = F.coalesce(fold(docs["doc_id"], folds) == held, F.lit(True))
     rows = docs.select("doc_id", held_out.alias("held_out"), text_of(docs).cast("binary").alias("raw"))
-    return rows.mapInArrow(lambda it: _scores(it, field), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda it: released(_scores(it, field)), f"doc_id {kind}, held_out boolean, score double, predicted int")

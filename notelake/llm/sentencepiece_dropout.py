@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .common import released, small_batches
 from .inttable import IntTable
 
 SPACE = "▁"
@@ -20,7 +21,7 @@ SHORT = 40
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, SHORT)
 ROWS = 16_384
 #: Characters of the texts that are encoded together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 300_000
 _M = (1 << 64) - 1
 _FAR, _WIDE = np.iinfo(np.int32).max, 64
 _AT, _STOP = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -373,10 +374,11 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.
     vocabulary) is read by the driver and broadcast; a null doc_id is keyed as None; other columns
     are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     model = _broadcast_model(docs, model_path)
     ids = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _encoded(it, model, dropout, seed), f"doc_id {ids}, use int, ids array<int>, lossless boolean")
+    return rows.mapInArrow(lambda it: released(_encoded(it, model, dropout, seed)), f"doc_id {ids}, use int, ids array<int>, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

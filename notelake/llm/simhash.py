@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, released, small_batches, text_of
 from .components import connected_components
 
 BITS = 64
@@ -77,8 +77,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp)`` of every row of ``docs``; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("raw"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, shingle), "doc_id long, fp long")
+    return rows.mapInArrow(lambda it: released(_fingerprints(it, shingle)), "doc_id long, fp long")
 
 
 def _references(n: int, salt: str) -> list[int]:

@@ -453,6 +453,21 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("group", [1, 32_000_000])
+def test_top_k_with_repeated_ids(spark, group, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP_BYTES", group)
+    vectors = [(50, [1, 2]), (50, [1, 2]), (50, [2, 1]), (1, [1, 2]), (2, [5, 0]), (100, [1, 0]), (None, [3, 3])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<double>")
+    q = topk.quantized(df, scale=1)
+    got = topk.top_k(q.where("vec_id % 50 = 0"), q, 3).collect()
+    rows, want = [(i, v) for i, v in vectors if i is not None], []
+    for n, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            best = sorted((-(v[0] * w[0] + v[1] * w[1]), j) for m, (j, w) in enumerate(rows) if m != n)[:3]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize(
     "run",
     [simhash.near_duplicates, simhash.keep_one, exact_lsm.exact_duplicates, exact_lsm.drop_duplicates, pii.find_pii, line_dedup.dedup_lines,
