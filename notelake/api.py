@@ -15,20 +15,40 @@ from .sources import providers, vault
 
 
 class Vault:
-    """Notes of a folder (or any ``(path, content[, mtime, size])`` table), read lazily."""
+    """Notes of a folder (or any ``(path, content[, mtime, size])`` table), read lazily.
 
-    def __init__(self, spark: SparkSession, root: str | None = None, notes: DataFrame | None = None, chat=None):
+    Changes of a folder's notes are written to its files; those of a table are kept as a small
+    overlay of changed notes, so that the plan over the table doesn't grow with their number.
+    With ``index_root``, searches by meaning and for facts read the index kept there.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, notes: DataFrame | None = None, chat=None, index_root: str | None = None):
         self.spark, self.root, self.chat = spark, root, chat
-        self.raw = vault.scan(spark, root) if notes is None else notes
+        self.table = notes
+        self.changed: dict[str, str | None] = {}
+        self.indexed = index.Index(spark, index_root) if index_root else None
         self.journal = mutate.Journal()
 
+    @property
+    def raw(self) -> DataFrame:
+        if self.table is None:
+            return vault.scan(self.spark, self.root)
+        if not self.changed:
+            return self.table
+        now = self.spark.createDataFrame([(p, t) for p, t in self.changed.items() if t is not None], "path string, content string")
+        return self.table.where(~F.col("path").isin(list(self.changed))).select("path", "content").unionByName(now)
+
     def parsed(self) -> DataFrame:
         return vault.parse(self.raw)
 
     # reading
     def ls(self, path: str = "") -> DataFrame:
-        rows = self.raw if "size" in self.raw.columns else self.raw.withColumn("size", F.octet_length("content").cast("long"))
-        return vault.list_dir(rows, path)
+        raw = self.raw
+        return vault.list_dir(raw if "size" in raw.columns else raw.withColumn("size", F.octet_length("content").cast("long")), path)
+
+    def read_raw(self, path: str) -> str:
+        """The text of any file of the folder."""
+        return vault.read_raw(self.spark, self.root, path)
 
     def read(self, path: str) -> DataFrame:
         return vault.read_one(self.raw, path)
@@ -67,11 +87,13 @@ class Vault:
     def _strategy(self, step: router.Step, query: str) -> DataFrame | None:
         p, notes = step.params, self.parsed()
         if step.name == "semantic":
-            return search.semantic_strategy(providers.embed(chunking.chunks(notes)), providers.embed_text(query))
+            chunks = self.indexed.table("chunks") if self.indexed else providers.embed(chunking.chunks(notes))
+            return search.semantic_strategy(chunks, providers.embed_text(query))
         if step.name == "text":
             return search.text_strategy(self.raw, p.get("pattern") or query)
         if step.name == "facts":
-            return search.facts_strategy(providers.extract_facts(notes), query, p.get("entity", ""), p.get("key", ""), p.get("value", ""))
+            facts = self.indexed.table("facts") if self.indexed else providers.extract_facts(notes)
+            return search.facts_strategy(facts, query, p.get("entity", ""), p.get("key", ""), p.get("value", ""))
         if step.name == "frontmatter" and p.get("field"):
             return search.frontmatter_strategy(notes, p["field"], str(p.get("value", "")), p.get("operator", "=="))
         if step.name == "base":
@@ -84,7 +106,7 @@ class Vault:
 
     def search(self, query: str, strategy: str = "") -> DataFrame:
         """Merged results in the order of strategies; neither sorted nor cut."""
-        steps = [router.Step(strategy, {"query": query})] if strategy else router.route(query, self.chat).steps
+        steps = [router.Step(strategy, {"query": query})] if strategy else router.route(query, self.chat)
         found = []
         for step in steps:
             try:
@@ -113,58 +135,81 @@ class Vault:
         return answer, best
 
     # changes
-    def _change(self, path: str, action: str, after: DataFrame) -> None:
-        where = vault.safe_path(path)
-        value = lambda df: (df.where(F.col("path") == where).select("content").first() or [None])[0]
-        before, now = value(self.raw), value(after)
-        self.raw = after
-        self.journal.record(self.spark, uuid.uuid4().hex, where, action, before, now)
-
-    def _need(self, path: str) -> str:
+    def _now(self, path: str) -> str | None:
+        """A note's text, or None."""
+        if path in self.changed:
+            return self.changed[path]
+        if self.table is None:
+            try:
+                return vault.read_raw(self.spark, self.root, path)
+            except FileNotFoundError:
+                return None
+        return (self.table.where(F.col("path") == path).select("content").first() or [None])[0]
+
+    def _put(self, path: str, content: str | None) -> None:
+        if self.table is not None:
+            self.changed[path] = content
+        elif content is None:
+            vault.remove_raw(self.spark, self.root, path)
+        else:
+            vault.write_raw(self.spark, self.root, path, content)
+
+    def _change(self, path: str, action: str, before: str | None, after: str | None) -> None:
+        self._put(path, after)
+        self.journal.record(self.spark, uuid.uuid4().hex, path, action, before, after)
+
+    def _need(self, path: str) -> tuple[str, str]:
         where = vault.safe_path(path)
-        if self.raw.where(F.col("path") == where).isEmpty():
+        now = self._now(where)
+        if now is None:
             raise FileNotFoundError(path)
-        return where
+        return where, now
+
+    def _one(self, path: str, content: str) -> DataFrame:
+        return self.spark.createDataFrame([(path, content)], "path string, content string")
 
     def create(self, path: str, content: str = "", frontmatter_json: str = "{}") -> None:
         where = vault.safe_path(path)
-        if not self.raw.where(F.col("path") == where).isEmpty():
+        if self._now(where) is not None:
             raise FileExistsError(path)
-        new = self.spark.createDataFrame([(where, mutate.render(json.loads(frontmatter_json), content))], "path string, content string")
-        self._change(where, "create", mutate.create(self.raw, new))
+        self._change(where, "create", None, mutate.render(json.loads(frontmatter_json), content))
 
     def delete(self, path: str) -> None:
-        where = self._need(path)
-        self._change(where, "delete", self.raw.select("path", "content").where(F.col("path") != where))
+        where, now = self._need(path)
+        self._change(where, "delete", now, None)
 
     def patch(self, path: str, operations_json: str) -> None:
-        where = self._need(path)
+        where, now = self._need(path)
         rows = [(where, i, o["action"], int(o["line"]), o.get("content", "")) for i, o in enumerate(json.loads(operations_json))]
         ops = self.spark.createDataFrame(rows, "path string, op_ord int, action string, line int, content string")
-        self._change(where, "patch", mutate.patch(self.raw, ops))
+        self._change(where, "patch", now, mutate.patch(self._one(where, now), ops).first()["content"])
 
     def append(self, path: str, content: str) -> None:
-        where = self._need(path)
-        added = F.when(F.col("path") == where, mutate.append(F.col("content"), F.lit(content))).otherwise(F.col("content"))
-        self._change(where, "append", self.raw.select("path", added.alias("content")))
+        where, now = self._need(path)
+        after = self._one(where, now).select(mutate.append(F.col("content"), F.lit(content)).alias("c")).first()["c"]
+        self._change(where, "append", now, after)
 
     def update_frontmatter(self, path: str, updates_json: str) -> None:
-        where = self._need(path)
+        where, now = self._need(path)
         given = {k: None if v is None else str(v) for k, v in json.loads(updates_json).items()}
         fm = mutate.update_properties(F.col("fm"), given)
         text = F.concat(F.when(F.size(fm) > 0, F.concat(mutate.header_text(fm), F.lit("\n"))).otherwise(F.lit("")), F.col("body"))
-        rows = self.parsed().select("path", F.when(F.col("path") == where, text).otherwise(F.col("content")).alias("content"))
-        self._change(where, "frontmatter", rows)
+        self._change(where, "frontmatter", now, vault.parse(self._one(where, now)).select(text.alias("c")).first()["c"])
 
     def undo(self) -> str:
-        if self.journal.rows is None or self.journal.rows.isEmpty():
+        if not self.journal.size():
             return "Nothing to undo."
-        self.raw, self.journal.rows = mutate.undo(self.raw, self.journal.rows)
+        for r in mutate.restored(self.journal.rows).collect():  # at most the journal's retained operations
+            self._put(r["path"], r["content"])
+        last = mutate.last_message(self.journal.rows).select("seq")
+        self.journal.rows = self.journal.rows.join(last, "seq", "left_anti")
         return "Undone."
 
     # index
     def index(self, root: str) -> index.Index:
-        return index.Index(self.spark, root)
+        """The index kept below ``root``, which searches read from now on."""
+        self.indexed = index.Index(self.spark, root)
+        return self.indexed
 
 
 def render(rows: DataFrame, n: int = 50) -> str:

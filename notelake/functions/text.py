@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 
 # The patterns that define links, tags and headers.
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]"
-TAG = r"(?mdU)(?:^|\s)#([a-zA-Z0-9_][a-zA-Z0-9_/\-]*)"
+TAG = r"(?mdU)#(?<!\S#)([a-zA-Z0-9_][a-zA-Z0-9_/\-]*)"
 HEADER = r"(?mdU)^(#{1,6})\s+(.+)$"
 BOUNDARY = r"(?mdU)\A-{3,}\s*?$"
-FRONT = r"(?smdU)\A-{3,}\s*?$(.*?)^-{3,}\s*?$(.*)\z"
+FENCED = r"(?mdU)\A-{3,}\s*?$((?s:.*?))^-{3,}\s*?$"
 ENTRY = r"(?md)^([^\s#:'\"\-\[\]{}][^:\n]*):(?:[ \t]+([^\n]*?)|)[ \t]*$((?:\n[ \t]*-[ \t]+[^\n]*)*)"
 SENTENCE_END = r"(?U)(?<=[.!?])\s+"
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 VALUE = "struct<type:string,str:string,items:array<string>>"
 ENTRIES = f"array<struct<k:string,v:{VALUE}>>"
 
 
 def strip(c: Column) -> Column:
-    """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    """Without leading and trailing white space of any kind; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def unix_newlines(c: Column) -> Column:
@@ -63,16 +66,20 @@ def hidden(path: Column) -> Column:
 # -- frontmatter
 
 
-def split_note(content: Column) -> tuple[Column, Column]:
-    """Frontmatter text (null without one) and stripped body."""
+def fence(content: Column) -> Column:
+    """The frontmatter block with both its fences, '' without one; reads no further than the second fence."""
     whole = strip(content)
-    has = whole.rlike(FRONT)
-    front = F.when(has, F.regexp_extract(whole, FRONT, 1))
-    body = F.when(has, strip(F.regexp_extract(whole, FRONT, 2))).otherwise(whole)
-    return front, body
+    return F.when(whole.startswith("---"), F.regexp_extract(whole, FENCED, 0)).otherwise(F.lit(""))
+
+
+def split_note(content: Column, block: Column | None = None) -> tuple[Column, Column]:
+    """Frontmatter text (null without one) and stripped body; ``block`` is the note's ``fence``, when at hand."""
+    whole, block = strip(content), fence(content) if block is None else block
+    front = F.when(block != "", F.regexp_extract(block, FENCED, 1))
+    return front, strip(F.substring(whole, F.length(block) + 1, F.length(whole)))
 
 
-def _typed(raw: Column) -> Column:
+def typed(raw: Column) -> Column:
     """A scalar's YAML type and the text Python's ``str`` gives it."""
     value = F.struct
     text = strip(raw)
@@ -110,7 +117,7 @@ def entries(front: Column) -> Column:
     keys, scalars, blocks = (all_matches(front, ENTRY, g) for g in (1, 2, 3))
 
     def listed(parts: Column) -> Column:
-        items = F.transform(F.filter(parts, lambda p: strip(p) != ""), _typed)
+        items = F.transform(F.filter(parts, lambda p: strip(p) != ""), typed)
         shown = F.concat(F.lit("["), F.array_join(F.transform(items, _item_repr), ", "), F.lit("]"))
         return F.struct(F.lit("list").alias("type"), shown.alias("str"), F.transform(items, lambda i: i["str"]).alias("items"))
 
@@ -120,7 +127,7 @@ def entries(front: Column) -> Column:
         value = (
             F.when(scalar.rlike(r"(?s)\A\[.*\]\z"), listed(F.split(flow, ",")))
             .when((scalar == "") & (block != ""), listed(F.slice(F.split(block, r"\n[ \t]*-[ \t]+"), 2, 1_000_000_000)))
-            .otherwise(_typed(scalar))
+            .otherwise(typed(scalar))
         )
         return F.struct(strip(e["keys"]).alias("k"), value.alias("v"))
 
@@ -128,6 +135,11 @@ def entries(front: Column) -> Column:
     return F.coalesce(F.transform(zipped, one), F.array().cast(ENTRIES))
 
 
+def plain_items(items: Column) -> Column:
+    """Whether list items need no quotes in a flow list."""
+    return F.forall(items, lambda i: i.rlike(r"\A[A-Za-z0-9_][\w ./-]*\z"))
+
+
 def property_of(fm: Column, key: str) -> Column:
     """The last value of a key among entries, or null."""
     hits = F.filter(fm, lambda e: e["k"] == key)

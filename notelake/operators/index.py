@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
@@ -57,53 +58,116 @@ def stats(found: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that the tables are cut into by a hash of the path; a run rewrites only parts it touches.
+PARTS = 64
+
+
 @dataclass
 class Index:
-    """Versioned Parquet tables below ``root``: each run writes a new version and then moves the pointer.
+    """Chunk, fact and metadata tables in Parquet below ``root``, cut into parts by a hash of the path.
 
-    A run reads only the previous version, so a failed one leaves it as it was. Chunks of notes
+    A manifest names the folder that holds each part of each table. A run writes folders for the
+    parts it touches and then a new manifest under the next number, whose creation fails if
+    another run has made it meanwhile; readers take the manifest with the highest number. So
+    a failed run leaves the tables as they were, and a new process finds them again. Chunks of notes
     that vanished or became too short go, whatever happened between runs.
     """
 
     spark: SparkSession
     root: str
     max_tokens: int = 1500
-    version: str | None = None
-
-    def table(self, name: str) -> DataFrame:
-        if self.version is None:
+    parts: int = PARTS
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def manifest(self) -> tuple[int, dict[str, dict[str, str]]]:
+        """Number and content, ``{table: {part: folder}}``, of the newest manifest; 0 and none at first."""
+        fs, top = self._files(), self._path("manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        number = max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+        if not number:
+            return 0, {n: {} for n in TABLES}
+        stream = fs.open(self._path(f"manifests/{number}.json"))
+        try:
+            return number, json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, held: dict[str, dict[str, str]]) -> None:
+        part = self._path(f"manifests/.{uuid.uuid4().hex}")
+        stream = self._files().create(part, True)
+        try:
+            stream.write(bytearray(json.dumps(held).encode()))
+        finally:
+            stream.close()
+        where = self._path(f"manifests/{number}.json")
+        if self._files().exists(where) or not self._files().rename(part, where):
+            self._files().delete(part, False)
+            raise RuntimeError("another run has changed the index meanwhile; run again")
+
+    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """A table as the newest manifest has it, or the parts ``only`` of it."""
+        return self._read(name, self.manifest()[1], only)
+
+    def _read(self, name: str, held: dict, only: list[int] | None = None) -> DataFrame:
+        folders = sorted(f for p, f in held[name].items() if only is None or int(p) in only)
+        if not folders:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{self.version}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def _write(self, tables: dict[str, DataFrame]) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        self.version = version
+    def _part(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int")
 
     def wipe(self) -> None:
-        self._write({n: self.spark.createDataFrame([], s) for n, s in TABLES.items()})
+        number, _ = self.manifest()
+        self._publish(number + 1, {n: {} for n in TABLES})
 
     def update(self, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """Bring the tables up to ``files``; with ``only(path)``, those paths alone, whatever their times."""
-        found = changes(files, self.table("meta"))
+        """Bring the tables up to ``files``; with ``only(path)``, those paths alone, whatever their times.
+
+        Returns ``stats`` of the run. Parts without a changed note are neither read (but for the
+        metadata) nor written.
+        """
+        number, held = self.manifest()
+        found = changes(files, self._read("meta", held))
         if only is not None:
             forced = F.when(F.col("state").isin("unchanged", "touched"), "modified").otherwise(F.col("state"))
             found = found.join(only.select("path").distinct(), "path", "left_semi").withColumn("state", forced)
-        found = found.cache()
-        stale = found.where(F.col("state").isin("removed", "modified", "new"))
+        run = f"run-{number + 1}-{uuid.uuid4().hex}"
+        found.write.parquet(f"{self.root}/{run}/changes")
+        found = self.spark.read.parquet(f"{self.root}/{run}/changes")
+        moved = found.where("state <> 'unchanged'")
+        stale = moved.where("state <> 'touched'")
+        parts = {k: sorted(r[0] for r in df.select(self._part("path")).distinct().collect()) for k, df in (("meta", moved), ("chunks", stale))}
+        parts["facts"] = parts["chunks"]
         fresh = files.join(stale.where("state <> 'removed'").select("path"), "path", "left_semi")
         notes = long_enough(vault.parse(fresh))
-        made = providers.embed(chunks(notes, self.max_tokens)).select(*[c.split()[0] for c in TABLES["chunks"].split(", ")])
-        facts = providers.extract_facts(notes)
-        seen = found.where("state <> 'removed'").select("path", "mtime", "size", "content_hash")
-        kept_meta = without(self.table("meta"), found.where("state <> 'unchanged'")) if only is None else without(self.table("meta"), found)
-        meta = kept_meta.unionByName(seen.join(found.where("state <> 'unchanged'").select("path"), "path", "left_semi")) if only is None else kept_meta.unionByName(seen)
-        self._write(
-            {
-                "chunks": without(self.table("chunks"), stale, "source_path").unionByName(made),
-                "facts": without(self.table("facts"), stale).unionByName(facts),
-                "meta": meta,
-            }
-        )
+        made = {
+            "chunks": providers.embed(chunks(notes, self.max_tokens)).select(*[c.split()[0] for c in TABLES["chunks"].split(", ")]),
+            "facts": providers.extract_facts(notes),
+            "meta": moved.where("state <> 'removed'").select("path", "mtime", "size", "content_hash"),
+        }
+        for name, new in made.items():
+            if not parts[name]:
+                continue
+            column = "source_path" if name == "chunks" else "path"
+            rows = without(self._read(name, held, parts[name]), moved if name == "meta" else stale, column).unionByName(new)
+            rows = rows.withColumn("part", self._part(column)).repartition(F.col("part")).sortWithinPartitions("part", column)
+            rows.write.partitionBy("part").parquet(f"{self.root}/{run}/{name}")
+            written = self.spark.read.schema(TABLES[name] + ", part int").parquet(f"{self.root}/{run}/{name}")
+            filled = {r[0] for r in written.select("part").distinct().collect()}
+            for p in parts[name]:
+                held[name].pop(str(p), None)
+                if p in filled:
+                    held[name][str(p)] = f"{run}/{name}/part={p}"
+        self._publish(number + 1, held)
         return stats(found)
+
+    def counts(self) -> DataFrame:
+        """One row ``(notes, chunks, facts)``: rows of the tables."""
+        n = lambda name: self.table(name).agg(F.count("*").alias(name))
+        return n("meta").withColumnRenamed("meta", "notes").join(n("chunks")).join(n("facts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 KEEP_OPERATIONS = 50
 
 
@@ -86,8 +88,19 @@ def update_properties(fm: Column, updates: dict[str, str | None]) -> Column:
 
 
 def header_text(fm: Column) -> Column:
-    """Entries as a YAML header block."""
-    return F.concat(F.lit("---\n"), F.array_join(F.transform(fm, lambda e: F.concat(e["k"], F.lit(": "), e["v"]["str"], F.lit("\n"))), ""), F.lit("---\n"))
+    """Entries as a YAML header block; strings that would read back as something else are quoted."""
+
+    def shown(v: Column) -> Column:
+        text = v["str"]
+        odd = text.rlike(r"""\A[\s\[\]{}'"&*!|>%@`,?:#-]|\A\z|[:\s]\z|:\s|\s#""") | (X.typed(text)["type"] != "str")
+        quoted = F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+        plain = F.when((v["type"] == "str") & odd, quoted).otherwise(text)
+        items = F.array_join(F.transform(v["items"], lambda i: F.concat(F.lit("'"), F.replace(i, F.lit("'"), F.lit("''")), F.lit("'"))), ", ")
+        listed = F.when(v["type"] == "list", F.concat(F.lit("["), F.when(X.plain_items(v["items"]), F.array_join(v["items"], ", ")).otherwise(items), F.lit("]")))
+        return F.when(v["type"] == "NoneType", F.lit("null")).when(v["type"] == "list", listed).otherwise(plain)
+
+    lines = F.transform(fm, lambda e: F.concat(e["k"], F.lit(": "), shown(e["v"]), F.lit("\n")))
+    return F.concat(F.lit("---\n"), F.array_join(lines, ""), F.lit("---\n"))
 
 
 def retained(journal: DataFrame, keep: int = KEEP_OPERATIONS) -> DataFrame:
@@ -102,15 +115,21 @@ def last_message(journal: DataFrame) -> DataFrame:
     return journal.crossJoin(F.broadcast(before)).where("edge is null or seq > edge").drop("edge")
 
 
+def restored(journal: DataFrame) -> DataFrame:
+    """``(path, content)``: the state that taking back the last message gives each of its paths; null removes the note."""
+    run = last_message(journal)
+    back = run.groupBy("path").agg(F.min_by(F.struct("before_content"), "seq").alias("b"))
+    return back.select("path", F.col("b.before_content").alias("content"))
+
+
 def undo(notes: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Notes and journal with the last message's operations taken back.
 
     Each path gets the state before its first operation in the run; none (null) removes it.
     """
-    run = last_message(journal)
-    back = run.groupBy("path").agg(F.min_by(F.struct("before_content"), "seq").alias("b")).select("path", F.col("b.before_content").alias("content"))
+    back = restored(journal)
     rest = notes.select("path", "content").join(back.select("path"), "path", "left_anti")
-    return rest.unionByName(back.where("content is not null")), journal.join(run.select("seq"), "seq", "left_anti")
+    return rest.unionByName(back.where("content is not null")), journal.join(last_message(journal).select("seq"), "seq", "left_anti")
 
 
 class Journal:
@@ -126,6 +145,9 @@ class Journal:
         row = spark.createDataFrame([(n + 1, message_id, path, action, before, after)], self.COLUMNS)
         self.rows = row if self.rows is None else retained(self.rows.unionByName(row))
 
+    def size(self) -> int:
+        return 0 if self.rows is None else self.rows.count()
+
     def recent(self, n: int = 10) -> DataFrame:
         return self.rows.orderBy(F.desc("seq")).limit(n).orderBy("seq")
 

@@ -84,9 +84,14 @@ def vector_top_k(vectors: DataFrame, query: list[float], k: int = VECTOR_K, key:
 
 
 def semantic_strategy(chunks: DataFrame, query: list[float], k: int = VECTOR_K) -> DataFrame:
-    hits = vector_top_k(chunks, query, k).withColumns({"path": F.col("source_path"), "title": F.col("note_title")})
+    return semantic_rows(vector_top_k(chunks, query, k))
+
+
+def semantic_rows(hits: DataFrame) -> DataFrame:
+    """Scored chunks ``(source_path, note_title, content, score)`` as results, best first."""
+    named = hits.withColumns({"path": F.col("source_path"), "title": F.col("note_title")})
     order = [F.lit("").alias("a"), (-F.round(F.col("score") * 1e9)).cast("long").alias("b")]
-    return _result(hits, "semantic", F.col("content"), F.col("score"), order)
+    return _result(named, "semantic", F.col("content"), F.col("score"), order)
 
 
 def resolve_links(notes: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from ..sources.providers import Chat, complete_json
 FACT_WORDS = ("code", "number", "phone", "address", "email", "birthday", "password", "pin", "key", "date", "price", "cost")
 BASE_WORDS = ("places", "media", "books", "movies", "restaurants", "music")
 STRATEGIES = ("semantic", "text", "facts", "frontmatter", "base", "graph")
+#: Strategies of the keyword routing in their order, each with the words that call for it (none: always).
+CALLED_BY = {"semantic": (), "facts": FACT_WORDS, "text": FACT_WORDS, "base": BASE_WORDS}
 
 
 @dataclass
@@ -21,44 +23,26 @@ class Step:
     params: dict = field(default_factory=dict)
 
 
-@dataclass
-class Route:
-    classification: str
-    steps: list[Step]
-    reasoning: str = ""
+def fallback(query: str) -> list[Step]:
+    """The keyword routing of one question."""
+    low = query.lower()
+    names = [n for n, words in CALLED_BY.items() if not words or any(w in low for w in words)]
+    return [Step(n, {"pattern" if n == "text" else "query": query}) for n in names]
 
 
-def fallback(query: str) -> Route:
-    """Keyword routing: always semantic; fact words add facts and text, base words a base."""
-    low = query.lower()
-    steps = [Step("semantic", {"query": query})]
-    if any(w in low for w in FACT_WORDS):
-        steps += [Step("facts", {"query": query}), Step("text", {"pattern": query})]
-    if any(w in low for w in BASE_WORDS):
-        steps.append(Step("base", {"query": query}))
-    return Route("conceptual", steps, "keywords")
+def routed(query: Column) -> Column:
+    """The keyword routing of a column of questions: an array of strategy names."""
+    low = F.lower(query)
+    return F.array_compact(F.array(*[F.when(low.rlike("|".join(w)) if w else F.lit(True), F.lit(n)) for n, w in CALLED_BY.items()]))
 
 
-def route(query: str, chat: Chat | None = None) -> Route:
+def route(query: str, chat: Chat | None = None) -> list[Step]:
     """A model's choice of strategies, or the keyword routing when there is none or it fails."""
     if chat is None:
         return fallback(query)
     prompt = "Choose retrieval strategies for the question. Reply as JSON with classification, strategies (name, params) and reasoning."
     try:
         reply = complete_json(chat, "router", [{"role": "system", "content": prompt}, {"role": "user", "content": query}])
-        steps = [Step(s["name"], s.get("params") or {}) for s in reply["strategies"] if s.get("name") in STRATEGIES]
-        return Route(reply.get("classification", "conceptual"), steps, reply.get("reasoning", "")) if steps else fallback(query)
+        return [Step(s["name"], s.get("params") or {}) for s in reply["strategies"] if s.get("name") in STRATEGIES] or fallback(query)
     except Exception:  # any failure of a remote model means the documented fallback
         return fallback(query)
-
-
-def routed(query: Column) -> Column:
-    """The keyword routing of a column of questions: an array of strategy names."""
-    low = F.lower(query)
-    named = F.array(
-        F.lit("semantic"),
-        F.when(low.rlike("|".join(FACT_WORDS)), F.lit("facts")),
-        F.when(low.rlike("|".join(FACT_WORDS)), F.lit("text")),
-        F.when(low.rlike("|".join(BASE_WORDS)), F.lit("base")),
-    )
-    return F.array_compact(named)

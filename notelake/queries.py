@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,16 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.parse(vault.derived_notes(spark, sf_dir))
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that driver and executors share (a temporary one on a single machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="notelake-")
+    return f"{root.rstrip('/')}/notelake/{name}-{uuid.uuid4().hex}"
+
+
 def _base(filters: list[str], logic: str = "and", columns=("file.name", "lang", "quality"), sort=()) -> bases.Base:
     return bases.Base(filters, logic, [bases.View(columns=list(columns), sort=list(sort))])
 
@@ -218,7 +231,32 @@ def chunk_sections(spark, sf_dir):
     return chunking.chunks(_notes(spark, sf_dir), max_tokens=1_000_000).drop("tags", "links")
 
 
-@registered()
+_PACK = r"""pg AS (SELECT path, row_number() OVER () AS pid, pos, p FROM (
+      SELECT path, unnest(a) AS p, unnest(range(1, len(a) + 1)) AS pos FROM (SELECT path, list_filter(list_transform(
+        string_split(regexp_replace(t, '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: {TRIM}), lambda x: x <> '') AS a FROM tx))),
+  st AS (SELECT pid, list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {TRIM}), lambda x: x <> '') AS s FROM pg),
+  fo AS (SELECT pid, 1 AS i, 0 AS batch, s[1] AS now, s FROM st WHERE len(s) > 0
+    UNION ALL SELECT pid, i + 1, CASE WHEN ceil(length(now || s[i + 1]) / 4) > {MAX} THEN batch + 1 ELSE batch END,
+      CASE WHEN ceil(length(now || s[i + 1]) / 4) > {MAX} THEN s[i + 1] ELSE now || s[i + 1] END, s FROM fo WHERE i < len(s)),
+  pk AS (SELECT pid, batch, max_by(now, i) AS text FROM fo GROUP BY pid, batch)"""
+
+
+def _pack(n: int) -> str:
+    return _PACK.replace("{TRIM}", _TRIM.format("x")).replace("{MAX}", str(n))
+
+
+@registered(rf"""WITH RECURSIVE {{DV}}, p0 AS (SELECT path, title, lang, quality, source, doc_id, {_TRIM.format('text')} AS t, '#' || lang || ' ' || regexp_extract(body, '\[\[doc_[0-9]+\]\] \[\[doc_[0-9]+\|alias\]\]$') AS l FROM dv),
+  tx AS (SELECT path, t FROM p0 WHERE ceil(length(t) / 4) > 100), {_pack(100)},
+  pc AS (SELECT path, 0 AS a, 0 AS b, 0 AS c, 'frontmatter' AS chunk_type, '' AS section_header,
+      'Note: ' || title || chr(10) || 'Properties:' || chr(10) || '  lang: ' || lang || chr(10) || '  source: ' || source || CASE WHEN quality IS NULL THEN '' ELSE chr(10) || '  quality: q' || quality END AS raw FROM p0
+    UNION ALL SELECT path, 1, 0, 0, 'section', 'Doc ' || doc_id, t FROM p0 WHERE t <> '' AND ceil(length(t) / 4) <= 100
+    UNION ALL SELECT path, 1, pos, 0, 'paragraph', 'Doc ' || doc_id, p FROM pg JOIN p0 USING (path) WHERE ceil(length(p) / 4) <= 100
+    UNION ALL SELECT path, 1, pos, batch, 'paragraph', 'Doc ' || doc_id, text FROM pk JOIN pg USING (pid) JOIN p0 USING (path) WHERE ceil(length(p) / 4) > 100
+    UNION ALL SELECT path, 2, 0, 0, 'section', 'Links', l FROM p0),
+  nu AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY a, b, c) - 1 AS INTEGER) AS chunk_index FROM pc)
+  SELECT substr(sha256(path || ':' || chunk_index), 1, 16) AS chunk_id, path AS source_path, title AS note_title, section_header, chunk_type, chunk_index,
+    CASE WHEN chunk_type = 'frontmatter' THEN raw ELSE 'Note: ' || title || chr(10) || 'Section: ' || section_header || chr(10) || raw END AS content,
+    substr(sha256(raw), 1, 32) AS content_hash FROM nu JOIN p0 USING (path)""")
 def chunk_paragraph_sentence_pack(spark, sf_dir):
     return chunking.chunks(_notes(spark, sf_dir), max_tokens=100).drop("tags", "links")
 
@@ -235,8 +273,29 @@ _HYBRID = r"""ln AS (SELECT path, title, unnest(string_split(head || body || chr
   fr AS (SELECT 'frontmatter' AS source, path, title, 'quality: q0' AS content, 0.9 AS score, 1 AS so, 0 AS ro FROM dv WHERE quality = 0),
   fb AS (SELECT 'base' AS source, path, title, 'file_name: ' || title || ' | lang: ' || lang || CASE WHEN quality IS NULL THEN '' ELSE ' | quality: q' || quality END AS content, 0.85 AS score, 2 AS so, 0 AS ro
          FROM dv WHERE source = 'src0'),
-  al AS (SELECT source, path, title, content, score, so, ro FROM th WHERE r <= 5 UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM fb),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY path, substr(content, 1, 100) ORDER BY score DESC, so, path, ro) AS k FROM al)"""
+  qv AS (SELECT embedding FROM embeddings WHERE vec_id = 0),
+  sv AS (SELECT 'semantic' AS source, path, title, substr(body, 1, 500) AS content, round({COS}, 6) AS score, 3 AS so, e.vec_id AS v FROM embeddings e JOIN dv ON dv.doc_id = e.vec_id, qv q),
+  sm AS (SELECT source, path, title, content, score, so, -CAST(round(score * 1e9) AS BIGINT) AS ro FROM sv ORDER BY score DESC, v LIMIT 10),
+  fx AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b([a-z]+)\.([0-9]+)@', 1)) AS k, unnest(regexp_extract_all(text, '\b([a-z]+)\.([0-9]+)@', 2)) AS x,
+         unnest(range(0, len(regexp_extract_all(text, '\b([a-z]+)\.([0-9]+)@', 0)))) AS place FROM documents),
+  fa AS (SELECT 'facts' AS source, path, title, title || ': ' || k || ' = ' || x AS content, 0.95 AS score, 4 AS so, place AS ro FROM fx JOIN dv USING (doc_id) WHERE contains(k, 'th') ORDER BY path, place LIMIT 50),
+  al AS (SELECT source, path, title, content, score, so, ro FROM th WHERE r <= 5 UNION ALL SELECT * FROM fr UNION ALL SELECT * FROM fb UNION ALL SELECT * FROM sm UNION ALL SELECT * FROM fa),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY path, substr(content, 1, 100) ORDER BY score DESC, so, path, ro) AS k FROM al)""".replace("{COS}", _COS)
+
+
+def _semantic(spark, sf_dir, notes):
+    """The ten notes nearest to a query vector, by the vectors kept for them."""
+    v = _read(spark, sf_dir, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in _query_vector(v)])
+    scored = v.join(notes.select("doc_id"), v.vec_id == F.col("doc_id"), "left_semi").withColumn("score", F.round(X.cosine(F.col("embedding"), q), 6))
+    near = scored.where("score is not null").orderBy(F.desc("score"), "vec_id").limit(search.VECTOR_K)
+    rows = notes.join(F.broadcast(near.select(F.col("vec_id").alias("doc_id"), "score")), "doc_id")
+    chunks = rows.select(F.col("path").alias("source_path"), F.col("title").alias("note_title"), F.left("body", F.lit(500)).alias("content"), "score")
+    return search.semantic_rows(chunks)
+
+
+def _note_facts(notes):
+    return providers.extract_facts(notes, r"\b([a-z]+)\.([0-9]+)@")
 
 
 def _strategies(spark, sf_dir):
@@ -244,6 +303,7 @@ def _strategies(spark, sf_dir):
     base = bases.resolve(_base(['file.folder == "src0"']), notes)
     return [
         search.text_strategy(notes, "license|quality: q0"), search.frontmatter_strategy(notes, "quality", "q0"), search.base_strategy(base),
+        _semantic(spark, sf_dir, notes), search.facts_strategy(_note_facts(notes), "", key="th"),
     ]
 
 
@@ -400,18 +460,200 @@ def debounce_sessions(spark, sf_dir):
   SELECT event_type AS vault, epoch_us(start) AS start_us, n AS n_changes FROM b WHERE fin <= (SELECT max(ts) FROM events) - INTERVAL '1 minute'""")
 def stream_debounce(spark, sf_dir):
     """The same batches from a stream with a watermark, read to its end."""
-    import uuid
-
     schema = _read(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     rows = stream.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("vault"), F.col("user_id").cast("string").alias("path"), F.col("props").alias("change_type"))
     out = changes.debounced(rows, gap="10 minutes", watermark="1 minute").select("vault", F.unix_micros("start").alias("start_us"), "n_changes")
-    name = "debounced_" + uuid.uuid4().hex
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    where = _scratch(spark, "debounced")
+    q = out.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{where}/rows")
 
 
 @registered("WITH {DV} SELECT path, title, quality IS NOT NULL AS labelled, CAST(CASE WHEN quality IS NULL THEN 2 ELSE 3 END AS INTEGER) AS n_properties FROM dv")
 def note_parse(spark, sf_dir):
     return _notes(spark, sf_dir).select("path", "title", X.property_of(F.col("fm"), "quality").isNotNull().alias("labelled"), F.size("fm").alias("n_properties"))
+
+
+# -- listings, reading and changes
+
+
+@registered("WITH {DV} SELECT path FROM dv ORDER BY path")
+def note_list(spark, sf_dir):
+    return vault.paths(vault.derived_notes(spark, sf_dir))
+
+
+@registered("WITH {DV} SELECT path, title, body, length(head || body || chr(10)) AS n_chars FROM dv WHERE doc_id = 3")
+def note_read(spark, sf_dir):
+    notes = vault.derived_notes(spark, sf_dir)
+    path = notes.where("doc_id = 3").first()["path"]
+    return vault.read_one(notes, path).select("path", "title", "body", F.length("content").cast("long").alias("n_chars"))
+
+
+@registered(r"WITH {DV} SELECT path, regexp_replace(head || body || chr(10), '\r\n?', chr(10), 'g') AS content, CAST(strlen(head || body || chr(10)) AS BIGINT) AS size FROM dv")
+def notes_written_and_scanned(spark, sf_dir):
+    """All notes written as files and read back from the folder."""
+    root = _scratch(spark, "folder")
+    vault.write_notes(vault.derived_notes(spark, sf_dir), root).write.format("noop").mode("overwrite").save()
+    return vault.scan(spark, root).select("path", "content", "size")
+
+
+@registered("SELECT p AS path, p IN ('src0', 'src0/sub/..') OR EXISTS (SELECT 1 FROM documents WHERE source || '/doc_' || doc_id || '.md' = p) AS present "
+            "FROM (SELECT unnest(['src0', 'src0/sub/..', 'nosrc', 'nope.md', '../src0', 'src0/doc_0.md', 'src1/doc_1.md', 'src2/doc_2.md']) AS p)")
+def note_exists(spark, sf_dir):
+    notes = vault.derived_notes(spark, sf_dir).select("path")
+    asked = ["src0", "src0/sub/..", "nosrc", "nope.md", "../src0", "src0/doc_0.md", "src1/doc_1.md", "src2/doc_2.md"]
+    return spark.createDataFrame([(p, vault.exists(notes, p)) for p in asked], "path string, present boolean")
+
+
+@registered("SELECT 'v/Good.base' AS path, 'Good' AS name, 2 AS n_views, 'lang == \"en\"|quality != 1' AS filters, 'or' AS logic UNION ALL SELECT 'v/None.base', 'None', 0, '', 'and'")
+def base_summary(spark, sf_dir):
+    good = 'filters:\n  or:\n    - lang == "en"\n    - quality != 1\nviews:\n  - {name: A, order: [file.name]}\n  - {name: B}\n'
+    found = bases.summaries(spark, {"v/Good.base": good, "v/None.base": "views: []\n", "v/Bad.base": "filters: text\n"})
+    return found.select("path", "name", "n_views", F.array_join("filters", "|").alias("filters"), "logic")
+
+
+@registered("SELECT doc_id, CAST(ceil(length(text) / 4) AS INTEGER) AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+
+
+@registered(f"SELECT item_id, {_TRIM.format('text')} AS text FROM benchmark")
+def fences_stripped(spark, sf_dir):
+    fenced = F.concat(F.lit("\n```json\n"), "text", F.lit("\n```\n"))
+    return _read(spark, sf_dir, "benchmark").select("item_id", X.strip_fences(fenced).alias("text"))
+
+
+def _tagged(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    flow = F.concat(F.lit("tags: ["), "lang", F.lit(", '#"), "source", F.lit("', "), "lang", F.lit("]"))
+    text = F.concat(F.lit("tags: '#"), "lang", F.lit(" , "), "source", F.lit("'"))
+    front = F.when(F.col("doc_id") % 3 == 0, flow).when(F.col("doc_id") % 3 == 1, text).otherwise(F.lit("other: 1"))
+    content = F.concat(F.lit("---\n"), front, F.lit("\n---\nbody #own/"), F.col("doc_id").cast("string"))
+    return d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+
+
+@registered("""WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN ['own/' || doc_id] ELSE [lang, source, 'own/' || doc_id] END AS a FROM documents)
+  SELECT doc_id || '.md' AS path, CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS tag FROM t""")
+def frontmatter_tags(spark, sf_dir):
+    return vault.parse(_tagged(spark, sf_dir)).select("path", F.posexplode("tags").alias("pos", "tag"))
+
+
+@registered(f"WITH {_FACTS}, g AS (SELECT {_FACT_ROW} FROM f) SELECT 'facts' AS source, path, title, entity || ': ' || key || ' = ' || value AS content, CAST(0.95 AS DOUBLE) AS score FROM g WHERE contains(key, 'an') ORDER BY path, place LIMIT 50")
+def facts_strategy(spark, sf_dir):
+    return search.facts_strategy(_facts(spark, sf_dir), "", key="AN").select("source", "path", "title", "content", "score")
+
+
+@registered(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), s AS (SELECT e.vec_id, e.label, round({_COS}, 6) AS score FROM embeddings e, q) SELECT 'semantic' AS source, 'v/' || vec_id AS path, 'label ' || label AS content, score FROM s ORDER BY score DESC, vec_id LIMIT 10")
+def semantic_rows(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings")
+    name = F.concat(F.lit("v/"), F.col("vec_id").cast("string"))
+    chunks = v.select(name.alias("source_path"), name.alias("note_title"), F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label "), "label").alias("content"), "embedding")
+    return search.semantic_strategy(chunks, _query_vector(v)).select("source", "path", "content", F.round("score", 6).alias("score"))
+
+
+@registered("""SELECT path FROM (SELECT CASE event_id % 5 WHEN 0 THEN '.trash/' || user_id || '.md' WHEN 1 THEN 'a/' || user_id || '.base' WHEN 2 THEN 'a/.b/' || user_id || '.md'
+  WHEN 3 THEN 'a/' || user_id || '.txt' ELSE user_id || '.md' END AS path, event_id FROM events) WHERE event_id % 5 IN (1, 4)""")
+def indexable_changes(spark, sf_dir):
+    k, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    path = F.when(k == 0, F.concat(F.lit(".trash/"), u, F.lit(".md"))).when(k == 1, F.concat(F.lit("a/"), u, F.lit(".base"))).when(
+        k == 2, F.concat(F.lit("a/.b/"), u, F.lit(".md"))).when(k == 3, F.concat(F.lit("a/"), u, F.lit(".txt"))).otherwise(F.concat(u, F.lit(".md")))
+    return changes.indexable(_read(spark, sf_dir, "events").select(path.alias("path")))
+
+
+@registered(f"WITH RECURSIVE tx AS (SELECT doc_id AS path, text AS t FROM documents), {_pack(100)} SELECT path AS doc_id, CAST(pos - 1 AS INTEGER) AS pos, p AS text FROM pg")
+def paragraphs(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"))).alias("pos", "text"))
+
+
+@registered(f"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS a FROM documents)
+  SELECT doc_id, CAST(unnest(range(0, len(a))) AS INTEGER) AS pos, unnest(a) AS text FROM t""".replace("\\\\", "\\"))
+def sentences(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "text"))
+
+
+@registered(f"WITH RECURSIVE tx AS (SELECT doc_id AS path, text AS t FROM documents), {_pack(60)} SELECT path AS doc_id, CAST(pos - 1 AS INTEGER) AS pos, CAST(batch AS INTEGER) AS batch, text FROM pk JOIN pg USING (pid)")
+def sentence_fold(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"))).alias("pos", "p"))
+    return rows.select("doc_id", "pos", F.posexplode(chunking.pack_sentences(F.col("p"), 60)).alias("batch", "text"))
+
+
+@registered("SELECT doc_id || '.md' AS path, text AS content FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'new/' || doc_id || '.md', 'fresh' FROM documents WHERE doc_id % 3 = 1")
+def notes_created_and_deleted(spark, sf_dir):
+    """Deletes a third of the notes and creates others; a note in the way of a new one stays as it is."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    rest = mutate.delete(d.select("path", "content"), d.where("doc_id % 3 = 0"))
+    taken = d.where("doc_id % 3 = 2").select("path", F.lit("not written").alias("content"))
+    new = d.where("doc_id % 3 = 1").select(F.concat(F.lit("new/"), "path").alias("path"), F.lit("fresh").alias("content"))
+    return mutate.create(rest, new.unionByName(taken))
+
+
+@registered("""WITH j AS (SELECT conv_id * 100 + turn AS seq, conv_id, role AS path, CASE WHEN turn > 0 THEN text END AS b FROM conversations),
+  l AS (SELECT * FROM j WHERE conv_id = (SELECT max(conv_id) FROM conversations)) SELECT path, b AS content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS r FROM l) WHERE r = 1""")
+def undo_restores(spark, sf_dir):
+    return mutate.restored(_journal(spark, sf_dir))
+
+
+@registered("SELECT seq, path, n FROM (SELECT conv_id * 100 + turn AS seq, role AS path, (SELECT count(*) FROM conversations) AS n FROM conversations ORDER BY seq DESC LIMIT 10)")
+def journal_recent(spark, sf_dir):
+    j = mutate.Journal(_journal(spark, sf_dir))
+    return j.recent(10).select("seq", "path", F.lit(j.size()).cast("long").alias("n"))
+
+
+@registered(f"""WITH {_SESSIONS.format(gap="'3 seconds'")}, b AS (SELECT *, min(ts) OVER (PARTITION BY event_type, sid) AS start FROM s),
+  r AS (SELECT *, row_number() OVER (PARTITION BY event_type, sid, user_id ORDER BY ts DESC, props DESC) AS r FROM b)
+  SELECT event_type AS vault, epoch_us(start) AS start_us, CAST(user_id AS VARCHAR) AS path, props AS change_type FROM r WHERE r = 1""")
+def last_change_per_path(spark, sf_dir):
+    got = changes.last_changes(_events(spark, sf_dir))
+    return got.select("vault", F.unix_micros("start").alias("start_us"), "path", "change_type")
+
+
+def _versioned(spark, sf_dir):
+    notes = vault.derived_notes(spark, sf_dir)
+    return notes.select("path", "content", F.lit(1.0).alias("mtime"), F.octet_length("content").cast("long").alias("size"), "doc_id")
+
+
+_CHUNKS = ORACLES["chunk_sections"].rsplit("SELECT substr(", 1)[0]
+
+
+@registered(_CHUNKS + """, k AS (SELECT path, chunk_index, coalesce(raw, content) AS x, source_doc FROM (SELECT c.*, CAST(regexp_extract(path, '([0-9]+)\\.md$', 1) AS BIGINT) AS source_doc FROM c))
+  SELECT path AS source_path, CAST(chunk_index AS INTEGER) AS chunk_index, CASE WHEN source_doc % 5 = 2 AND chunk_index = (SELECT max(z.chunk_index) FROM c z WHERE z.path = k.path)
+    THEN substr(sha256(x || chr(10) || 'more'), 1, 32) ELSE substr(sha256(x), 1, 32) END AS content_hash FROM k WHERE source_doc % 5 <> 1""".replace("\\\\", "\\"))
+def index_lifecycle(spark, sf_dir):
+    """The index after two runs: all notes, then a fifth of them gone, a fifth longer and a fifth touched."""
+    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, parts=8)
+    files = _versioned(spark, sf_dir)
+    ix.update(files.drop("doc_id"))
+    k = F.col("doc_id") % 5
+    longer = F.when(k == 2, F.concat("content", F.lit("more"))).otherwise(F.col("content"))
+    later = files.where(k != 1).select("path", longer.alias("content"), F.when(k.isin(2, 3), 2.0).otherwise(1.0).alias("mtime"), "size")
+    ix.update(later)
+    return index.Index(spark, ix.root).table("chunks").select("source_path", "chunk_index", "content_hash")
+
+
+@registered("SELECT (SELECT count(*) FROM documents) AS notes, (SELECT sum(CASE WHEN regexp_matches(text, '\\S') THEN 3 ELSE 2 END) FROM documents) AS chunks".replace("\\\\", "\\"))
+def index_counts(spark, sf_dir):
+    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, parts=8)
+    ix.update(_versioned(spark, sf_dir).drop("doc_id"))
+    return ix.counts().select("notes", "chunks")
+
+
+@registered("SELECT source || '/doc_' || doc_id || '.md' AS path FROM documents WHERE doc_id % 2 = 0")
+def stream_incremental_index(spark, sf_dir):
+    """An index fed by a stream of changed paths: every second note, a hidden and a foreign file."""
+    files, root = _versioned(spark, sf_dir), _scratch(spark, "streamed")
+    even = files.where("doc_id % 2 = 0").select("path")
+    other = spark.createDataFrame([(".x/doc_1.md",), ("src0/doc_1.txt",), ("gone.md",)], "path string")
+    even.unionByName(other).coalesce(4).write.parquet(f"{root}/changes")
+    ix = index.Index(spark, f"{root}/index", max_tokens=1_000_000, parts=8)
+    stream = spark.readStream.schema("path string").option("maxFilesPerTrigger", "3").parquet(f"{root}/changes")
+    changes.index_stream(stream, ix, lambda: files.drop("doc_id"), f"{root}/log").awaitTermination()
+    return ix.table("meta").select("path")
+
+
+@registered("WITH {DV}, s AS (SELECT 'doc_' || doc_id || '.md (' || printf('%.1f', strlen(head || body || chr(10)) / 1024.0) || ' KB)' AS x, 'doc_' || doc_id || '.md' AS n FROM dv WHERE source = 'src3') SELECT string_agg(x, chr(10) ORDER BY n) AS listing FROM s")
+def listing_text(spark, sf_dir):
+    from . import api
+
+    notes = vault.derived_notes(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
+    return spark.createDataFrame([(api.render_listing(vault.list_dir(notes, "src3")),)], "listing string")

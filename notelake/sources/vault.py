@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ def _relative(path: Column, root: str) -> Column:
 
 
 def scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """``(path, content, mtime, size)`` of the files below ``root``, hidden paths left out."""
+    """``(path, content, mtime, size)`` of the files below ``root``; hidden paths and empty files are left out."""
     raw = (
         spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     )
@@ -34,12 +38,13 @@ def scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
 def parse(notes: DataFrame) -> DataFrame:
     """``notes(path, content, ...)`` with title, body, frontmatter entries, tags, links, headers and line count.
 
-    Splitting and property parsing sit in one-row generators: the optimizer can't copy them into
-    every predicate and column that reads them, so they run once a note.
+    The search for the fence and property parsing sit in one-row generators: the optimizer can't copy
+    them into every predicate and column that reads them, so they run once a note. What only
+    reads properties never cuts a body.
     """
-    front, body = X.split_note(F.col("content"))
-    split = notes.select("*", F.inline(F.array(F.struct(front.alias("front"), body.alias("body")))))
-    read = split.select("*", F.explode(F.array(X.entries(F.col("front")))).alias("fm"))
+    fenced = notes.select("*", F.explode(F.array(X.fence(F.col("content")))).alias("fence"))
+    front, body = X.split_note(F.col("content"), F.col("fence"))
+    read = fenced.select("*", F.explode(F.array(X.entries(front))).alias("fm")).withColumn("body", body)
     return read.withColumns(
         {
             "title": X.stem(F.col("path")),
@@ -48,7 +53,7 @@ def parse(notes: DataFrame) -> DataFrame:
             "headers": X.headers(F.col("content"), F.col("body")),
             "line_count": X.line_count(F.col("content")),
         }
-    ).drop("front")
+    ).drop("fence")
 
 
 def paths(notes: DataFrame) -> DataFrame:
@@ -90,10 +95,82 @@ def exists(notes: DataFrame, path: str) -> bool:
     return not notes.where((F.col("path") == where) | F.col("path").startswith(where + "/")).isEmpty()
 
 
+def read_raw(spark: SparkSession, root: str, path: str) -> str:
+    """The text of any file below ``root``; FileNotFoundError without one."""
+    where = _jvm_path(spark, root, safe_path(path))
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where) or fs.getFileStatus(where).isDirectory():
+        raise FileNotFoundError(path)
+    stream = fs.open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
+def _jvm_path(spark: SparkSession, root: str, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(root, path)
+
+
+def write_raw(spark: SparkSession, root: str, path: str, content: str) -> None:
+    """Write one file below ``root``, through a hidden neighbour that is then renamed, so readers see the old or the new text."""
+    where = _jvm_path(spark, root, safe_path(path))
+    fs, part = where.getFileSystem(spark._jsc.hadoopConfiguration()), _jvm_path(spark, str(where.getParent()), f".{where.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+    fs.delete(where, False)
+    if not fs.rename(part, where):
+        raise OSError(f"cannot write {path}")
+
+
+def remove_raw(spark: SparkSession, root: str, path: str) -> None:
+    where = _jvm_path(spark, root, safe_path(path))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+
+
+def write_notes(notes: DataFrame, root: str) -> DataFrame:
+    """Write every row of ``notes(path, content)`` as a file below ``root``; ``(path, size)`` of each, once read.
+
+    Every task writes its own rows where they are, through hidden neighbours that are then
+    renamed: a repeated task writes the same files again. ``root`` is a folder or a URI that all executors
+    reach. A path that leaves the root raises ValueError.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                where, raw = f"{base}/{safe_path(path)}", (content or "").encode()
+                folder, name = where.rsplit("/", 1)
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(raw)
+                store.move(part, where)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["path", "size"])
+
+    return notes.select("path", "content").mapInArrow(written, "path string, size long")
+
+
 def list_dir(files: DataFrame, path: str = "") -> DataFrame:
-    """``(name, path, is_dir, size, extension)`` of what lies directly in ``path``; folders have size 0."""
+    """``(name, path, is_dir, size, extension)`` of what lies directly in ``path``; folders have size 0.
+
+    A file's path raises NotADirectoryError.
+    """
     base = safe_path(path)
     prefix = base + "/" if base else ""
+    if "." in base.rsplit("/", 1)[-1] and not files.where(F.col("path") == base).isEmpty():
+        raise NotADirectoryError(path)
     inside = files.where(F.col("path").startswith(prefix) & ~X.hidden(F.col("path")))
     rest = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
     rows = inside.select(F.element_at(F.split(rest, "/"), 1).alias("name"), (F.instr(rest, "/") > 0).alias("is_dir"), "size")

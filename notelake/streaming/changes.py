@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -18,32 +18,28 @@ def indexable(changes: DataFrame) -> DataFrame:
 def debounced(changes: DataFrame, key: str = "vault", gap: str = GAP, watermark: str | None = None) -> DataFrame:
     """``changes(ts, <key>, path, change_type)`` -> one row a pause-separated batch of each key.
 
-    ``(key, start, end, n_changes, paths)``; ``paths`` maps each path to its last change type.
-    Works on a stream (give a watermark; the last open batch appears once the watermark has
-    passed it) and on a table alike.
+    ``(key, start, end, n_changes)``, and on a table ``n_paths``. Works on a stream (give a watermark; the last open
+    batch appears once the watermark has passed it) and on a table alike; the state of a batch is its count.
     """
     rows = changes.withWatermark("ts", watermark) if watermark else changes
-    if watermark:
-        got = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(
-            F.count("*").alias("n_changes"), F.collect_list(F.struct("ts", "path", "change_type")).alias("all")
-        )
-        ordered = F.array_sort("all")
-        paths = F.map_from_entries(
-            F.transform(
-                F.array_distinct(F.transform(ordered, lambda c: c["path"])),
-                lambda p: F.struct(p.alias("key"), F.element_at(F.filter(ordered, lambda c: c["path"] == p), -1)["change_type"].alias("value")),
-            )
-        )
-        return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_changes", paths.alias("paths"))
-    got = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_changes"), F.count_distinct("path").alias("n_paths"))
-    return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_changes", "n_paths")
+    n_paths = [] if watermark else [F.count_distinct("path").alias("n_paths")]
+    got = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_changes"), *n_paths)
+    return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_changes", *[c for c in got.columns if c == "n_paths"])
 
 
 def last_changes(changes: DataFrame, key: str = "vault", gap: str = GAP) -> DataFrame:
-    """``(key, start, path, change_type)``: each path's last change within each batch of a table."""
-    batches = changes.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.collect_list(F.struct("path", "ts", "change_type")).alias("all"))
-    rows = batches.select(key, F.col("w.start").alias("start"), F.explode("all").alias("c")).select(key, "start", "c.*")
-    return rows.groupBy(key, "start", "path").agg(F.max_by("change_type", "ts").alias("change_type"))
+    """``(key, start, path, change_type)``: each path's last change (the greatest of equally late ones) within each batch of a table.
+
+    A batch starts where a key's time differs from the one before by more than the gap. Starts are found on
+    distinct times, and each change finds its batch by a running maximum, so no batch is gathered anywhere.
+    """
+    own = Window.partitionBy(key).orderBy("ts")
+    pause = F.lag("ts").over(own)
+    times = changes.select(key, "ts").distinct()
+    starts = times.withColumn("start", F.when(pause.isNull() | (pause + F.expr(f"interval {gap}") < F.col("ts")), F.col("ts")))
+    batches = starts.withColumn("start", F.max("start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max(F.struct("ts", "change_type"))
+    return changes.join(batches, [key, "ts"]).groupBy(key, "start", "path").agg(last.alias("c")).select(key, "start", "path", "c.change_type")
 
 
 def index_stream(stream: DataFrame, index, files, checkpoint: str, available_now: bool = True):

@@ -192,7 +192,7 @@ def test_search_calls(lake):
 
 
 def test_router():
-    assert [s.name for s in router.fallback("PIN of my books").steps] == ["semantic", "facts", "text", "base"]
+    assert [s.name for s in router.fallback("PIN of my books")] == ["semantic", "facts", "text", "base"]
 
     class Broken:
         def complete(self, *a, **k):
@@ -202,8 +202,8 @@ def test_router():
         def complete(self, *a, **k):
             return '```json\n{"classification": "factual", "strategies": [{"name": "text", "params": {"pattern": "x"}}, {"name": "zzz"}]}\n```'
 
-    assert router.route("hello", Broken()).steps[0].name == "semantic"
-    assert [(s.name, s.params) for s in router.route("hello", Good()).steps] == [("text", {"pattern": "x"})]
+    assert router.route("hello", Broken())[0].name == "semantic"
+    assert [(s.name, s.params) for s in router.route("hello", Good())] == [("text", {"pattern": "x"})]
 
 
 def test_offline_embedding_agrees_with_query_side(spark):
@@ -274,6 +274,45 @@ def test_mutations_and_undo(spark):
         lake.patch("zzz.md", "[]")
 
 
+def test_changes_reach_the_folder(spark, tmp_path):
+    (tmp_path / "v" / "sub").mkdir(parents=True)
+    (tmp_path / "v" / "sub" / "a.md").write_text("---\nk: v\n---\n\none\n")
+    lake = api.Vault(spark, f"{tmp_path}/v")
+    files = lambda: {str(p.relative_to(tmp_path / "v")): p.read_text() for p in (tmp_path / "v").rglob("*.md")}
+    lake.create("new/b.md", "text é")
+    lake.append("sub/a.md", "two")
+    lake.update_frontmatter("sub/a.md", json.dumps({"n": "1: 2", "k": "yes"}))
+    assert files() == {"new/b.md": "text é", "sub/a.md": "---\nk: 'yes'\nn: '1: 2'\n---\n\none\ntwo"}
+    assert {r.path for r in lake.raw.collect()} == set(files()) and lake.read_raw("new/b.md") == "text é"
+    fm = {e.k: (e.v.type, e.v.str) for e in lake.read("sub/a.md").first().fm}
+    assert fm == {"k": ("str", "yes"), "n": ("str", "1: 2")}
+    lake.delete("new/b.md")
+    for _ in range(4):
+        lake.undo()
+    assert files() == {"sub/a.md": "---\nk: v\n---\n\none\n"} and lake.undo() == "Nothing to undo."
+    for path, error in (("../x.md", ValueError), ("none.md", FileNotFoundError)):
+        with pytest.raises(error):
+            lake.read_raw(path)
+    with pytest.raises(NotADirectoryError):
+        lake.ls("sub/a.md")
+
+
+def test_notes_are_written_as_files(spark, tmp_path):
+    notes = spark.createDataFrame([("a.md", "x"), ("d/e.md", "y\n"), ("n.md", None)], "path string, content string")
+    assert {(r.path, r.size) for r in vault.write_notes(notes, f"file://{tmp_path}/w").collect()} == {("a.md", 1), ("d/e.md", 2), ("n.md", 0)}
+    assert {r.path: r.content for r in vault.scan(spark, f"{tmp_path}/w").collect()} == {"a.md": "x", "d/e.md": "y\n"}  # Spark's file sources skip empty files
+    with pytest.raises(Exception, match="escapes"):
+        vault.write_notes(spark.createDataFrame([("../a.md", "x")], "path string, content string"), f"{tmp_path}/w").collect()
+
+
+def test_search_reads_the_index(spark, tmp_path):
+    lake = api.Vault(spark, notes=spark.createDataFrame([("a.md", "garage code: 42\nlong enough", 1.0, 29)], "path string, content string, mtime double, size bigint"))
+    ix = lake.index(f"file://{tmp_path}/ix")
+    assert lake.search("code", "facts").count() == 0
+    ix.update(lake.raw)
+    assert lake.search("garage", "semantic").count() == 1
+
+
 def test_undo_of_a_message_with_several_steps(spark):
     j = spark.createDataFrame([(1, "m1", "a", "create", None, "1"), (2, "m2", "a", "patch", "1", "2"), (3, "m2", "a", "patch", "2", "3"), (4, "m2", "b", "create", None, "n")], mutate.Journal.COLUMNS)
     notes = spark.createDataFrame([("a", "3"), ("b", "n")], "path string, content string")
@@ -297,6 +336,11 @@ def test_index_lifecycle(spark, tmp_path):
     only = spark.createDataFrame([("d.md",), ("a.md",)], "path string")
     assert tuple(ix.update(files([("a.md", "# A\nchanged text now", 9.0, 20)]), only=only).first()) == (2, 0, 1)
     assert {r.source_path for r in ix.table("chunks").collect()} == {"a.md"}
+    again = index.Index(spark, f"file://{tmp_path}/ix")  # as a new process finds it
+    assert {r.source_path for r in again.table("chunks").collect()} == {"a.md"} and tuple(again.counts().first()) == (3, 1, 0) or tuple(again.counts().first())[1:] == (1, 0)
+    number, held = again.manifest()
+    with pytest.raises(RuntimeError):
+        again._publish(number, held)
     ix.wipe()
     assert ix.table("chunks").count() == ix.table("meta").count() == 0
 
