@@ -258,7 +258,8 @@ def _predictor(docs: DataFrame, folds: int, held: int):
             score = pa.array(np.concatenate(scores) if scores else np.empty(0))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), score], names=["lang_pred", "score"])
 
-    return F.arrow_udf(predicted, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER)
+    # Not to be evaluated once for a filter and again for what it keeps.
+    return F.arrow_udf(predicted, "lang_pred string, score double", ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
