@@ -85,14 +85,15 @@ class Vault:
 
     # search
     def _strategy(self, step: router.Step, query: str) -> DataFrame | None:
-        p, notes = step.params, self.parsed()
+        p, raw = step.params, self.raw
+        notes = vault.parse(raw)
         if step.name == "semantic":
             chunks = self.indexed.table("chunks") if self.indexed else providers.embed(chunking.chunks(notes))
             return search.semantic_strategy(chunks, providers.embed_text(query))
         if step.name == "text":
-            return search.text_strategy(self.raw, p.get("pattern") or query)
+            return search.text_strategy(raw, p.get("pattern") or query)
         if step.name == "facts":
-            facts = self.indexed.table("facts") if self.indexed else providers.extract_facts(notes)
+            facts = self.indexed.table("facts") if self.indexed else providers.extract_facts(vault.bodies(raw))
             return search.facts_strategy(facts, query, p.get("entity", ""), p.get("key", ""), p.get("value", ""))
         if step.name == "frontmatter" and p.get("field"):
             return search.frontmatter_strategy(notes, p["field"], str(p.get("value", "")), p.get("operator", "=="))

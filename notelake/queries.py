@@ -283,13 +283,14 @@ _HYBRID = r"""ln AS (SELECT path, title, unnest(string_split(head || body || chr
   rk AS (SELECT *, row_number() OVER (PARTITION BY path, substr(content, 1, 100) ORDER BY score DESC, so, path, ro) AS k FROM al)""".replace("{COS}", _COS)
 
 
-def _semantic(spark, sf_dir, notes):
-    """The ten notes nearest to a query vector, by the vectors kept for them."""
-    v = _read(spark, sf_dir, "embeddings")
+def _semantic(spark, sf_dir):
+    """The ten notes nearest to a query vector, by the vectors kept for them; only those are parsed."""
+    v, notes = _read(spark, sf_dir, "embeddings"), vault.derived_notes(spark, sf_dir)
     q = F.array(*[F.lit(float(x)) for x in _query_vector(v)])
-    scored = v.join(notes.select("doc_id"), v.vec_id == F.col("doc_id"), "left_semi").withColumn("score", F.round(X.cosine(F.col("embedding"), q), 6))
-    near = scored.where("score is not null").orderBy(F.desc("score"), "vec_id").limit(search.VECTOR_K)
-    rows = notes.join(F.broadcast(near.select(F.col("vec_id").alias("doc_id"), "score")), "doc_id")
+    kept = v.join(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    scored = kept.withColumn("score", F.round(X.cosine(F.col("embedding"), q), 6)).where("score is not null")
+    near = scored.orderBy(F.desc("score"), "vec_id").limit(search.VECTOR_K).select(F.col("vec_id").alias("doc_id"), "score")
+    rows = vault.bodies(notes.join(F.broadcast(near), "doc_id"))
     chunks = rows.select(F.col("path").alias("source_path"), F.col("title").alias("note_title"), F.left("body", F.lit(500)).alias("content"), "score")
     return search.semantic_rows(chunks)
 
@@ -302,8 +303,8 @@ def _strategies(spark, sf_dir):
     notes = _notes(spark, sf_dir)
     base = bases.resolve(_base(['file.folder == "src0"']), notes)
     return [
-        search.text_strategy(notes, "license|quality: q0"), search.frontmatter_strategy(notes, "quality", "q0"), search.base_strategy(base),
-        _semantic(spark, sf_dir, notes), search.facts_strategy(_note_facts(notes), "", key="th"),
+        search.text_strategy(vault.derived_notes(spark, sf_dir), "license|quality: q0"), search.frontmatter_strategy(notes, "quality", "q0"), search.base_strategy(base),
+        _semantic(spark, sf_dir), search.facts_strategy(_note_facts(vault.bodies(vault.derived_notes(spark, sf_dir))), "", key="th"),
     ]
 
 

@@ -35,6 +35,13 @@ def scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
     return rows.where(~X.hidden(F.col("path")))
 
 
+def bodies(notes: DataFrame) -> DataFrame:
+    """``notes(path, content, ...)`` with title, frontmatter block and body; no property is parsed."""
+    fenced = notes.select("*", F.explode(F.array(X.fence(F.col("content")))).alias("fence"))
+    front, body = X.split_note(F.col("content"), F.col("fence"))
+    return fenced.withColumns({"title": X.stem(F.col("path")), "front": front, "body": body}).drop("fence")
+
+
 def parse(notes: DataFrame) -> DataFrame:
     """``notes(path, content, ...)`` with title, body, frontmatter entries, tags, links, headers and line count.
 
@@ -42,18 +49,15 @@ def parse(notes: DataFrame) -> DataFrame:
     them into every predicate and column that reads them, so they run once a note. What only
     reads properties never cuts a body.
     """
-    fenced = notes.select("*", F.explode(F.array(X.fence(F.col("content")))).alias("fence"))
-    front, body = X.split_note(F.col("content"), F.col("fence"))
-    read = fenced.select("*", F.explode(F.array(X.entries(front))).alias("fm")).withColumn("body", body)
+    read = bodies(notes).select("*", F.explode(F.array(X.entries(F.col("front")))).alias("fm"))
     return read.withColumns(
         {
-            "title": X.stem(F.col("path")),
             "tags": X.tags(F.col("fm"), F.col("body")),
             "wikilinks": X.wikilinks(F.col("body")),
             "headers": X.headers(F.col("content"), F.col("body")),
             "line_count": X.line_count(F.col("content")),
         }
-    ).drop("fence")
+    ).drop("front")
 
 
 def paths(notes: DataFrame) -> DataFrame:
@@ -204,10 +208,16 @@ def tree(files: DataFrame, path: str = "", depth: int = 3) -> DataFrame:
     return rows.groupBy("path", "depth", "parent", "type").agg(F.count("*").alias("n_files")).orderBy("path")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the input has fewer parts than that; a larger input stays where it lies."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def derived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content)`` notes made from the documents and labels tables."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    docs = read("documents").join(read("labels").select("doc_id", "quality"), "doc_id", "left")
+    docs = spread(read("documents").select("doc_id", "lang", "source", "text")).join(read("labels").select("doc_id", "quality"), "doc_id", "left")
     total = read("documents").agg(F.count("*").alias("n"))
     n = F.col("n")
     quality = F.coalesce(F.concat(F.lit("quality: q"), F.col("quality").cast("string"), F.lit("\n")), F.lit(""))
