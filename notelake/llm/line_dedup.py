@@ -7,66 +7,81 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Lines of the shortest run that is found: the winnowing window.
+#: Lines of a run that is found whatever its length: the winnowing window.
 MIN_RUN = 3
+#: Words of a shorter run that is found too.
+MIN_WORDS = 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(lines, run: int):
-    """For every window of ``run`` lines: its first line ``s``, the place ``p`` of the least line
-    hash in it (leftmost of equals), that hash ``f``, and two hashes of the whole window."""
-    first = F.transform(lines, lambda x: F.xxhash64(x))
-    second = F.transform(lines, lambda x: F.xxhash64(F.lit(1), x))
+def _windows(run: int, least: int):
+    """An array of all windows of ``first``, ``second`` and ``words``: every ``run`` lines, and fewer with ``least`` words.
 
-    def window(s):
-        part = F.slice(F.col("first"), s + 1, run)
+    Of each: its first line ``s`` and lines ``n``, the place ``p`` of the least line hash in it (leftmost of
+    equals), that hash ``f``, and two hashes of the whole window.
+    """
+
+    def window(s, n):
+        part = F.slice(F.col("first"), s + 1, n)
         low = F.array_min(part)
         return F.struct(
             s.alias("s"),
+            F.lit(n).alias("n"),
             (s + F.array_position(part, low) - 1).cast("int").alias("p"),
             low.alias("f"),
             F.xxhash64(part).alias("w1"),
-            F.xxhash64(F.lit(1), F.slice(F.col("second"), s + 1, run)).alias("w2"),
+            F.xxhash64(F.lit(1), F.slice(F.col("second"), s + 1, n)).alias("w2"),
         )
 
-    starts = F.when(F.size(lines) >= run, F.sequence(F.lit(0), F.size(lines) - run)).otherwise(F.array().cast("array<int>"))
-    return first, second, starts, window
+    def starts(n):
+        size = F.size("first")
+        every = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        words = lambda s: sum((F.get("words", s + i) for i in range(1, n)), F.get("words", s))
+        return every if n == run else F.filter(every, lambda s: words(s) >= least)
+
+    def windows(n):
+        return F.transform(starts(n), lambda s: window(s, n))
 
+    return F.flatten(F.array(*[windows(n) for n in range(1, run + 1)]))
 
-def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, text_key, line)``: lines (from 0) that belong to a run of ``min_run`` or more
-    lines which occurs earlier, in the order of doc_id, text hash and line."""
+    lines, or of fewer with ``min_words`` or more words, which occurs earlier, in the order of
+    doc_id, text hash and line."""
     lines = F.split(F.col("t"), "\n")
-    first, second, starts, window = _windows(lines, min_run)
-    arrays = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), text_of(docs).alias("t")
-    ).select("d", F.xxhash64("t").alias("k"), first.alias("first"), second.alias("second"), starts.alias("starts"))
-    rows = arrays.select("d", "k", F.explode(F.transform("starts", window)).alias("w")).select("d", "k", "w.*")
+    hashed = [F.transform(lines, lambda x: F.xxhash64(x)).alias("first"), F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)).alias("second")]
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
+    arrays = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), text_of(docs).alias("t")).select(
+        "d", F.xxhash64("t").alias("k"), *hashed, words.alias("words")
+    )
+    rows = arrays.select("d", "k", F.explode(_windows(min_run, min_words)).alias("w")).select("d", "k", "w.*")
     windows = materialize(rows, "line_windows")
     # Fingerprints: the selected places; a run that occurs twice has its fingerprints twice.
     place = F.struct("d", "k", "p")
     prints = windows.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
     shared = materialize(prints.where("lo <> hi").select("f"), "fingerprints")
     # Join positions, then extend both ways: all windows that hold a shared fingerprint.
-    near = materialize(windows.join(shared, "f").select("d", "k", "s", "w1", "w2"), "extended")
+    near = materialize(windows.join(shared, "f").select("d", "k", "s", "n", "w1", "w2"), "extended")
     earliest = near.groupBy("w1", "w2").agg(F.min(F.struct("d", "k", "s")).alias("lo"), F.max(F.struct("d", "k", "s")).alias("hi"))
     origin = materialize(earliest.where("lo <> hi").select("w1", "w2", "lo"), "origins")
     later = near.join(origin, ["w1", "w2"]).where(F.struct("d", "k", "s") > F.col("lo"))
-    covered = later.select("d", "k", F.explode(F.sequence(F.col("s"), F.col("s") + (min_run - 1))).alias("line"))
+    covered = later.select("d", "k", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("line"))
     return covered.distinct().select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "line")
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, n_lines, n_removed, text)`` of every row, later repeated runs deleted.
 
-    Lines end at ``\\n``. A window of ``min_run`` lines selects its least line hash; runs of at
-    least that many lines that occur twice therefore share a selected place. Places with a
+    Lines end at ``\\n``. A window of ``min_run`` lines, or of fewer with ``min_words`` words together, selects its
+    least line hash; runs of at least that many lines or words that occur twice therefore share a selected place. Places with a
     hash in common are extended both ways by the windows around them, compared by two
     64-bit hashes, and every line of a window that occurs earlier (by doc_id, text hash, line)
-    is deleted; the first occurrence stays. Texts of fewer lines stay whole; null counts as
+    is deleted; the first occurrence stays. Shorter texts stay whole; null counts as
     empty; rows that repeat a doc_id with equal text count as one place and all keep what it
     keeps; a null doc_id sorts first; other columns are ignored; an empty table gives none.
     """
-    gone = repeated_lines(docs, min_run)
+    gone = repeated_lines(docs, min_run, min_words)
     per_doc = materialize(
         gone.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set("line").alias("gone")), "removed"
     )

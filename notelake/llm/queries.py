@@ -19,7 +19,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_run=3)
+    return line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"), min_run=3, min_words=50)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +68,12 @@ QUERIES = {
 ORACLES = {
     "op3_line_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
-             w AS (SELECT doc_id, s - 1 AS s, list_slice(a, s, s + 2) AS w
-                   FROM (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS s FROM d WHERE len(a) >= 3)),
+             c3 AS (SELECT doc_id, a, list_transform(a, lambda x: len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))) AS n_words FROM d),
+             w AS (SELECT doc_id, s - 1 AS s, n, list_slice(a, s, s + n - 1) AS w
+                   FROM (SELECT doc_id, a, n_words, n, unnest(range(1, len(a) - n + 2)) AS s FROM c3, (VALUES (1), (2), (3)) z(n) WHERE len(a) >= n)
+                   WHERE n = 3 OR list_sum(list_slice(n_words, s, s + n - 1)) >= 50),
              o AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS r FROM w),
-             g AS (SELECT DISTINCT doc_id, unnest([s, s + 1, s + 2]) AS line FROM o WHERE r > 1),
+             g AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS line FROM o WHERE r > 1),
              l AS (SELECT doc_id, unnest(a) AS x, unnest(range(0, len(a))) AS line FROM d),
              k AS (SELECT l.doc_id, string_agg(l.x, chr(10) ORDER BY l.line) AS text FROM l ANTI JOIN g USING (doc_id, line) GROUP BY l.doc_id),
              c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)

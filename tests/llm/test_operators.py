@@ -200,15 +200,18 @@ def test_boosting_learns_and_calibrates():
     assert boosting.fit([]).probability((1, 1)) < 0.01
 
 
-def plain_lines(texts, run=3):
+def plain_lines(texts, run=3, words=50):
     seen, gone = {}, defaultdict(set)
     for key, text in sorted(texts):
         a = text.split("\n")
-        for s in range(len(a) - run + 1):
-            w = tuple(a[s : s + run])
-            if w in seen and seen[w] != (key, s):
-                gone[key].update(range(s, s + run))
-            seen.setdefault(w, (key, s))
+        for n in range(1, run + 1):
+            for s in range(len(a) - n + 1):
+                w = tuple(a[s : s + n])
+                if n < run and sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in w) < words:
+                    continue
+                if w in seen and seen[w] != (key, s):
+                    gone[key].update(range(s, s + n))
+                seen.setdefault(w, (key, s))
     return {key: (len(t.split("\n")), "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[key])) for key, t in texts}
 
 
@@ -216,6 +219,10 @@ def test_line_dedup(spark, docs):
     known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r.doc_id: (r.n_lines, r.text) for r in line_dedup.dedup_lines(known).collect()}
     assert got == plain_lines([(r.doc_id, r.text or "") for r in known.select("doc_id", "text").collect()])
+    say = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    short = [(1, say(1, 60)), (2, f"a\n{say(1, 60)}\nb"), (3, f"{say(2, 20)}\n{say(3, 40)}"), (4, f"x\n{say(2, 20)}\n{say(3, 40)}"), (5, say(2, 20)), (6, say(1, 60)), (7, say(4, 49)), (8, say(4, 49))]
+    few = {r.doc_id: (r.n_lines, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    assert few == plain_lines(short) and few[2] == (3, "a\nb") and few[4] == (3, "x") and few[6] == (1, "") and few[8][1] == short[7][1]
     every = line_dedup.dedup_lines(docs)
     assert every.count() == docs.count() and every.columns == ["doc_id", "n_lines", "n_removed", "text"]
 
