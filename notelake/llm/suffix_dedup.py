@@ -8,11 +8,10 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, released, small_batches, text_of
 
 #: Bytes of the shortest repeated string that is removed, and of the gram that anchors are picked by.
 LENGTH, GRAM = 400, 64
@@ -87,20 +86,24 @@ def anchors(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np
         yield grams[p], p + at, first + at, last + at
 
 
-_ANCHOR = "d long, k long, gram long, ctx long, p int, s0 int, s1 int"
+_ANCHOR = "d long, k long, gram long, c1 long, c2 long, p int, s0 int, s1 int"
+
+
+def _strong(parts: list[bytes]) -> np.ndarray:
+    """The first 128 bits of SHA-256 of each, as two words: nobody can make two byte strings share them, so equal words stand for equal bytes."""
+    return np.frombuffer(b"".join([hashlib.sha256(x).digest()[:16] for x in parts]), np.int64).reshape(-1, 2)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         got: list[list[np.ndarray]] = []
         for d, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = t.as_py()
             for gram, p, s0, s1 in anchors(raw):
                 spans = zip(s0.tolist(), s1.tolist(), (p - s0).tolist(), strict=True)
-                ctx = np.fromiter((digest(raw[a : b + LENGTH], o) for a, b, o in spans), np.uint64, len(p))
+                ctx = _strong([raw[a : b + LENGTH] + o.to_bytes(2) for a, b, o in spans])
                 n = len(p)
-                got.append([np.full(n, d), np.full(n, k), gram.view(np.int64), ctx.view(np.int64), *(x.astype(np.int32) for x in (p, s0, s1))])
+                got.append([np.full(n, d), np.full(n, k), gram.view(np.int64), ctx[:, 0], ctx[:, 1], *(x.astype(np.int32) for x in (p, s0, s1))])
             if sum(len(g[0]) for g in got[-64:]) > 100_000 or len(got) > 2_000:
                 yield _batch(got)
                 got = []
@@ -109,8 +112,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(got: list[list[np.ndarray]]) -> pa.RecordBatch:
-    cols = [pa.array(np.concatenate([g[i] for g in got])) for i in range(7)]
-    return pa.RecordBatch.from_arrays(cols, names=["d", "k", "gram", "ctx", "p", "s0", "s1"])
+    cols = [pa.array(np.concatenate([g[i] for g in got])) for i in range(8)]
+    return pa.RecordBatch.from_arrays(cols, names=["d", "k", "gram", "c1", "c2", "p", "s0", "s1"])
 
 
 _DETAIL = "hot boolean, gram long, single boolean, d long, k long, p int, s0 int, s1 int, left binary, right binary, w1 long, w2 long, s int"
@@ -120,8 +123,6 @@ def _detail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Surroundings of the anchors that a sort compares, or each window's two hashes where too many differ."""
     names = [c.split()[0] for c in _DETAIL.split(", ")]
     kinds = [pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-    h1, h2 = xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     out: list[tuple] = []
     for batch in batches:
         for d, k, t, todo in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -129,9 +130,8 @@ def _detail_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in todo.as_py():
                 p, s0, s1 = a["p"], a["s0"], a["s1"]
                 if a["hot"]:
-                    for s in range(s0, s1 + 1):
-                        w = raw[s : s + LENGTH]
-                        out.append((True, a["gram"], a["single"], d, k, p, s0, s1, None, None, signed(h1(w)), signed(h2(w)), s))
+                    hashed = _strong([raw[s : s + LENGTH] for s in range(s0, s1 + 1)]).tolist()
+                    out += [(True, a["gram"], a["single"], d, k, p, s0, s1, None, None, *w, s0 + i) for i, w in enumerate(hashed)]
                 else:
                     out.append((False, a["gram"], a["single"], d, k, p, s0, s1, raw[s0:p], raw[p : s1 + LENGTH], None, None, None))
                 if len(out) >= 20_000:
@@ -254,21 +254,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """``(d, k, ranges array<struct<a,b>>)``: byte ranges covered by repeated strings of LENGTH bytes, unmerged.
 
-    Anchors whose gram and whole surroundings occur twice are repeated throughout. The other
+    Anchors whose gram and whole surroundings occur twice are repeated throughout (equal surroundings have the same
+    128 bits of SHA-256, which is what verifies them; the sort compares bytes). The other
     anchors of a shared gram are compared with one representative of each distinct surroundings:
     by a suffix sort in one task for up to SORT_LIMIT of them, and beyond that by counting the
     hashes of their windows, so that no group of any size meets in one task.
     """
+    small_batches(docs.sparkSession)
     rows = keyed(docs)
-    found = materialize(rows.where(F.octet_length("raw") >= LENGTH).select("d", "k", "raw").mapInArrow(_anchor_rows, _ANCHOR), "anchors")
+    found = materialize(rows.where(F.octet_length("raw") >= LENGTH).select("d", "k", "raw").mapInArrow(lambda it: released(_anchor_rows(it)), _ANCHOR), "anchors")
     classes = materialize(
-        found.groupBy("gram", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "p", "s0", "s1")).alias("r")), "surroundings"
+        found.groupBy("gram", "c1", "c2").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "p", "s0", "s1")).alias("r")), "surroundings"
     )
     grams = materialize(
         classes.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("m"), F.min("c").alias("least")).where("n > 1"), "grams"
     )
-    whole = materialize(classes.where("c > 1").select("gram", "ctx"), "repeated")
-    first = found.join(whole, ["gram", "ctx"]).select("d", "k", F.col("s0").alias("a"), (F.col("s1") + LENGTH).alias("b"))
+    whole = materialize(classes.where("c > 1").select("gram", "c1", "c2"), "repeated")
+    first = found.join(whole, ["gram", "c1", "c2"]).select("d", "k", F.col("s0").alias("a"), (F.col("s1") + LENGTH).alias("b"))
 
     open_grams = grams.where("least = 1 and m > 1").select("gram", (F.col("m") > SORT_LIMIT).alias("hot"))
     todo = classes.join(open_grams, "gram").select("r.d", "r.k", F.struct("gram", "hot", (F.col("c") == 1).alias("single"), "r.p", "r.s0", "r.s1").alias("x"))
