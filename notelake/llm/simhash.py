@@ -149,7 +149,8 @@ def link_fingerprints(reps: DataFrame, distance: int = 2) -> DataFrame:
     coordinate that differs by more than ``distance`` (triangle inequality), and an exact count of
     differing bits verifies survivors. Signatures with more than PAIR_LIMIT members don't emit
     pairs: their members meet at shared one-bit neighbours, at most 65 rows each, exact for
-    distances up to 2, since any two members of such a neighbourhood differ in 2 bits at most.
+    distances up to 2, since any two members of such a neighbourhood differ in 2 bits at most; what
+    meets there passes the pivot table and the count of bits like any other pair.
     """
     if distance > 2:
         raise ValueError("links of more than 2 bits are not supported")
@@ -160,20 +161,18 @@ def link_fingerprints(reps: DataFrame, distance: int = 2) -> DataFrame:
     left = few.select("key", F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("table").alias("ta"))
     right = few.select("key", F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("table").alias("tb"))
     near = F.forall(F.zip_with("ta", "tb", lambda x, y: F.abs(x - y)), lambda d: d <= distance)
-    pairs = (
-        left.join(right, (left["key"] == right["key"]) & (F.col("fa") < F.col("fb")))
-        .where(near)
-        .where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance)
-        .select("a", "b")
-    )
+    same = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("fa") < F.col("fb"))).where(near).where(same).select("a", "b")
     many = cand.where(F.col("members") > PAIR_LIMIT).select("fp", "rep").distinct()
     spread = materialize(many.select("rep", F.explode(_ball(F.col("fp"), distance)).alias("z"), "fp"), "balls")
     if distance == 2:
-        hubs = materialize(spread.groupBy("z").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-        stars = spread.join(hubs, "z").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        hubs = spread.groupBy("z").agg(F.min(F.struct("rep", "fp")).alias("hub"), F.count("*").alias("n")).where("n > 1")
+        ends = [F.col("hub.fp").alias("fa"), F.col("hub.rep").alias("a"), F.col("fp").alias("fb"), F.col("rep").alias("b")]
+        stars = spread.join(materialize(hubs, "hubs"), "z").where("rep <> hub.rep").select(*ends)
     else:
-        own = many.select(F.col("fp").alias("z"), F.col("rep").alias("a"))
-        stars = spread.join(own, "z").where("a <> rep").select("a", F.col("rep").alias("b")) if distance else pairs.limit(0)
+        own = many.select(F.col("fp").alias("z"), F.col("fp").alias("fa"), F.col("rep").alias("a"))
+        stars = spread.join(own, "z").where("a <> rep").select("fa", "a", F.col("fp").alias("fb"), F.col("rep").alias("b"))
+    stars = stars.withColumns({"ta": _table(F.col("fa")), "tb": _table(F.col("fb"))}).where(near).where(same).select("a", "b")
     return pairs.union(stars)
 
 
@@ -198,10 +197,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 
 def fingerprint_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """Rows of ``docs`` whose document is the smallest of its component; of repeated rows all stay."""
-    groups = near_duplicates(docs, shingle, distance)
-    heads = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "heads")
-    return docs.join(heads.hint("merge"), "doc_id", "left_semi").select(*docs.columns)

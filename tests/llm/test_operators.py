@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from notelake.llm import boosting, exact_lsm, langid, line_dedup, mixing, pii, quality_crf, sentencepiece_dropout, simhash, suffix_dedup, topk
+from notelake.llm import boosting, exact_lsm, jaccard, langid, line_dedup, mixing, pii, quality_crf, sentencepiece_dropout, simhash, suffix_dedup, topk
 from notelake.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, k long, t string, token string, rep int, fp int"
@@ -110,7 +110,7 @@ def test_components_of_a_long_path(spark):
 
 
 def test_keep_one_keeps_columns(docs):
-    kept = simhash.keep_one(docs)
+    kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert 0 in ids and 71 not in ids
@@ -477,7 +477,7 @@ def test_top_k_with_repeated_ids(spark, group, monkeypatch):
 
 @pytest.mark.parametrize(
     "run",
-    [simhash.near_duplicates, simhash.keep_one, exact_lsm.exact_duplicates, exact_lsm.drop_duplicates, pii.find_pii, line_dedup.dedup_lines,
+    [simhash.near_duplicates, exact_lsm.exact_duplicates, exact_lsm.drop_duplicates, pii.find_pii, line_dedup.dedup_lines,
      sentencepiece_dropout.encode, langid.identify, langid.keep_identified, mixing.mix, mixing.mixed_documents, suffix_dedup.remove_repeats],
 )
 def test_empty_tables(empty, run):
