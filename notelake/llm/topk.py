@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir
 
 TILE_QUERIES = 512
 SHARD_ROWS = 4096
@@ -107,8 +108,8 @@ def _search(batches: Iterator[pa.RecordBatch], group, k: int) -> Iterator[pa.Rec
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """``queries``/``vectors`` of ``(vec_id, v)`` -> ``(query_id, rank, vec_id, score)``.
 
-    ``queries`` are rows of ``vectors``. They are read in groups of about GROUP_BYTES, each of which is broadcast and
-    meets all shards where they lie: a shard of SHARD_ROWS vectors and a tile of TILE_QUERIES
+    ``queries`` are rows of ``vectors``. They are read in groups of about GROUP_BYTES, one after the other, each of which is broadcast,
+    meets all shards where they lie, and leaves its lists in a table: a shard of SHARD_ROWS vectors and a tile of TILE_QUERIES
     queries make one matrix product and one partial selection. A task merges the lists of its shards, so that
     only k + 1 rows a query and task are shuffled; these merge over branches and then whole.
 
@@ -121,16 +122,18 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     numbered = materialize(queries.select(F.monotonically_increasing_id().alias("q"), "vec_id", "v"), "queries")
     size = numbered.agg(F.sum(F.size("v").cast("long") * 8 + 16).alias("n")).first()["n"] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    lists = None
+    lists = f"{shared_dir(spark)}/notelake/lists-{uuid.uuid4().hex}"
     for g in range(groups):
         part = numbered.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g).toArrow().to_batches()
         shared = spark.sparkContext.broadcast(_group(part))
         found = vectors.select("vec_id", "v").mapInArrow(lambda it, shared=shared: _search(it, shared, k + 1), _PARTIAL)
-        lists = found if lists is None else lists.union(found)
+        found.write.mode("append").parquet(lists)
+        shared.unpersist()
     first = Window.partitionBy("q", "tree").orderBy(F.desc("score"), "vec_id")
     last = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     merged = (
-        lists.withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+        spark.read.schema(_PARTIAL).parquet(lists)
+        .withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
         .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
         .withColumn("r", F.row_number().over(last)).where(F.col("r") <= k + 1)
     )
