@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_lsm, langid, line_dedup, mixing, pii, quality_crf, sentencepiece_dropout, simhash, suffix_dedup, topk
+from . import (
+    conversation_repair, exact_lsm, langid, license_scan, line_dedup, mixing, pii, quality_crf, ranked_search, sentencepiece_dropout, simhash,
+    suffix_dedup, topk,
+)
 from .common import read_table
+from .more_sql import LICENSE_SQL, RANKED_SQL, REPAIR_SQL
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +56,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op11_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audited(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(read_table(spark, sf_dir, "benchmark"), read_table(spark, sf_dir, "documents"), k=20)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pii": op2_pii,
@@ -63,6 +79,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk": op10_topk,
+    "op11_license": op11_license,
+    "op12_repair": op12_repair,
+    "op13_ranked": op13_ranked,
 }
 
 ORACLES = {
@@ -127,4 +146,7 @@ ORACLES = {
              r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_license": LICENSE_SQL,
+    "op12_repair": REPAIR_SQL,
+    "op13_ranked": RANKED_SQL,
 }
