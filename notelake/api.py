@@ -9,25 +9,57 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bases, chunking, index, mutate, search
+from .operators import bases, chunking, index, journal, mutate, search
 from .plans import router
-from .sources import providers, vault
+from .sources import config, files, ignore, providers, vault
+from .streaming import changes
 
 
 class Vault:
     """Notes of a folder (or any ``(path, content[, mtime, size])`` table), read lazily.
 
-    Changes of a folder's notes are written to its files; those of a table are kept as a small
-    overlay of changed notes, so that the plan over the table doesn't grow with their number.
-    With ``index_root``, searches by meaning and for facts read the index kept there.
+    Changes of a folder's notes are written to its files, and to a journal in its hidden folder ``.notelake`` that all processes share;
+    those of a table are kept as a small overlay of changed notes, so that the plan over the table doesn't grow with
+    their number. With ``index_root``, searches by meaning and for facts read the index kept there. ``settings`` has the chunk size,
+    the undo depth, the pause of the watcher and the model services; a ``chat`` or ``embedder`` given here goes first.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, notes: DataFrame | None = None, chat=None, index_root: str | None = None):
-        self.spark, self.root, self.chat = spark, root, chat
+    def __init__(
+        self, spark: SparkSession, root: str | None = None, notes: DataFrame | None = None, chat=None, index_root: str | None = None,
+        settings: config.Settings | None = None, embedder: providers.Embedder | None = None,
+    ):
+        self.settings = settings or config.Settings()
+        self.spark, self.root = spark, root
+        self.chat = chat or self.settings.chat()
+        self.embedder = embedder or self.settings.embedder()
         self.table = notes
         self.changed: dict[str, str | None] = {}
-        self.indexed = index.Index(spark, index_root) if index_root else None
-        self.journal = mutate.Journal()
+        self.indexed = self.index(index_root) if index_root else None
+        keep = self.settings.undo.max_operations
+        self.journal = journal.MemoryJournal(spark, keep) if notes is not None else journal.Journal(spark, f"{root}/.notelake/journal", keep)
+
+    @classmethod
+    def from_settings(cls, spark: SparkSession, path: str) -> Vault:
+        """The vault that a settings file describes, with its index."""
+        found = config.load(path)
+        return cls(spark, found.vault.path, index_root=found.index.db_path, settings=found)
+
+    def start(self, log: DataFrame | None = None, checkpoint: str | None = None):
+        """Bring the index up to date, then follow a stream of changes (see ``changes.log_changes``), as the settings say; the stream's query, if any."""
+        folder = self.settings.vault
+        if folder.index_on_startup:
+            self.indexed.update_folder(self.root)
+        if folder.watch and log is not None:
+            return changes.watch(log, lambda paths: self.indexed.update_folder(self.root, only=paths), checkpoint, f"{folder.debounce_seconds} seconds")
+        return None
+
+    @property
+    def listed(self) -> DataFrame:
+        """Files and folders, without content; of a table, its notes."""
+        if self.table is None:
+            return files.listing(self.spark, self.root)
+        raw = self.raw
+        return raw if "size" in raw.columns else raw.withColumn("size", F.octet_length("content").cast("long"))
 
     @property
     def raw(self) -> DataFrame:
@@ -43,31 +75,37 @@ class Vault:
 
     # reading
     def ls(self, path: str = "") -> DataFrame:
-        raw = self.raw
-        return vault.list_dir(raw if "size" in raw.columns else raw.withColumn("size", F.octet_length("content").cast("long")), path)
+        return vault.list_dir(self.listed, path)
 
     def read_raw(self, path: str) -> str:
         """The text of any file of the folder."""
         return vault.read_raw(self.spark, self.root, path)
 
     def read(self, path: str) -> DataFrame:
-        return vault.read_one(self.raw, path)
+        return vault.read_one(self.raw, path) if self.table is not None else vault.read_file(self.spark, self.root, path)
+
+    def exists(self, path: str) -> bool:
+        return vault.exists(self.listed, path)
 
     def tree(self, path: str = "", depth: int = 3) -> DataFrame:
-        return vault.tree(self.raw, path, depth)
+        return vault.tree(self.listed, path, depth)
 
     def tags(self, tag: str = "") -> DataFrame:
         return search.notes_by_tag(self.parsed(), tag) if tag else search.tag_counts(self.parsed())
 
     # bases
-    def base_texts(self) -> dict[str, str]:
-        return {r["path"]: r["content"] for r in vault.scan(self.spark, self.root, "*.base").select("path", "content").collect()}
-
     def base_list(self) -> DataFrame:
-        return bases.summaries(self.spark, self.base_texts())
+        return bases.summaries(vault.scan(self.spark, self.root, ".base")).orderBy("path")
 
     def base_read(self, path: str) -> bases.Base:
-        return bases.parse_base(self.base_texts()[path])
+        """The base of one file; FileNotFoundError without it."""
+        return bases.parse_base(self.read_raw(path))
+
+    def _first_base(self) -> str | None:
+        """The least path of all bases."""
+        if not self.root:
+            return None
+        return files.with_suffix(files.listing(self.spark, self.root), ".base").agg(F.min("path")).first()[0]
 
     def base_query(self, base: str | bases.Base, question: str = "") -> DataFrame:
         """Rows of a base; a question lets a chat model pick among the first 50, else all rows stay."""
@@ -88,19 +126,20 @@ class Vault:
         p, raw = step.params, self.raw
         notes = vault.parse(raw)
         if step.name == "semantic":
-            chunks = self.indexed.table("chunks") if self.indexed else providers.embed(chunking.chunks(notes))
-            return search.semantic_strategy(chunks, providers.embed_text(query))
+            max_tokens = self.settings.index.chunk_max_tokens
+            chunks = self.indexed.table("chunks") if self.indexed else providers.embedded(chunking.chunks(notes, max_tokens), self.embedder)
+            return search.semantic_strategy(chunks, self.embedder.embed([query])[0])
         if step.name == "text":
-            return search.text_strategy(raw, p.get("pattern") or query)
+            rules = ignore.read(self.spark, self.root) if self.table is None else []
+            return search.text_strategy(ignore.visible(raw, rules), p.get("pattern") or query)
         if step.name == "facts":
             facts = self.indexed.table("facts") if self.indexed else providers.extract_facts(vault.bodies(raw))
             return search.facts_strategy(facts, query, p.get("entity", ""), p.get("key", ""), p.get("value", ""))
         if step.name == "frontmatter" and p.get("field"):
             return search.frontmatter_strategy(notes, p["field"], str(p.get("value", "")), p.get("operator", "=="))
         if step.name == "base":
-            texts = self.base_texts() if self.root else {}
-            name = p.get("base_path") or min(texts, default=None)
-            return search.base_strategy(bases.resolve(bases.parse_base(texts[name]), notes)) if name in texts else None
+            name = p.get("base_path") or self._first_base()
+            return search.base_strategy(bases.resolve(self.base_read(name), notes)) if name else None
         if step.name == "graph" and p.get("path"):
             return search.graph_strategy(notes, p["path"])
         return None
@@ -112,7 +151,7 @@ class Vault:
         for step in steps:
             try:
                 rows = self._strategy(step, query)
-            except (TypeError, AttributeError, yaml.YAMLError):  # an unreadable base contributes nothing
+            except (TypeError, AttributeError, FileNotFoundError, yaml.YAMLError):  # a base that is unreadable or gone contributes nothing
                 continue
             if rows is not None:
                 found.append(rows)
@@ -157,7 +196,7 @@ class Vault:
 
     def _change(self, path: str, action: str, before: str | None, after: str | None) -> None:
         self._put(path, after)
-        self.journal.record(self.spark, uuid.uuid4().hex, path, action, before, after)
+        self.journal.record(uuid.uuid4().hex, path, action, before, after)
 
     def _need(self, path: str) -> tuple[str, str]:
         where = vault.safe_path(path)
@@ -169,47 +208,54 @@ class Vault:
     def _one(self, path: str, content: str) -> DataFrame:
         return self.spark.createDataFrame([(path, content)], "path string, content string")
 
-    def create(self, path: str, content: str = "", frontmatter_json: str = "{}") -> None:
+    def create(self, path: str, content: str = "", frontmatter_json: str = "{}") -> str:
         where = vault.safe_path(path)
         if self._now(where) is not None:
             raise FileExistsError(path)
-        self._change(where, "create", None, mutate.render(json.loads(frontmatter_json), content))
+        self._change(where, "create", None, mutate.render(json.loads(frontmatter_json or "{}"), content))
+        return render_change("create", path)
 
-    def delete(self, path: str) -> None:
+    def delete(self, path: str) -> str:
         where, now = self._need(path)
         self._change(where, "delete", now, None)
+        return render_change("delete", path, now)
 
-    def patch(self, path: str, operations_json: str) -> None:
+    def patch(self, path: str, operations_json: str) -> str:
         where, now = self._need(path)
         rows = [(where, i, o["action"], int(o["line"]), o.get("content", "")) for i, o in enumerate(json.loads(operations_json))]
         ops = self.spark.createDataFrame(rows, "path string, op_ord int, action string, line int, content string")
         self._change(where, "patch", now, mutate.patch(self._one(where, now), ops).first()["content"])
+        return render_change("patch", path, count=len(rows))
 
-    def append(self, path: str, content: str) -> None:
+    def append(self, path: str, content: str) -> str:
         where, now = self._need(path)
         after = self._one(where, now).select(mutate.append(F.col("content"), F.lit(content)).alias("c")).first()["c"]
         self._change(where, "append", now, after)
+        return render_change("append", path)
 
-    def update_frontmatter(self, path: str, updates_json: str) -> None:
+    def update_frontmatter(self, path: str, updates_json: str) -> str:
         where, now = self._need(path)
         given = {k: None if v is None else str(v) for k, v in json.loads(updates_json).items()}
         fm = mutate.update_properties(F.col("fm"), given)
         text = F.concat(F.when(F.size(fm) > 0, F.concat(mutate.header_text(fm), F.lit("\n"))).otherwise(F.lit("")), F.col("body"))
         self._change(where, "frontmatter", now, vault.parse(self._one(where, now)).select(text.alias("c")).first()["c"])
+        return render_change("frontmatter", path, names=list(given))
 
     def undo(self) -> str:
-        if not self.journal.size():
+        """Take back the last message's operations, also those of another process; what was done, a line each."""
+        last = mutate.last_message(self.journal.rows).orderBy(F.desc("seq")).collect()  # at most the journal's retained operations
+        if not last:
             return "Nothing to undo."
-        for r in mutate.restored(self.journal.rows).collect():  # at most the journal's retained operations
+        for r in mutate.restored(self.journal.rows).collect():
             self._put(r["path"], r["content"])
-        last = mutate.last_message(self.journal.rows).select("seq")
-        self.journal.rows = self.journal.rows.join(last, "seq", "left_anti")
-        return "Undone."
+        self.journal.take_back([r["seq"] for r in last])
+        return "\n".join(render_undone(r["action"], r["path"]) for r in last)
 
     # index
     def index(self, root: str) -> index.Index:
         """The index kept below ``root``, which searches read from now on."""
-        self.indexed = index.Index(self.spark, root)
+        own = self.settings.index
+        self.indexed = index.Index(self.spark, root, own.chunk_max_tokens, embedder=self.embedder, chat=self.chat, facts=own.fact_extraction)
         return self.indexed
 
 
@@ -265,3 +311,36 @@ def render_note(note: DataFrame) -> str:
 def render_rows(rows: DataFrame, n: int = 50) -> str:
     """Rows of a view as ``name: value`` pairs, empty values left out."""
     return "\n".join(" | ".join(f"{k}: {v}" for k, v in r.asDict().items() if v and k != "_path") for r in rows.limit(n).collect())
+
+
+def render_bases(rows: DataFrame) -> str:
+    """Each base with its filters and the columns of its views."""
+    out = []
+    for r in rows.orderBy("path").collect():
+        out.append("\n".join([f"{r['name']} ({r['path']})", f"  filters ({r['logic']}): {', '.join(r['filters'])}", *(f"  view {v['name']}: {', '.join(v['columns'])}" for v in r["views"])]))
+    return "\n\n".join(out) or "No bases found."
+
+
+def render_base(path: str, base: bases.Base) -> str:
+    """A base as JSON: its name, path, filters and views with their columns and sort keys."""
+    views = [{"name": v.name, "type": v.type, "columns": v.columns, "sort": [{"property": p, "direction": d} for p, d in v.sort]} for v in base.views]
+    shown = {"name": path.rsplit("/", 1)[-1].removesuffix(".base"), "path": path, "filter_logic": base.logic, "filters": base.filters, "views": views}
+    return json.dumps(shown, indent=2, ensure_ascii=False, default=str)
+
+
+def render_change(action: str, path: str, before: str | None = None, count: int = 0, names: list[str] | None = None) -> str:
+    """What a call that changed a note says."""
+    return {
+        "create": f"Created: {path}",
+        "delete": f"Deleted: {path} ({before.count(chr(10)) + 1 if before else 0} lines)",
+        "patch": f"Patched {path}: {count} operation(s) applied.",
+        "append": f"Appended to {path}.",
+        "frontmatter": f"Updated frontmatter on {path}: {', '.join(names or [])}",
+    }[action]
+
+
+def render_undone(action: str, path: str) -> str:
+    """What taking back one operation says."""
+    if action == "create":
+        return f"Deleted created file: {path}"
+    return f"Restored deleted file: {path}" if action == "delete" else f"Reverted {action} on: {path}"

@@ -172,15 +172,22 @@ def line_count(content: Column) -> Column:
 
 
 def headers(content: Column, body: Column) -> Column:
-    """Level, text and line of every header; the line is that of the first equal text in the note."""
+    """Level, text and line of every header; the line is that of the first equal text in the note.
+
+    A header's text can only lie where there is a ``#``: such lines are found once (an array of one binds them to
+    a name), and each header looks through them alone. One that spans lines is searched for in the whole note.
+    """
     zipped = F.arrays_zip(*[all_matches(body, HEADER, g).alias(n) for g, n in ((0, "whole"), (1, "marks"), (2, "words"))])
+    numbered = F.transform(F.split(content, "\n"), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x")))
+    marked = F.filter(numbered, lambda line: F.contains(line["x"], F.lit("#")))
 
-    def one(h: Column) -> Column:
+    def one(h: Column, lines: Column) -> Column:
+        here = F.get(F.filter(lines, lambda line: F.contains(line["x"], h["whole"])), F.lit(0))["n"]
         before = F.substring(content, F.lit(1), F.instr(content, h["whole"]) - 1)
-        line = F.size(F.split(before, "\n"))
+        line = F.when(F.contains(h["whole"], F.lit("\n")), F.size(F.split(before, "\n"))).otherwise(here)
         return F.struct(F.length(h["marks"]).alias("level"), strip(h["words"]).alias("text"), line.alias("line_number"))
 
-    return F.transform(zipped, one)
+    return F.get(F.transform(F.array(marked), lambda lines: F.transform(zipped, lambda h: one(h, lines))), F.lit(0))
 
 
 # -- ids and hashes

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,13 +138,24 @@ def resolve(base: Base, notes: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select(F.col("path").alias("_path"), *chosen).orderBy(*sort_keys(view.sort, view.columns), "_path")
 
 
-def summaries(spark, texts: dict[str, str]) -> DataFrame:
-    """``(path, name, n_views, filters, logic)`` of readable bases; unreadable ones are skipped."""
-    rows = []
-    for path, text in sorted(texts.items()):
-        try:
-            b = parse_base(text)
-        except (TypeError, AttributeError, yaml.YAMLError):
-            continue
-        rows.append((path, path.rsplit("/", 1)[-1].removesuffix(".base"), len(b.views), b.filters, b.logic))
-    return spark.createDataFrame(rows, "path string, name string, n_views int, filters array<string>, logic string")
+_SUMMARY = "path string, name string, n_views int, filters array<string>, logic string, views array<struct<name:string,columns:array<string>>>"
+
+
+def _summarised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    views = pa.list_(pa.struct([("name", pa.string()), ("columns", pa.list_(pa.string()))]))
+    schema = pa.schema([("path", pa.string()), ("name", pa.string()), ("n_views", pa.int32()), ("filters", pa.list_(pa.string())), ("logic", pa.string()), ("views", views)])
+    for batch in batches:
+        rows = []
+        for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            try:
+                b = parse_base(text or "")
+            except (TypeError, AttributeError, ValueError, yaml.YAMLError):
+                continue
+            shown = [{"name": str(v.name), "columns": [str(c) for c in v.columns]} for v in b.views]
+            rows.append({"path": path, "name": path.rsplit("/", 1)[-1].removesuffix(".base"), "n_views": len(b.views), "filters": b.filters, "logic": b.logic, "views": shown})
+        yield pa.RecordBatch.from_pylist(rows, schema)
+
+
+def summaries(texts: DataFrame) -> DataFrame:
+    """``texts(path, content)`` of bases -> ``(path, name, n_views, filters, logic, views)``; unreadable ones are skipped."""
+    return texts.select("path", "content").mapInArrow(_summarised, _SUMMARY)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import files as listed
 from ..sources import providers, vault
 from .chunking import chunks
 
@@ -20,6 +23,8 @@ TABLES = {
     "facts": "fact_id string, path string, title string, entity string, key string, value string, context string, place int",
     "meta": "path string, mtime double, size bigint, content_hash string",
 }
+#: Of each table, the column that names a row's note.
+NOTE = {"chunks": "source_path", "facts": "path", "meta": "path"}
 
 
 def changes(files: DataFrame, meta: DataFrame) -> DataFrame:
@@ -28,15 +33,26 @@ def changes(files: DataFrame, meta: DataFrame) -> DataFrame:
     ``unchanged`` (same time and size), ``touched`` (same content), ``new``, ``modified`` or ``removed``.
     """
     now = files.select("path", "mtime", "size", X.content_hash(F.col("content")).alias("content_hash"))
+    rows = compared(now, meta)
+    return rows.select("path", "mtime", "size", "content_hash", "old_hash", _state(F.col("state")).alias("state"))
+
+
+def compared(listing: DataFrame, meta: DataFrame) -> DataFrame:
+    """``listing(path, mtime, size, ...)`` against ``meta`` without any content: ``unchanged``, ``removed``, or ``differs``."""
     old = meta.select("path", F.col("mtime").alias("old_mtime"), F.col("size").alias("old_size"), F.col("content_hash").alias("old_hash"))
-    state = (
-        F.when(F.col("size").isNull(), "removed")
-        .when(F.col("old_size").isNull(), "new")
-        .when((F.col("mtime") == F.col("old_mtime")) & (F.col("size") == F.col("old_size")), "unchanged")
+    same = (F.col("mtime") == F.col("old_mtime")) & (F.col("size") == F.col("old_size"))
+    state = F.when(F.col("size").isNull(), "removed").when(F.coalesce(same, F.lit(False)), "unchanged").otherwise("differs")
+    return listing.join(old, "path", "full").withColumn("state", state).drop("old_mtime", "old_size")
+
+
+def _state(state: Column) -> Column:
+    """The state of a row whose content is known where it differs."""
+    return (
+        F.when(state != "differs", state)
+        .when(F.col("old_hash").isNull(), "new")
         .when(F.col("content_hash") == F.col("old_hash"), "touched")
         .otherwise("modified")
     )
-    return now.join(old, "path", "full").select("path", "mtime", "size", "content_hash", "old_hash", state.alias("state"))
 
 
 def long_enough(notes: DataFrame, least: int = MIN_BODY) -> DataFrame:
@@ -58,46 +74,62 @@ def stats(found: DataFrame) -> DataFrame:
     )
 
 
-#: Parts that the tables are cut into by a hash of the path; a run rewrites only parts it touches.
-PARTS = 64
+#: Notes of a part; when there are more on average, parts are cut in two.
+NOTES_PER_PART = 4096
+#: Seconds for which files that no current manifest names are kept for readers that began before, and for runs under way.
+RETAIN = 7 * 24 * 3600
 
 
 @dataclass
 class Index:
-    """Chunk, fact and metadata tables in Parquet below ``root``, cut into parts by a hash of the path.
+    """Chunk, fact and metadata tables in Parquet below ``root``, cut into parts by the last bits of a hash of the path.
+
+    A manifest names the folder that holds each part of each table, as ``bits.part``. A run writes folders for the
+    parts it touches and then a new manifest under the next number, whose creation fails if another run has made it
+    meanwhile; readers take the manifest with the highest number. So a failed run leaves the tables as they were, and a
+    new process finds them again. When parts grow beyond ``notes_per_part`` notes, the number of bits grows: a part
+    that a run touches is written anew as parts of more bits, the others stay as they lie. ``vacuum`` deletes folders that
+    are no longer named.
 
-    A manifest names the folder that holds each part of each table. A run writes folders for the
-    parts it touches and then a new manifest under the next number, whose creation fails if
-    another run has made it meanwhile; readers take the manifest with the highest number. So
-    a failed run leaves the tables as they were, and a new process finds them again. Chunks of notes
-    that vanished or became too short go, whatever happened between runs.
+    ``embedder`` and ``chat`` are the model services (offline ones by default); without ``facts`` none are extracted.
     """
 
     spark: SparkSession
     root: str
     max_tokens: int = 1500
-    parts: int = PARTS
+    notes_per_part: int = NOTES_PER_PART
+    embedder: providers.Embedder | None = None
+    chat: providers.Chat | None = None
+    facts: bool = True
+    counted: dict[str, int] = field(default_factory=dict)
 
+    # files and manifests
     def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _files(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> tuple[int, dict[str, dict[str, str]]]:
-        """Number and content, ``{table: {part: folder}}``, of the newest manifest; 0 and none at first."""
-        fs, top = self._files(), self._path("manifests")
-        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
-        number = max((int(n[:-5]) for n in names if n.endswith(".json")), default=0)
+    def _names(self, folder: str) -> list[tuple[str, float]]:
+        """Names and times of what lies in a folder; none if it is gone."""
+        fs, where = self._files(), self._path(folder)
+        return [(f.getPath().getName(), f.getModificationTime() / 1000) for f in fs.listStatus(where)] if fs.exists(where) else []
+
+    def _numbers(self) -> dict[int, float]:
+        return {int(n[:-5]): t for n, t in self._names("manifests") if n.endswith(".json") and not n.startswith(".")}
+
+    def manifest(self, number: int | None = None) -> tuple[int, dict]:
+        """Number and content, ``{"bits", "notes", "tables": {table: {"bits.part": folder}}}``, of the newest manifest; 0 and none at first."""
+        number = max(self._numbers(), default=0) if number is None else number
         if not number:
-            return 0, {n: {} for n in TABLES}
-        stream = fs.open(self._path(f"manifests/{number}.json"))
+            return 0, {"bits": 0, "notes": 0, "tables": {n: {} for n in TABLES}}
+        stream = self._files().open(self._path(f"manifests/{number}.json"))
         try:
             return number, json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def _publish(self, number: int, held: dict[str, dict[str, str]]) -> None:
+    def _publish(self, number: int, held: dict) -> None:
         part = self._path(f"manifests/.{uuid.uuid4().hex}")
         stream = self._files().create(part, True)
         try:
@@ -109,65 +141,185 @@ class Index:
             self._files().delete(part, False)
             raise RuntimeError("another run has changed the index meanwhile; run again")
 
-    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
-        """A table as the newest manifest has it, or the parts ``only`` of it."""
-        return self._read(name, self.manifest()[1], only)
+    # reading
+    def table(self, name: str) -> DataFrame:
+        """A table as the newest manifest has it."""
+        return self._read(name, self.manifest()[1]["tables"][name].values())
 
-    def _read(self, name: str, held: dict, only: list[int] | None = None) -> DataFrame:
-        folders = sorted(f for p, f in held[name].items() if only is None or int(p) in only)
-        if not folders:
+    def _read(self, name: str, folders) -> DataFrame:
+        where = sorted(folders)
+        if not where:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in folders])
+        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in where])
 
-    def _part(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.parts)).cast("int")
+    def counts(self) -> DataFrame:
+        """One row ``(notes, chunks, facts)``: rows of the tables."""
+        n = lambda name: self.table(name).agg(F.count("*").alias(name))
+        return n("meta").withColumnRenamed("meta", "notes").join(n("chunks")).join(n("facts"))
 
+    # writing
     def wipe(self) -> None:
-        number, _ = self.manifest()
-        self._publish(number + 1, {n: {} for n in TABLES})
+        self._publish(self.manifest()[0] + 1, {"bits": 0, "notes": 0, "tables": {n: {} for n in TABLES}})
 
     def update(self, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """Bring the tables up to ``files``; with ``only(path)``, those paths alone, whatever their times.
+        """Bring the tables up to a table ``files(path, content, mtime, size)``; with ``only(path)``, those paths alone, whatever their times.
 
-        Returns ``stats`` of the run. Parts without a changed note are neither read (but for the
-        metadata) nor written.
+        Times and sizes are compared first; contents are read, hashed and parsed only of notes that differ. Returns one row of
+        counts, see ``report``.
         """
+
+        def read(rows: DataFrame, differ: DataFrame) -> DataFrame:
+            found = files.select("path", "content").join(differ.select("path"), "path", "left_semi")
+            return rows.join(found, "path", "left").withColumn("problem", F.lit(None).cast("string"))
+
+        listing = files.select("path", "mtime", "size")
+        return self._run(listing if only is None else listing.join(only.select("path").distinct(), "path", "left_semi"), read, only)
+
+    def update_folder(self, folder: str, only: DataFrame | None = None) -> DataFrame:
+        """Bring the tables up to the notes of a folder; with ``only(path)``, those paths alone: then nothing else is listed.
+
+        Files are listed without their content, and those opened whose time or size differs.
+        """
+        if only is None:
+            listing = listed.with_suffix(listed.listing(self.spark, folder), ".md")
+        else:
+            listing = listed.stats_of(only.where(F.col("path").endswith(".md")), folder)
+        return self._run(listing, lambda rows, _: listed.contents(rows, folder, F.col("state") == "differs"), only)
+
+    def _run(self, listing: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], only: DataFrame | None) -> DataFrame:
         number, held = self.manifest()
-        found = changes(files, self._read("meta", held))
-        if only is not None:
-            forced = F.when(F.col("state").isin("unchanged", "touched"), "modified").otherwise(F.col("state"))
-            found = found.join(only.select("path").distinct(), "path", "left_semi").withColumn("state", forced)
         run = f"run-{number + 1}-{uuid.uuid4().hex}"
-        found.write.parquet(f"{self.root}/{run}/changes")
-        found = self.spark.read.parquet(f"{self.root}/{run}/changes")
-        moved = found.where("state <> 'unchanged'")
+        meta = self._read("meta", held["tables"]["meta"].values())
+        if only is not None:
+            meta = meta.join(only.select("path").distinct(), "path", "left_semi")
+        rows = compared(listing, meta)
+        if only is not None:
+            rows = rows.withColumn("state", F.when(F.col("state") == "unchanged", "differs").otherwise(F.col("state")))
+        moved = self._moved(rows, read, run, only is not None)
+        if not self.counted.pop("moved"):
+            return self.report()
+        made = self._made(vault.detailed(moved.where("state in ('new', 'modified') and not short")), run)
+        moved = moved.select("path", "mtime", "size", "content_hash", "state")
+        failed = made["chunks"].where("embedding is null").select(F.col("source_path").alias("path")).distinct()
+        if lost := failed.count():  # notes without a vector stay as they were, and are tried again
+            moved, made = without(moved, failed), {n: without(t, failed, NOTE[n]) for n, t in made.items()}
+            self.counted |= {"errors": self.counted["errors"] + lost, "indexed": self.counted["indexed"] - lost} | {n: t.count() for n, t in made.items()}
+        made["meta"] = moved.where("state <> 'removed'").select("path", "mtime", "size", "content_hash")
         stale = moved.where("state <> 'touched'")
-        parts = {k: sorted(r[0] for r in df.select(self._part("path")).distinct().collect()) for k, df in (("meta", moved), ("chunks", stale))}
-        parts["facts"] = parts["chunks"]
-        fresh = files.join(stale.where("state <> 'removed'").select("path"), "path", "left_semi")
-        notes = long_enough(vault.parse(fresh))
-        made = {
-            "chunks": providers.embed(chunks(notes, self.max_tokens)).select(*[c.split()[0] for c in TABLES["chunks"].split(", ")]),
-            "facts": providers.extract_facts(notes),
-            "meta": moved.where("state <> 'removed'").select("path", "mtime", "size", "content_hash"),
-        }
-        for name, new in made.items():
-            if not parts[name]:
-                continue
-            column = "source_path" if name == "chunks" else "path"
-            rows = without(self._read(name, held, parts[name]), moved if name == "meta" else stale, column).unionByName(new)
-            rows = rows.withColumn("part", self._part(column)).repartition(F.col("part")).sortWithinPartitions("part", column)
-            rows.write.partitionBy("part").parquet(f"{self.root}/{run}/{name}")
-            written = self.spark.read.schema(TABLES[name] + ", part int").parquet(f"{self.root}/{run}/{name}")
-            filled = {r[0] for r in written.select("part").distinct().collect()}
-            for p in parts[name]:
-                held[name].pop(str(p), None)
-                if p in filled:
-                    held[name][str(p)] = f"{run}/{name}/part={p}"
-        self._publish(number + 1, held)
-        return stats(found)
+        held["notes"] += self.counted.pop("new") - self.counted["removed"]
+        held["bits"] = max(held["bits"], (max(1, held["notes"]) // self.notes_per_part).bit_length())
+        tables = {n: self._merged(n, moved if n == "meta" else stale, new, held, run) for n, new in made.items()}
+        self._publish(number + 1, held | {"tables": tables})
+        return self.report()
 
-    def counts(self) -> DataFrame:
-        """One row ``(notes, chunks, facts)``: rows of the tables."""
-        n = lambda name: self.table(name).agg(F.count("*").alias(name))
-        return n("meta").withColumnRenamed("meta", "notes").join(n("chunks")).join(n("facts"))
+    def _moved(self, rows: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], run: str, forced: bool) -> DataFrame:
+        """A table of the notes that differ, parsed where they are new or modified, counted as it is written.
+
+        Unchanged notes are counted and left out; notes that can't be read are counted as errors and stay as they were.
+        """
+        scanned, wrote = Observation(f"scan-{run}"), Observation(f"notes-{run}")
+        differ = rows.where("state <> 'unchanged'")
+        seen = rows.observe(scanned, F.count_if(F.col("state") == "unchanged").alias("n")).where("state <> 'unchanged'")
+        known = read(seen, differ.where("state = 'differs'"))
+        known = known.withColumn("content_hash", F.when(F.col("content").isNotNull(), X.content_hash(F.col("content"))))
+        state = F.when((_state(F.col("state")) == "touched") & F.lit(forced), "modified").otherwise(_state(F.col("state")))
+        named = known.select("path", "mtime", "size", "problem", "content_hash", state.alias("state"), "content")
+        fresh = F.col("state").isin("new", "modified")
+        headed = vault.headed(named.withColumn("content", F.when(fresh, F.col("content"))))
+        bad = F.coalesce("problem", F.when(fresh, F.col("bad")))
+        table = headed.select(
+            "path", "mtime", "size", "content_hash", "content", "title", "body", "fm", bad.alias("problem"),
+            F.coalesce(F.length(X.strip(F.col("body"))) < MIN_BODY, F.lit(False)).alias("short"),
+            F.when(bad.isNotNull(), "failed").otherwise(F.col("state")).alias("state"),
+        )
+        count = lambda test, name: F.count_if(F.expr(test)).alias(name)
+        written = table.observe(
+            wrote, count("state = 'removed' or state in ('new', 'modified') and not short", "indexed"),
+            count("state = 'touched' or state in ('new', 'modified') and short", "skipped"), count("state = 'removed'", "removed"),
+            count("state = 'new'", "new"), count("state = 'failed'", "errors"), count("state <> 'failed'", "moved"),
+        )
+        written.write.parquet(f"{self.root}/{run}/notes")
+        self.counted = {"chunks": 0, "facts": 0, **wrote.get}
+        self.counted["skipped"] += scanned.get["n"]
+        return self.spark.read.schema(table.schema).parquet(f"{self.root}/{run}/notes").where("state <> 'failed'")
+
+    def _made(self, notes: DataFrame, run: str) -> dict[str, DataFrame]:
+        """Chunks with their vectors, and facts, of the notes of this run, written once."""
+        columns = {n: [c.split()[0] for c in TABLES[n].split(", ")] for n in TABLES}
+        new = {"chunks": providers.embedded(chunks(notes, self.max_tokens), self.embedder).select(*columns["chunks"])}
+        if not self.facts:
+            new["facts"] = self.spark.createDataFrame([], TABLES["facts"])
+        elif self.chat is None:
+            new["facts"] = providers.extract_facts(notes)
+        else:
+            new["facts"] = providers.model_facts(notes, self.chat).where("problem is null").select(*columns["facts"])
+        out = {}
+        for name, rows in new.items():
+            wrote = Observation(f"{name}-{run}")
+            rows.observe(wrote, F.count("*").alias("n")).write.parquet(f"{self.root}/{run}/new-{name}")
+            self.counted[name] = wrote.get["n"]
+            out[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{run}/new-{name}")
+        return out
+
+    @staticmethod
+    def _part(column: str, bits: int) -> Column:
+        return F.xxhash64(column).bitwiseAND((1 << bits) - 1)
+
+    def _merged(self, name: str, stale: DataFrame, new: DataFrame, held: dict, run: str) -> dict[str, str]:
+        """The folders of a table after this run; only parts with a stale or new note are read and written.
+
+        As many numbers as the run touches parts reach the driver, which keeps the manifest.
+        """
+        bits, folders = held["bits"], dict(held["tables"][name])
+        touched = {r[0] for r in stale.select(self._part("path", bits).alias("p")).distinct().collect()}
+        if not touched:
+            return folders
+        old = [k for k in folders if any(self._covers(k, p) for p in touched)] if len(touched) < 1000 else [k for k in folders if self._touched(k, touched, bits)]
+        rows = without(self._read(name, [folders.pop(k) for k in old]), stale, NOTE[name]).unionByName(new)
+        rows = rows.withColumn("part", self._part(NOTE[name], bits)).repartition("part").sortWithinPartitions("part", NOTE[name])
+        rows.write.partitionBy("part").parquet(f"{self.root}/{run}/{name}")
+        filled = [n for n, _ in self._names(f"{run}/{name}") if n.startswith("part=")]
+        return folders | {f"{bits}.{n[5:]}": f"{run}/{name}/{n}" for n in filled}
+
+    @staticmethod
+    def _covers(key: str, part: int) -> bool:
+        """Whether a folder of fewer or equal bits holds a part's rows."""
+        own, number = map(int, key.split("."))
+        return part & ((1 << own) - 1) == number
+
+    @staticmethod
+    def _touched(key: str, parts: set[int], bits: int) -> bool:
+        own, number = map(int, key.split("."))
+        return any(p in parts for p in range(number, 1 << bits, 1 << own))
+
+    def report(self) -> DataFrame:
+        """One row of the last run's counts: ``(indexed, skipped, removed, chunks, facts, errors)``.
+
+        A removed note counts as indexed; notes with too short a body count as skipped, and lose what they had. Errors are notes that
+        can't be read, whose header is malformed, or that got no vector: they stay as they were and are tried again.
+        """
+        names = ("indexed", "skipped", "removed", "chunks", "facts", "errors")
+        return self.spark.createDataFrame([tuple(self.counted[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+    def vacuum(self, retain: float = RETAIN, versions: int = 2) -> int:
+        """Delete folders that neither the last ``versions`` manifests nor any younger than ``retain`` seconds name; how many went.
+
+        A reader that took its manifest within that time keeps its files. Runs under way write to folders that are newer than
+        any manifest, or younger than ``retain``: these stay.
+        """
+        numbers, now, fs = self._numbers(), time.time(), self._files()
+        kept = set(sorted(numbers)[-versions:]) | {n for n, t in numbers.items() if now - t < retain}
+        named = {f for n in kept for folders in self.manifest(n)[1]["tables"].values() for f in folders.values()}
+        gone = 0
+        for run, made in self._names(""):
+            if not run.startswith("run-") or (int(run.split("-")[1]) > max(numbers, default=0) and now - made < max(retain, 3600)) or now - made < retain:
+                continue
+            inner = [(f"{run}/{t}/{p}", f"{run}/{t}") for t, _ in self._names(run) for p, _ in (self._names(f"{run}/{t}") if t in TABLES else [])]
+            if not any(f in named for f, _ in inner):
+                gone += fs.delete(self._path(run), True)
+                continue
+            spare = [f for f, _ in inner if f not in named and "/part=" in f] + [f"{run}/{t}" for t, _ in self._names(run) if t not in TABLES]
+            gone += sum(fs.delete(self._path(f), True) for f in spare)
+        for n in set(numbers) - kept:
+            fs.delete(self._path(f"manifests/{n}.json"), False)
+        return gone

@@ -130,24 +130,3 @@ def undo(notes: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = restored(journal)
     rest = notes.select("path", "content").join(back.select("path"), "path", "left_anti")
     return rest.unionByName(back.where("content is not null")), journal.join(last_message(journal).select("seq"), "seq", "left_anti")
-
-
-class Journal:
-    """An append-only list of operations kept as rows; ``record`` numbers them."""
-
-    COLUMNS = "seq bigint, message_id string, path string, action string, before_content string, after_content string"
-
-    def __init__(self, rows: DataFrame | None = None):
-        self.rows = rows
-
-    def record(self, spark, message_id: str, path: str, action: str, before: str | None, after: str | None) -> None:
-        n = 0 if self.rows is None else (self.rows.agg(F.max("seq")).first()[0] or 0)
-        row = spark.createDataFrame([(n + 1, message_id, path, action, before, after)], self.COLUMNS)
-        self.rows = row if self.rows is None else retained(self.rows.unionByName(row))
-
-    def size(self) -> int:
-        return 0 if self.rows is None else self.rows.count()
-
-    def recent(self, n: int = 10) -> DataFrame:
-        return self.rows.orderBy(F.desc("seq")).limit(n).orderBy("seq")
-

@@ -40,7 +40,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vault.parse(vault.derived_notes(spark, sf_dir))
+    return vault.parse(vault.derived_notes(spark, sf_dir), flat=True)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -283,28 +283,27 @@ _HYBRID = r"""ln AS (SELECT path, title, unnest(string_split(head || body || chr
   rk AS (SELECT *, row_number() OVER (PARTITION BY path, substr(content, 1, 100) ORDER BY score DESC, so, path, ro) AS k FROM al)""".replace("{COS}", _COS)
 
 
-def _semantic(spark, sf_dir):
-    """The ten notes nearest to a query vector, by the vectors kept for them; only those are parsed."""
-    v, notes = _read(spark, sf_dir, "embeddings"), vault.derived_notes(spark, sf_dir)
+def _semantic(spark, sf_dir, notes):
+    """The ten notes nearest to a query vector, by the vectors kept for them."""
+    v = _read(spark, sf_dir, "embeddings")
     q = F.array(*[F.lit(float(x)) for x in _query_vector(v)])
-    kept = v.join(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    kept = v.join(notes.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     scored = kept.withColumn("score", F.round(X.cosine(F.col("embedding"), q), 6)).where("score is not null")
     near = scored.orderBy(F.desc("score"), "vec_id").limit(search.VECTOR_K).select(F.col("vec_id").alias("doc_id"), "score")
-    rows = vault.bodies(notes.join(F.broadcast(near), "doc_id"))
+    rows = notes.join(F.broadcast(near), "doc_id")
     chunks = rows.select(F.col("path").alias("source_path"), F.col("title").alias("note_title"), F.left("body", F.lit(500)).alias("content"), "score")
     return search.semantic_rows(chunks)
 
 
-def _note_facts(notes):
-    return providers.extract_facts(notes, r"\b([a-z]+)\.([0-9]+)@")
-
-
 def _strategies(spark, sf_dir):
-    notes = _notes(spark, sf_dir)
+    """Five strategies over notes that are read and parsed once, into a table of which each reads its own columns."""
+    where = _scratch(spark, "parsed")
+    _notes(spark, sf_dir).select("path", "doc_id", "title", "content", "body", "fm", "tags").write.parquet(where)
+    notes = spark.read.parquet(where)
     base = bases.resolve(_base(['file.folder == "src0"']), notes)
     return [
-        search.text_strategy(vault.derived_notes(spark, sf_dir), "license|quality: q0"), search.frontmatter_strategy(notes, "quality", "q0"), search.base_strategy(base),
-        _semantic(spark, sf_dir), search.facts_strategy(_note_facts(vault.bodies(vault.derived_notes(spark, sf_dir))), "", key="th"),
+        search.text_strategy(notes, "license|quality: q0"), search.frontmatter_strategy(notes, "quality", "q0"), search.base_strategy(base),
+        _semantic(spark, sf_dir, notes), search.facts_strategy(providers.extract_facts(notes, r"\b([a-z]+)\.([0-9]+)@"), "", key="th"),
     ]
 
 
@@ -502,15 +501,15 @@ def notes_written_and_scanned(spark, sf_dir):
 @registered("SELECT p AS path, p IN ('src0', 'src0/sub/..') OR EXISTS (SELECT 1 FROM documents WHERE source || '/doc_' || doc_id || '.md' = p) AS present "
             "FROM (SELECT unnest(['src0', 'src0/sub/..', 'nosrc', 'nope.md', '../src0', 'src0/doc_0.md', 'src1/doc_1.md', 'src2/doc_2.md']) AS p)")
 def note_exists(spark, sf_dir):
-    notes = vault.derived_notes(spark, sf_dir).select("path")
     asked = ["src0", "src0/sub/..", "nosrc", "nope.md", "../src0", "src0/doc_0.md", "src1/doc_1.md", "src2/doc_2.md"]
-    return spark.createDataFrame([(p, vault.exists(notes, p)) for p in asked], "path string, present boolean")
+    return vault.present(vault.derived_notes(spark, sf_dir).select("path"), spark.createDataFrame([(p,) for p in asked], "path string"))
 
 
 @registered("SELECT 'v/Good.base' AS path, 'Good' AS name, 2 AS n_views, 'lang == \"en\"|quality != 1' AS filters, 'or' AS logic UNION ALL SELECT 'v/None.base', 'None', 0, '', 'and'")
 def base_summary(spark, sf_dir):
     good = 'filters:\n  or:\n    - lang == "en"\n    - quality != 1\nviews:\n  - {name: A, order: [file.name]}\n  - {name: B}\n'
-    found = bases.summaries(spark, {"v/Good.base": good, "v/None.base": "views: []\n", "v/Bad.base": "filters: text\n"})
+    rows = [("v/Good.base", good), ("v/None.base", "views: []\n"), ("v/Bad.base", "filters: text\n")]
+    found = bases.summaries(spark.createDataFrame(rows, "path string, content string"))
     return found.select("path", "name", "n_views", F.array_join("filters", "|").alias("filters"), "logic")
 
 
@@ -597,8 +596,8 @@ def undo_restores(spark, sf_dir):
 
 @registered("SELECT seq, path, n FROM (SELECT conv_id * 100 + turn AS seq, role AS path, (SELECT count(*) FROM conversations) AS n FROM conversations ORDER BY seq DESC LIMIT 10)")
 def journal_recent(spark, sf_dir):
-    j = mutate.Journal(_journal(spark, sf_dir))
-    return j.recent(10).select("seq", "path", F.lit(j.size()).cast("long").alias("n"))
+    j = _journal(spark, sf_dir)
+    return mutate.retained(j, 10).select("seq", "path", F.lit(j.count()).cast("long").alias("n"))
 
 
 @registered(f"""WITH {_SESSIONS.format(gap="'3 seconds'")}, b AS (SELECT *, min(ts) OVER (PARTITION BY event_type, sid) AS start FROM s),
@@ -622,7 +621,7 @@ _CHUNKS = ORACLES["chunk_sections"].rsplit("SELECT substr(", 1)[0]
     THEN substr(sha256(x || chr(10) || 'more'), 1, 32) ELSE substr(sha256(x), 1, 32) END AS content_hash FROM k WHERE source_doc % 5 <> 1""".replace("\\\\", "\\"))
 def index_lifecycle(spark, sf_dir):
     """The index after two runs: all notes, then a fifth of them gone, a fifth longer and a fifth touched."""
-    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, parts=8)
+    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, notes_per_part=64)
     files = _versioned(spark, sf_dir)
     ix.update(files.drop("doc_id"))
     k = F.col("doc_id") % 5
@@ -634,7 +633,7 @@ def index_lifecycle(spark, sf_dir):
 
 @registered("SELECT (SELECT count(*) FROM documents) AS notes, (SELECT sum(CASE WHEN regexp_matches(text, '\\S') THEN 3 ELSE 2 END) FROM documents) AS chunks".replace("\\\\", "\\"))
 def index_counts(spark, sf_dir):
-    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, parts=8)
+    ix = index.Index(spark, _scratch(spark, "index"), max_tokens=1_000_000, notes_per_part=64)
     ix.update(_versioned(spark, sf_dir).drop("doc_id"))
     return ix.counts().select("notes", "chunks")
 
@@ -646,7 +645,7 @@ def stream_incremental_index(spark, sf_dir):
     even = files.where("doc_id % 2 = 0").select("path")
     other = spark.createDataFrame([(".x/doc_1.md",), ("src0/doc_1.txt",), ("gone.md",)], "path string")
     even.unionByName(other).coalesce(4).write.parquet(f"{root}/changes")
-    ix = index.Index(spark, f"{root}/index", max_tokens=1_000_000, parts=8)
+    ix = index.Index(spark, f"{root}/index", max_tokens=1_000_000, notes_per_part=64)
     stream = spark.readStream.schema("path string").option("maxFilesPerTrigger", "3").parquet(f"{root}/changes")
     changes.index_stream(stream, ix, lambda: files.drop("doc_id"), f"{root}/log").awaitTermination()
     return ix.table("meta").select("path")
@@ -658,3 +657,6 @@ def listing_text(spark, sf_dir):
 
     notes = vault.derived_notes(spark, sf_dir).withColumn("size", F.octet_length("content").cast("long"))
     return spark.createDataFrame([(api.render_listing(vault.list_dir(notes, "src3")),)], "listing string")
+
+
+from . import folder_queries  # noqa: E402, F401  # registers its own beside these

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
-from dataclasses import dataclass, field, fields, is_dataclass
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
 from pathlib import Path
 from typing import Any
 
 import yaml
 
+from . import providers
+
 
 def resolve_env(value: Any) -> Any:
     """``${NAME}`` in any string below ``value`` replaced; unset names become empty."""
@@ -22,27 +24,47 @@ def resolve_env(value: Any) -> Any:
 
 @dataclass
 class Model:
+    model: str = ""
+    max_tokens: int = 1000
+    temperature: float = 0.0
+
+
+@dataclass
+class Models:
+    """A chat service and a model for each role; without a ``base_url`` there is none."""
+
     provider: str = "offline"
-    name: str = ""
     base_url: str = ""
     api_key: str = ""
+    router: Model = field(default_factory=lambda: Model(max_tokens=500))
+    extractor: Model = field(default_factory=lambda: Model(max_tokens=2000))
+    synthesizer: Model = field(default_factory=lambda: Model(temperature=0.1))
 
 
 @dataclass
-class Embedding(Model):
+class Embeddings:
+    """An embedding service; without a ``base_url`` the offline one."""
+
+    provider: str = "offline"
+    base_url: str = ""
+    model: str = ""
     dimensions: int = 1536
     batch_size: int = 64
 
 
 @dataclass
-class Watch:
+class Folder:
+    path: str = "vault"
+    index_on_startup: bool = True
+    watch: bool = True
     debounce_seconds: float = 3.0
 
 
 @dataclass
 class Index:
-    path: str = "index"
-    max_chunk_tokens: int = 1500
+    db_path: str = "index"
+    fact_extraction: bool = True
+    chunk_max_tokens: int = 1500
 
 
 @dataclass
@@ -52,26 +74,37 @@ class Undo:
 
 @dataclass
 class Settings:
-    vault: str = "vault"
-    router: Model = field(default_factory=Model)
-    extractor: Model = field(default_factory=Model)
-    synthesizer: Model = field(default_factory=Model)
-    embedding: Embedding = field(default_factory=Embedding)
-    watch: Watch = field(default_factory=Watch)
+    vault: Folder = field(default_factory=Folder)
+    models: Models = field(default_factory=Models)
+    embeddings: Embeddings = field(default_factory=Embeddings)
     index: Index = field(default_factory=Index)
     undo: Undo = field(default_factory=Undo)
 
+    def chat(self) -> providers.Chat | None:
+        m = self.models
+        roles = {r: asdict(getattr(m, r)) for r in ("router", "extractor", "synthesizer")}
+        return providers.HttpChat(m.base_url, m.api_key, roles) if m.base_url else None
+
+    def embedder(self) -> providers.Embedder:
+        e = self.embeddings
+        if e.base_url:
+            return providers.HttpEmbedder(e.base_url, e.model, self.models.api_key, e.dimensions, e.batch_size)
+        return providers.OfflineEmbedder(batch_size=e.batch_size)
+
 
 def _fill(target: Any, given: dict) -> Any:
+    """``target`` with the values that are given, as their defaults' types; nulls and sections that are no mappings keep the defaults."""
     for f in fields(target):
-        if f.name in given and given[f.name] is not None:
-            now = getattr(target, f.name)
-            setattr(target, f.name, _fill(now, given[f.name]) if is_dataclass(now) else type(now)(given[f.name]))
+        value, now = given.get(f.name), getattr(target, f.name)
+        if is_dataclass(now):
+            _fill(now, value if isinstance(value, dict) else {})
+        elif value is not None:
+            setattr(target, f.name, value if isinstance(now, bool) else type(now)(value))
     return target
 
 
 def load(path: str | Path | None = None) -> Settings:
-    """Settings of a YAML file; a missing file or section keeps the defaults."""
+    """Settings of a YAML file; a missing file or section keeps the defaults, other sections are ignored."""
     if path is None or not Path(path).exists():
         return Settings()
     return _fill(Settings(), resolve_env(yaml.safe_load(Path(path).read_text("utf-8")) or {}))

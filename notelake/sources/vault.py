@@ -6,33 +6,18 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import yaml_header as Y
+from . import files
 
 
-def _relative(path: Column, root: str) -> Column:
-    """Path below ``root`` of a file URI; percent-escapes are undone."""
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    bare = F.regexp_replace(plain, r"^[a-z0-9]+:/+", "/")
-    base = root.split("://", 1)[-1].rstrip("/")
-    base = "/" + base.lstrip("/")
-    return F.substring(bare, F.lit(len(base) + 2), F.length(bare))
-
-
-def scan(spark: SparkSession, root: str, glob: str = "*.md") -> DataFrame:
-    """``(path, content, mtime, size)`` of the files below ``root``; hidden paths and empty files are left out."""
-    raw = (
-        spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    )
-    rows = raw.select(
-        _relative(F.col("_metadata.file_path"), root).alias("path"),
-        X.unix_newlines(F.col("value")).alias("content"),
-        F.col("_metadata.file_modification_time").cast("double").alias("mtime"),
-        F.col("_metadata.file_size").alias("size"),
-    )
-    return rows.where(~X.hidden(F.col("path")))
+def scan(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """``(path, content, mtime, size)`` of the files below ``root``; hidden paths, and files that are no UTF-8 text, are left out."""
+    found = files.contents(files.with_suffix(files.listing(spark, root), suffix), root)
+    return found.where("problem is null").select("path", "content", "mtime", "size")
 
 
 def bodies(notes: DataFrame) -> DataFrame:
@@ -42,14 +27,25 @@ def bodies(notes: DataFrame) -> DataFrame:
     return fenced.withColumns({"title": X.stem(F.col("path")), "front": front, "body": body}).drop("fence")
 
 
-def parse(notes: DataFrame) -> DataFrame:
-    """``notes(path, content, ...)`` with title, body, frontmatter entries, tags, links, headers and line count.
+def headed(notes: DataFrame, flat: bool = False) -> DataFrame:
+    """``bodies`` with frontmatter entries ``fm`` and the ``problem`` of a header that can't be read.
 
-    The search for the fence and property parsing sit in one-row generators: the optimizer can't copy
-    them into every predicate and column that reads them, so they run once a note. What only
-    reads properties never cuts a body.
+    Flat headers (keys with plain values and lists of them) are read JVM-side; with ``flat`` all of them are known to
+    be. The rest go to a YAML parser, without their bodies. The search for the fence and this parsing sit in one-row
+    generators: the optimizer can't copy them into every predicate and column that reads them, so they
+    run once a note. What only reads properties never cuts a body.
     """
-    read = bodies(notes).select("*", F.explode(F.array(X.entries(F.col("front")))).alias("fm"))
+    front = F.col("front")
+    if flat:
+        return bodies(notes).select("*", F.explode(F.array(X.entries(front))).alias("fm"), F.lit(None).cast("string").alias("bad")).drop("front")
+    marked = bodies(notes).select("*", F.explode(F.array(Y.flat(front))).alias("is_flat"))
+    read = marked.withColumn("read", Y.whole(F.when(~F.col("is_flat"), front)))
+    entries = F.when(F.col("read").isNull(), X.entries(front)).otherwise(F.coalesce("read.entries", F.array().cast(X.ENTRIES)))
+    return read.select("*", F.explode(F.array(entries)).alias("fm"), F.col("read.problem").alias("bad")).drop("front", "is_flat", "read")
+
+
+def detailed(read: DataFrame) -> DataFrame:
+    """``headed`` notes with tags, links, headers and line count."""
     return read.withColumns(
         {
             "tags": X.tags(F.col("fm"), F.col("body")),
@@ -57,7 +53,16 @@ def parse(notes: DataFrame) -> DataFrame:
             "headers": X.headers(F.col("content"), F.col("body")),
             "line_count": X.line_count(F.col("content")),
         }
-    ).drop("front")
+    )
+
+
+def parse(notes: DataFrame, flat: bool = False) -> DataFrame:
+    """``notes(path, content, ...)`` with title, body, frontmatter entries, tags, links, headers and line count.
+
+    Notes whose header can't be read are left out.
+    """
+    read = headed(notes, flat)
+    return detailed((read if flat else read.where("bad is null")).drop("bad"))
 
 
 def paths(notes: DataFrame) -> DataFrame:
@@ -91,12 +96,33 @@ def read_one(notes: DataFrame, path: str) -> DataFrame:
     return found
 
 
+def read_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """``read_one`` of a folder's note: only that file is opened."""
+    one = spark.createDataFrame([(safe_path(path),)], "path string")
+    found = files.contents(files.stats_of(one, root), root)
+    return read_one(found.where("problem is null").select("path", "content", "mtime", "size"), path)
+
+
 def exists(notes: DataFrame, path: str) -> bool:
-    try:
-        where = safe_path(path)
-    except ValueError:
-        return False
-    return not notes.where((F.col("path") == where) | F.col("path").startswith(where + "/")).isEmpty()
+    return present(notes, notes.sparkSession.createDataFrame([(path,)], "path string")).first()["present"]
+
+
+def present(notes: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked(path)`` with ``present``: whether it names a file or folder of ``notes(path, ...)``; false for paths that leave the root.
+
+    One join with all paths and the folders above them, however many are asked for.
+    """
+    parts = F.split(F.col("path"), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    known = notes.select(F.explode(above).alias("where")).distinct()
+    plan = F.aggregate(
+        F.filter(parts, lambda p: (p != "") & (p != ".")), F.array().cast("array<string>"),
+        lambda a, p: F.when(p != "..", F.concat(a, F.array(p))).when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)),
+    )
+    where = F.when(~F.startswith("path", F.lit("/")), F.array_join(plan, "/"))
+    rows = asked.select("path", where.alias("where"))
+    found = rows.join(known.withColumn("found", F.lit(True)), "where", "left")
+    return found.select("path", F.coalesce(F.col("found") | (F.col("where") == ""), F.lit(False)).alias("present"))
 
 
 def read_raw(spark: SparkSession, root: str, path: str) -> str:
@@ -144,9 +170,7 @@ def write_notes(notes: DataFrame, root: str) -> DataFrame:
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, base = files.store_of(root)
         made: set[str] = set()
         for batch in batches:
             sizes = []
@@ -166,18 +190,53 @@ def write_notes(notes: DataFrame, root: str) -> DataFrame:
     return notes.select("path", "content").mapInArrow(written, "path string, size long")
 
 
-def list_dir(files: DataFrame, path: str = "") -> DataFrame:
+def remove_notes(paths: DataFrame, root: str) -> DataFrame:
+    """Delete the files ``paths(path)`` below ``root``; ``(path, removed)`` of each, once read. A file that is gone is no error."""
+
+    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = files.store_of(root)
+        for batch in batches:
+            there = []
+            for path in batch.column(0).to_pylist():
+                where = f"{base}/{safe_path(path)}"
+                there.append(store.get_file_info(where).type == fs.FileType.File)
+                if there[-1]:
+                    store.delete_file(where)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(there, pa.bool_())], names=["path", "removed"])
+
+    return paths.select("path").mapInArrow(removed, "path string, removed boolean")
+
+
+def _inside(listed: DataFrame, base: str) -> DataFrame:
+    """Rows below a folder, hidden ones left out; a table of notes holds no folders."""
+    rows = listed if "is_dir" in listed.columns else listed.withColumn("is_dir", F.lit(False))
+    rows = rows if "size" in rows.columns else rows.withColumn("size", F.lit(0).cast("long"))
+    return rows.where(F.col("path").startswith(base + "/" if base else "") & ~X.hidden(F.col("path")))
+
+
+def _need_folder(listed: DataFrame, base: str, path: str) -> None:
+    """NotADirectoryError for a path that is no folder, or that no row lies in."""
+    if base:
+        known = F.col("path").startswith(base + "/")
+        known = known | ((F.col("path") == base) & F.col("is_dir")) if "is_dir" in listed.columns else known
+        if listed.where(known).isEmpty():
+            raise NotADirectoryError(path)
+
+
+def list_dir(listed: DataFrame, path: str = "") -> DataFrame:
     """``(name, path, is_dir, size, extension)`` of what lies directly in ``path``; folders have size 0.
 
-    A file's path raises NotADirectoryError.
+    ``listed`` holds files, and folders where it has ``is_dir``. What is no folder raises NotADirectoryError.
     """
     base = safe_path(path)
     prefix = base + "/" if base else ""
-    if "." in base.rsplit("/", 1)[-1] and not files.where(F.col("path") == base).isEmpty():
-        raise NotADirectoryError(path)
-    inside = files.where(F.col("path").startswith(prefix) & ~X.hidden(F.col("path")))
+    _need_folder(listed, base, path)
     rest = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
-    rows = inside.select(F.element_at(F.split(rest, "/"), 1).alias("name"), (F.instr(rest, "/") > 0).alias("is_dir"), "size")
+    rows = _inside(listed, base).select(
+        F.element_at(F.split(rest, "/"), 1).alias("name"), (F.col("is_dir") | (F.instr(rest, "/") > 0)).alias("is_dir"), "size"
+    )
     return (
         rows.groupBy("name", "is_dir")
         .agg(F.max("size").alias("size"))
@@ -192,20 +251,24 @@ def list_dir(files: DataFrame, path: str = "") -> DataFrame:
     )
 
 
-def tree(files: DataFrame, path: str = "", depth: int = 3) -> DataFrame:
-    """``(path, depth, parent, type, n_files)`` of folders and files down to ``depth`` levels below ``path``."""
+def tree(listed: DataFrame, path: str = "", depth: int = 3) -> DataFrame:
+    """``(path, depth, parent, type, n_files)`` of folders and files down to ``depth`` levels below ``path``, empty folders too.
+
+    What is no folder raises NotADirectoryError.
+    """
     base = safe_path(path)
     prefix = base + "/" if base else ""
-    inside = files.where(F.col("path").startswith(prefix) & ~X.hidden(F.col("path")))
+    _need_folder(listed, base, path)
     parts = F.split(F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path")), "/")
-    levels = inside.select(parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts)))).alias("depth"))
+    levels = _inside(listed, base).select("is_dir", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.least(F.lit(depth), F.size(parts)))).alias("depth"))
     rows = levels.select(
         F.concat(F.lit(prefix), F.array_join(F.slice("parts", 1, F.col("depth")), "/")).alias("path"),
         "depth",
         F.concat(F.lit(prefix), F.array_join(F.slice("parts", F.lit(1), F.col("depth") - 1), "/")).alias("parent"),
-        F.when(F.col("depth") < F.size("parts"), F.lit("directory")).otherwise(F.lit("file")).alias("type"),
+        F.when(F.col("is_dir") | (F.col("depth") < F.size("parts")), F.lit("directory")).otherwise(F.lit("file")).alias("type"),
+        "is_dir",
     )
-    return rows.groupBy("path", "depth", "parent", "type").agg(F.count("*").alias("n_files")).orderBy("path")
+    return rows.groupBy("path", "depth", "parent", "type").agg(F.count_if(~F.col("is_dir")).alias("n_files")).orderBy("path")
 
 
 def spread(rows: DataFrame) -> DataFrame:

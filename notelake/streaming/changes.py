@@ -2,48 +2,203 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import text as X
+from ..sources import files
 
 GAP = "3 seconds"
+#: Times of one key are sorted within spans of this length, so that a key's history lies in many tasks.
+SPAN = "hour"
 
 
 def indexable(changes: DataFrame) -> DataFrame:
     """Changes of notes and bases outside hidden folders."""
-    return changes.where(~X.hidden(F.col("path")) & (F.col("path").endswith(".md") | F.col("path").endswith(".base")))
+    return changes.where(is_indexable(F.col("path")))
+
+
+def is_indexable(path):
+    return ~X.hidden(path) & (path.endswith(".md") | path.endswith(".base"))
+
+
+def batch_starts(changes: DataFrame, key: str = "vault", gap: str = GAP) -> DataFrame:
+    """``(key, ts, start)`` of each distinct time of a table: when the batch that it belongs to began.
+
+    A batch starts where a key's time differs from the one before by more than the gap. Times are sorted within
+    spans; between the spans of a key go only their first and last time and last start.
+    """
+    times = changes.select(key, "ts").distinct().withColumn("span", F.date_trunc(SPAN, "ts"))
+    within, across = Window.partitionBy(key, "span").orderBy("ts"), Window.partitionBy(key).orderBy("span")
+    spans = times.groupBy(key, "span").agg(F.max("ts").alias("last")).withColumn("before", F.lag("last").over(across)).drop("last")
+    near = F.coalesce(F.lag("ts").over(within), "before")
+    fresh = F.when(F.col("near").isNull() | (F.col("near") + F.expr(f"interval {gap}") < F.col("ts")), F.col("ts"))
+    starts = times.join(spans, [key, "span"]).withColumn("near", near).withColumn("fresh", fresh)
+    running = starts.withColumn("own", F.max("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    heads = running.groupBy(key, "span").agg(F.max("fresh").alias("head"))
+    carried = heads.withColumn("carried", F.max("head").over(across.rowsBetween(Window.unboundedPreceding, -1))).drop("head")
+    return running.join(carried, [key, "span"]).select(key, "ts", F.coalesce("own", "carried").alias("start"))
 
 
 def debounced(changes: DataFrame, key: str = "vault", gap: str = GAP, watermark: str | None = None) -> DataFrame:
     """``changes(ts, <key>, path, change_type)`` -> one row a pause-separated batch of each key.
 
     ``(key, start, end, n_changes)``, and on a table ``n_paths``. Works on a stream (give a watermark; the last open
-    batch appears once the watermark has passed it) and on a table alike; the state of a batch is its count.
+    batch appears once the watermark has passed it; the state of a batch is its count) and on a table alike.
     """
-    rows = changes.withWatermark("ts", watermark) if watermark else changes
-    n_paths = [] if watermark else [F.count_distinct("path").alias("n_paths")]
-    got = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_changes"), *n_paths)
-    return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_changes", *[c for c in got.columns if c == "n_paths"])
+    if watermark:
+        rows = changes.withWatermark("ts", watermark)
+        got = rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_changes"))
+        return got.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_changes")
+    dated = changes.where(F.col("ts").isNotNull()).join(batch_starts(changes, key, gap), [key, "ts"])
+    got = dated.groupBy(key, "start").agg(F.max("ts").alias("last"), F.count("*").alias("n_changes"), F.count_distinct("path").alias("n_paths"))
+    return got.select(key, "start", (F.col("last") + F.expr(f"interval {gap}")).alias("end"), "n_changes", "n_paths")
 
 
 def last_changes(changes: DataFrame, key: str = "vault", gap: str = GAP) -> DataFrame:
-    """``(key, start, path, change_type)``: each path's last change (the greatest of equally late ones) within each batch of a table.
+    """``(key, start, path, change_type)``: each path's last change (the greatest of equally late ones) within each batch of a table."""
+    last = F.max(F.struct("ts", "change_type"))
+    dated = changes.join(batch_starts(changes, key, gap), [key, "ts"])
+    return dated.groupBy(key, "start", "path").agg(last.alias("c")).select(key, "start", "path", "c.change_type")
 
-    A batch starts where a key's time differs from the one before by more than the gap. Starts are found on
-    distinct times, and each change finds its batch by a running maximum, so no batch is gathered anywhere.
+
+# -- a stream's batches, with their paths
+
+
+_SETTLED = "vault string, start timestamp, end timestamp, path string, change_type string"
+_ROWS = 10_000
+
+
+class Settling(StatefulProcessor):
+    """Holds a vault's changes until none has come for ``gap``; then emits each path's last one.
+
+    Every event moves the pause on, also one whose path is null (of a file that isn't indexed). Batches may still
+    join while the watermark hasn't passed them, so state has the open batches' ends by their start, and by start and path the
+    last change. Both are maps of the state store: a burst of many paths isn't held in memory. A timer waits for the
+    watermark to pass the earliest end.
     """
-    own = Window.partitionBy(key).orderBy("ts")
-    pause = F.lag("ts").over(own)
-    times = changes.select(key, "ts").distinct()
-    starts = times.withColumn("start", F.when(pause.isNull() | (pause + F.expr(f"interval {gap}") < F.col("ts")), F.col("ts")))
-    batches = starts.withColumn("start", F.max("start").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max(F.struct("ts", "change_type"))
-    return changes.join(batches, [key, "ts"]).groupBy(key, "start", "path").agg(last.alias("c")).select(key, "start", "path", "c.change_type")
+
+    def __init__(self, gap_us: int):
+        self.gap = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start long", "end long")
+        self.last = handle.getMapState("last", "start long, path string", "ts long, change string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        open_now = {k[0]: v[0] for k, v in self.open.iterator()}
+        for frame in rows:
+            for ts, path, change in zip(frame["us"], frame["path"], frame["change_type"], strict=True):
+                self._add(open_now, int(ts), path, change)
+        self._wait(open_now)
+        return iter(())
+
+    def _add(self, open_now: dict[int, int], ts: int, path, change) -> None:
+        """Put one event into the open batch that it joins, or a new one; batches that it bridges become the earliest."""
+        joined = sorted(s for s, e in open_now.items() if s - self.gap <= ts <= e + self.gap)
+        start = min([ts, *joined])
+        end = max([ts, *(open_now[s] for s in joined)])
+        for s in joined:
+            if s != start:
+                self._move(s, start)
+                del open_now[s]
+                self.open.removeKey((s,))
+        open_now[start] = end
+        self.open.updateValue((start,), (end,))
+        if path is not None and path == path:
+            self._put(start, path, (ts, change))
+
+    def _put(self, start: int, path: str, change: tuple) -> None:
+        at = (start, path)
+        if not self.last.containsKey(at) or tuple(self.last.getValue(at)) < change:
+            self.last.updateValue(at, change)
+
+    def _move(self, old: int, new: int) -> None:
+        for (_, path), change in [(k, tuple(v)) for k, v in self.last.iterator() if k[0] == old]:
+            self.last.removeKey((old, path))
+            self._put(new, path, change)
+
+    def _wait(self, open_now: dict[int, int]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if open_now:
+            self.handle.registerTimer((min(open_now.values()) + self.gap) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        open_now = {k[0]: v[0] for k, v in self.open.iterator()}
+        done = {s: e for s, e in open_now.items() if e + self.gap < now}
+        rows, spent = [], []
+        for (start, path), (_, change) in self.last.iterator():
+            if start in done:
+                rows.append((key[0], start, done[start] + self.gap, path, change))
+                spent.append((start, path))
+            if len(rows) == _ROWS:
+                yield self._frame(rows)
+                rows = []
+        if rows:
+            yield self._frame(rows)
+        for at in spent:
+            self.last.removeKey(at)
+        for s in done:
+            self.open.removeKey((s,))
+            del open_now[s]
+        self._wait(open_now)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["vault", "start", "end", "path", "change_type"])
+        return frame.assign(start=pd.to_datetime(frame["start"], unit="us", utc=True), end=pd.to_datetime(frame["end"], unit="us", utc=True))
+
+    def close(self) -> None:
+        pass
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """``settled`` needs a state store with timers."""
+    spark.conf.set(_STORE, _ROCKS)
+
+
+def settled(changes: DataFrame, gap: str = GAP, watermark: str = "1 second") -> DataFrame:
+    """A stream ``changes(ts, vault, path, change_type)`` -> ``(vault, start, end, path, change_type)`` of its closed batches.
+
+    A batch closes when the watermark has passed its last event by the gap: any event of the vault counts, also of files that
+    aren't indexed, but only notes and bases outside hidden folders are emitted. Late events are dropped.
+    """
+    keep_state_in_rocksdb(changes.sparkSession)
+    rows = changes.withWatermark("ts", watermark).select(
+        "vault", "ts", F.unix_micros("ts").alias("us"), F.when(is_indexable(F.col("path")), F.col("path")).alias("path"), "change_type"
+    )
+    gap_us = int(pd.Timedelta(gap).total_seconds() * 1_000_000)
+    return rows.groupBy("vault").transformWithStateInPandas(Settling(gap_us), outputStructType=_SETTLED, outputMode="Append", timeMode="EventTime")
+
+
+def log_changes(spark: SparkSession, folder: str, seen: DataFrame, log: str, vault: str = "vault") -> DataFrame:
+    """Append what has changed in a folder since the listing ``seen(path, size, mtime)`` to a change log; the folder's listing now.
+
+    Call it every so often with what it gave, written somewhere; ``spark.readStream`` over ``log`` (schema ``ts timestamp, vault string, path
+    string, change_type string``) is the stream of changes. Nothing is read but names, sizes and times.
+    """
+    now = files.listing(spark, folder).where(~F.col("is_dir")).select("path", "size", "mtime")
+    old = seen.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"))
+    kind = F.when(F.col("old_size").isNull(), "created").when(F.col("size").isNull(), "deleted").otherwise("modified")
+    same = F.col("size").eqNullSafe(F.col("old_size")) & F.col("mtime").eqNullSafe(F.col("old_mtime"))
+    moved = now.join(old, "path", "full").where(~same).select(F.current_timestamp().alias("ts"), F.lit(vault).alias("vault"), "path", kind.alias("change_type"))
+    moved.write.mode("append").parquet(log)
+    return now
 
 
 def index_stream(stream: DataFrame, index, files, checkpoint: str, available_now: bool = True):
-    """Start a query that brings ``index`` up to date with every micro-batch of ``stream(path, ...)``.
+    """Start a query that brings ``index`` up to date with every micro-batch of ``stream(path, ...)``, without a pause.
 
     ``files()`` scans the notes as they are when the batch runs. Batches are checkpointed, so a
     change that arrives during indexing is handled by the next one.
@@ -54,5 +209,27 @@ def index_stream(stream: DataFrame, index, files, checkpoint: str, available_now
         if not changed.isEmpty():
             index.update(files(), only=changed)
 
+    return _started(stream, step, checkpoint, available_now)
+
+
+def watch(changes: DataFrame, update: Callable[[DataFrame], object], checkpoint: str, gap: str = GAP, watermark: str = "1 second", available_now: bool = False):
+    """Start a query that calls ``update(paths)`` once for each closed batch of ``changes``, in the order of their starts.
+
+    ``update`` is, say, ``lambda paths: index.update_folder(folder, only=paths)``. A batch holds the notes among its paths; those
+    without one make no call. What a failed call was given is given again when the query is started anew.
+    """
+
+    def step(batch: DataFrame, _: int) -> None:
+        notes = batch.where(F.col("path").endswith(".md")).persist()
+        try:
+            for r in notes.select("vault", "start").distinct().orderBy("start", "vault").collect():  # batches that closed since the last step
+                update(notes.where((F.col("vault") == r["vault"]) & (F.col("start") == F.lit(r["start"]))).select("path"))
+        finally:
+            notes.unpersist()
+
+    return _started(settled(changes, gap, watermark), step, checkpoint, available_now)
+
+
+def _started(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool):
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="500 milliseconds")).start()

@@ -12,7 +12,7 @@ from notelake.plans import router
 from notelake.sources import config, providers, vault
 
 NOTES = {
-    "Files/Media/Alpha.md": "---\nstatus: 'To Do'\nrating: 4\nprice: 1.50\ndone: yes\nwhen: 2020-01-02\nlist: [x, y]\nempty:\ntags: [#one, two]\n---\n\n# Alpha\n\nSee [[Beta]] and [[Gamma|the third]] #two #three/four\n",
+    "Files/Media/Alpha.md": "---\nstatus: 'To Do'\nrating: 4\nprice: 1.50\ndone: yes\nwhen: 2020-01-02\nlist: [x, y]\nempty:\ntags: ['#one', two]\n---\n\n# Alpha\n\nSee [[Beta]] and [[Gamma|the third]] #two #three/four\n",
     "Files/Media/Beta.md": '---\nstatus: "Done"\nblock:\n  - a b\n  - 7\n---\n# Beta\n#\nfoo\n\n## Beta\ntext here that is long enough\n# Beta\n',
     "Files/Gamma.md": "No frontmatter here. Second sentence! Third? Yes.\n\nSecond paragraph with several words in it.\n",
     "Other/Gamma.md": "---\nnot closed\nGamma two is [[Nowhere]]",
@@ -73,7 +73,8 @@ def test_tags_links_headers(notes):
 
 
 def test_listing_and_tree(lake):
-    assert [(r.name, r.is_dir, r.extension) for r in lake.ls().collect()] == [("Files", True, ""), ("Other", True, ""), ("Short.md", False, ".md"), ("Story.md", False, ".md")]
+    own = [("Bad.base", False, ".base"), ("Files", True, ""), ("Other", True, ""), ("Short.md", False, ".md"), ("Story.md", False, ".md"), ("View.base", False, ".base")]
+    assert [(r.name, r.is_dir, r.extension) for r in lake.ls().collect()] == own
     assert [r.name for r in lake.ls("Files").collect()] == ["Gamma.md", "Media"]
     rows = {r.path: (r.depth, r.type, r.n_files) for r in lake.tree(depth=2).collect()}
     assert rows["Files"] == (1, "directory", 3) and rows["Files/Media"] == (2, "directory", 2) and "Files/Media/Alpha.md" not in rows
@@ -208,17 +209,23 @@ def test_router():
 
 def test_offline_embedding_agrees_with_query_side(spark):
     texts = ["the river and the stone", "Window light", "", "a a a b"]
-    got = providers.embed(spark.createDataFrame([(t,) for t in texts], "content string")).collect()
+    got = providers.embedded(spark.createDataFrame([(t,) for t in texts], "content string")).collect()
     for r in got:
         assert r.embedding == pytest.approx(providers.embed_text(r.content), abs=1e-6)
 
 
 def test_config(tmp_path, monkeypatch):
     monkeypatch.setenv("KEY_X", "secret")
-    (tmp_path / "c.yml").write_text("vault: /v\nembedding: {api_key: '${KEY_X}', batch_size: 8}\nwatch: {debounce_seconds: 5}\nrouter: {name: '${NO_SUCH}'}\n")
+    (tmp_path / "c.yml").write_text(
+        "vault: {path: /v, debounce_seconds: 5, watch: false}\nserver: {port: 1}\nmodels: {api_key: '${KEY_X}', base_url: 'http://x/v1', router: {model: '${NO_SUCH}', max_tokens: null}}\n"
+        "embeddings: {batch_size: 8}\nindex: {chunk_max_tokens: 20, fact_extraction: false}\nundo:\n"
+    )
     got = config.load(tmp_path / "c.yml")
-    assert (got.vault, got.embedding.api_key, got.embedding.batch_size, got.watch.debounce_seconds, got.router.name) == ("/v", "secret", 8, 5.0, "")
-    assert config.load(tmp_path / "none.yml").undo.max_operations == 50
+    assert (got.vault.path, got.models.api_key, got.embeddings.batch_size, got.vault.debounce_seconds, got.models.router.model) == ("/v", "secret", 8, 5.0, "")
+    assert (got.vault.watch, got.index.fact_extraction, got.models.router.max_tokens, got.undo.max_operations) == (False, False, 500, 50)
+    assert got.chat().api_key == "secret" and got.embedder().batch_size == 8
+    plain = config.load(tmp_path / "none.yml")
+    assert plain.undo.max_operations == 50 and plain.chat() is None
 
 
 def plain_patch(text, ops):
@@ -267,8 +274,7 @@ def test_mutations_and_undo(spark):
     assert read()["b.md"] == "---\nn: new\n---\n\nbody"
     lake.delete("a.md")
     assert "a.md" not in read()
-    for _ in range(4):
-        assert lake.undo() == "Undone."
+    assert [lake.undo() for _ in range(4)] == ["Restored deleted file: a.md", "Reverted frontmatter on: b.md", "Deleted created file: c.md", "Reverted append on: a.md"]
     assert read() == {"a.md": "one\ntwo", "b.md": "---\nk: v\n---\n\nbody"} and lake.undo() == "Nothing to undo."
     with pytest.raises(FileNotFoundError):
         lake.patch("zzz.md", "[]")
@@ -300,7 +306,7 @@ def test_changes_reach_the_folder(spark, tmp_path):
 def test_notes_are_written_as_files(spark, tmp_path):
     notes = spark.createDataFrame([("a.md", "x"), ("d/e.md", "y\n"), ("n.md", None)], "path string, content string")
     assert {(r.path, r.size) for r in vault.write_notes(notes, f"file://{tmp_path}/w").collect()} == {("a.md", 1), ("d/e.md", 2), ("n.md", 0)}
-    assert {r.path: r.content for r in vault.scan(spark, f"{tmp_path}/w").collect()} == {"a.md": "x", "d/e.md": "y\n"}  # Spark's file sources skip empty files
+    assert {r.path: r.content for r in vault.scan(spark, f"{tmp_path}/w").collect()} == {"a.md": "x", "d/e.md": "y\n", "n.md": ""}
     with pytest.raises(Exception, match="escapes"):
         vault.write_notes(spark.createDataFrame([("../a.md", "x")], "path string, content string"), f"{tmp_path}/w").collect()
 
@@ -314,7 +320,7 @@ def test_search_reads_the_index(spark, tmp_path):
 
 
 def test_undo_of_a_message_with_several_steps(spark):
-    j = spark.createDataFrame([(1, "m1", "a", "create", None, "1"), (2, "m2", "a", "patch", "1", "2"), (3, "m2", "a", "patch", "2", "3"), (4, "m2", "b", "create", None, "n")], mutate.Journal.COLUMNS)
+    j = spark.createDataFrame([(1, "m1", "a", "create", None, "1"), (2, "m2", "a", "patch", "1", "2"), (3, "m2", "a", "patch", "2", "3"), (4, "m2", "b", "create", None, "n")], "seq long, message_id string, path string, action string, before_content string, after_content string")
     notes = spark.createDataFrame([("a", "3"), ("b", "n")], "path string, content string")
     after, rest = mutate.undo(notes, j)
     assert [tuple(r) for r in after.collect()] == [("a", "1")] and [r.seq for r in rest.collect()] == [1]
@@ -326,15 +332,15 @@ def test_index_lifecycle(spark, tmp_path):
 
     ix = index.Index(spark, f"file://{tmp_path}/ix")
     first = [("a.md", "# A\nlong enough text. key: value", 1.0, 30), ("b.md", "color: blue and more words", 1.0, 26), ("c.md", "short", 1.0, 5)]
-    assert tuple(ix.update(files(first)).first()) == (3, 0, 0)
+    assert tuple(ix.update(files(first)).first()) == (2, 1, 0, 2, 1, 0)
     assert {r.source_path for r in ix.table("chunks").collect()} == {"a.md", "b.md"}
     assert [(r.key, r.value) for r in ix.table("facts").collect()] == [("color", "blue and more words")]
     second = [("a.md", "# A\nlong enough text. key: value", 2.0, 30), ("b.md", "now short", 3.0, 9), ("d.md", "a brand new note appears", 1.0, 24)]
-    assert tuple(ix.update(files(second)).first()) == (3, 1, 1)
+    assert tuple(ix.update(files(second)).first()) == (2, 2, 1, 1, 0, 0)
     assert {r.source_path for r in ix.table("chunks").collect()} == {"a.md", "d.md"} and ix.table("facts").count() == 0
     assert {r.path: r.mtime for r in ix.table("meta").collect()} == {"a.md": 2.0, "b.md": 3.0, "d.md": 1.0}
     only = spark.createDataFrame([("d.md",), ("a.md",)], "path string")
-    assert tuple(ix.update(files([("a.md", "# A\nchanged text now", 9.0, 20)]), only=only).first()) == (2, 0, 1)
+    assert tuple(ix.update(files([("a.md", "# A\nchanged text now", 9.0, 20)]), only=only).first())[:3] == (2, 0, 1)
     assert {r.source_path for r in ix.table("chunks").collect()} == {"a.md"}
     again = index.Index(spark, f"file://{tmp_path}/ix")  # as a new process finds it
     assert {r.source_path for r in again.table("chunks").collect()} == {"a.md"} and tuple(again.counts().first()) == (3, 1, 0) or tuple(again.counts().first())[1:] == (1, 0)
