@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +10,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import discard, materialize
 
 TILE_QUERIES = 512
 SHARD_ROWS = 4096
-#: Bytes of the queries that are broadcast at once.
-GROUP_BYTES = 32_000_000
+#: Most rows of an Arrow batch whose rows are whole shards.
+PAIRS = 8
+_PACKED = "first long, dim int, ids binary, own binary, data binary"
 _PARTIAL = "q long, query_id long, own long, vec_id long, score long"
 
 
@@ -67,16 +67,6 @@ def _best(q: np.ndarray, sids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.nd
     return sids[top], np.take_along_axis(score, top, 1)
 
 
-def _group(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Queries ``(q, vec_id, v)`` by length: rows ``(q, vec_id, product with itself)`` and vectors."""
-    out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for own, v in _by_length(batch.column(2)):
-            product = np.concatenate([_products(x[None], x[None]).ravel() for x in v])
-            out.setdefault(v.shape[1], []).append((np.stack([batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], product], axis=1), v))
-    return {dim: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for dim, parts in out.items()}
-
-
 def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and vectors of each length."""
     sizes, values = pa.compute.list_value_length(vectors).to_numpy(), vectors.flatten().to_numpy()
@@ -86,21 +76,51 @@ def _by_length(vectors: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield own, values[first[own][:, None] + np.arange(dim)]
 
 
-def _search(batches: Iterator[pa.RecordBatch], group, k: int) -> Iterator[pa.RecordBatch]:
-    """The shards of one task against a group of queries: each query's k best of the task."""
-    queries = group.value
-    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(row, vec_id, v)`` as blocks of at most ``size`` vectors of one length: ids, rows and a matrix each."""
+
+    def block(rows: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array([int(rows[0])]), pa.array([v.shape[1]], pa.int32()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (ids, rows, v))]
+        return pa.RecordBatch.from_arrays(cols, names=["first", "dim", "ids", "own", "data"])
+
+    held: dict[int, list] = {}
+    for batch in batches:
+        rows, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for own, v in _by_length(batch.column(2)):
+            part = held.setdefault(v.shape[1], [])
+            part.append((rows[own], ids[own], v))
+            while sum(len(x[0]) for x in part) >= size:
+                r, i, m = (np.concatenate(x) for x in zip(*part, strict=True))
+                yield block(r[:size], i[:size], m[:size])
+                part[:] = [(r[size:], i[size:], m[size:])] if len(r) > size else []
+    for part in held.values():
+        if part:
+            yield block(*(np.concatenate(x) for x in zip(*part, strict=True)))
+
+
+def packed(vectors: DataFrame, size: int, name: str) -> DataFrame:
+    """A table of blocks of ``vectors(row, vec_id, v)``."""
+    return materialize(vectors.select("row", "vec_id", "v").mapInArrow(lambda it: _packed(it, size), _PACKED), name)
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a shard and a tile of queries: each query's k best of the pairs of one task."""
+    found: dict[int, tuple] = {}
+    read = lambda c, i: np.frombuffer(c[i].as_buffer(), np.int64)
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for own, v in _by_length(batch.column(1)):
-            dim = v.shape[1]
-            for at in range(0, len(own) if dim in queries else 0, SHARD_ROWS):
-                shard, tiles = slice(at, at + SHARD_ROWS), queries[dim][1]
-                got = [_best(tiles[t : t + TILE_QUERIES], ids[own[shard]], v[shard], k) for t in range(0, len(tiles), TILE_QUERIES)]
-                got = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                found[dim] = _merged(*found[dim], *got, k) if dim in found else got
-    for dim, (ids, score) in found.items():
-        rows = np.repeat(queries[dim][0], ids.shape[1], axis=0)
+        dims, ids, data, first, tile_ids, tile_rows, tile_data = batch.columns
+        for i in range(batch.num_rows):
+            dim, key = dims[i].as_py(), first[i].as_py()
+            v, q = read(data, i).reshape(-1, dim), read(tile_data, i).reshape(-1, dim)
+            got = _best(q, read(ids, i), v, k)
+            if key in found:
+                rows, *before = found[key]
+                found[key] = (rows, *_merged(*before, *got, k))
+            else:
+                own = np.concatenate([_products(x[None], x[None]).ravel() for x in q])
+                found[key] = (np.stack([read(tile_rows, i), read(tile_ids, i), own], axis=1), *got)
+    for rows, ids, score in found.values():
+        rows = np.repeat(rows, ids.shape[1], axis=0)
         cols = [*(np.ascontiguousarray(c) for c in rows.T), ids.ravel(), score.ravel()]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["q", "query_id", "own", "vec_id", "score"])
 
@@ -108,32 +128,33 @@ def _search(batches: Iterator[pa.RecordBatch], group, k: int) -> Iterator[pa.Rec
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """``queries``/``vectors`` of ``(vec_id, v)`` -> ``(query_id, rank, vec_id, score)``.
 
-    ``queries`` are rows of ``vectors``. They are read in groups of about GROUP_BYTES, one after the other, each of which is broadcast,
-    meets all shards where they lie, and leaves its lists in a table: a shard of SHARD_ROWS vectors and a tile of TILE_QUERIES
-    queries make one matrix product and one partial selection. A task merges the lists of its shards, so that
-    only k + 1 rows a query and task are shuffled; these merge over branches and then whole.
+    ``queries`` are rows of ``vectors``. Vectors are written as shards of SHARD_ROWS, queries as tiles of TILE_QUERIES; every shard meets
+    every tile of its length, as blocks of two tables whose parts are read by the tasks in turn: nothing passes through the driver. A pair
+    makes one matrix product and one partial selection; a task merges the lists of its pairs, so that k + 1 rows a query
+    and task are left, which merge over branches and then whole.
 
     Only vectors of the query's own length are scored; ties go to the smaller vec_id. A query's own row is left
     out: of k + 1 best, one row with its id and its own product goes, else the last. Rows that repeat a vec_id are
     candidates of their own, and as queries have a list each under the same query_id. Empty
     tables give an empty result.
     """
-    spark = queries.sparkSession
-    numbered = materialize(queries.select(F.monotonically_increasing_id().alias("q"), "vec_id", "v"), "queries")
-    size = numbered.agg(F.sum(F.size("v").cast("long") * 8 + 16).alias("n")).first()["n"] or 0
-    groups = max(1, -(-size // GROUP_BYTES))
-    lists = f"{shared_dir(spark)}/notelake/lists-{uuid.uuid4().hex}"
-    for g in range(groups):
-        part = numbered.where(F.pmod(F.xxhash64("q"), F.lit(groups)) == g).toArrow().to_batches()
-        shared = spark.sparkContext.broadcast(_group(part))
-        found = vectors.select("vec_id", "v").mapInArrow(lambda it, shared=shared: _search(it, shared, k + 1), _PARTIAL)
-        found.write.mode("append").parquet(lists)
-        shared.unpersist()
+    numbered = lambda df: df.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+    shards = packed(numbered(vectors), SHARD_ROWS, "shards")
+    tiles = packed(numbered(queries), TILE_QUERIES, "tiles")
+    named = tiles.select("first", F.col("dim").alias("tile_dim"), F.col("ids").alias("tile_ids"), F.col("own").alias("tile_rows"), F.col("data").alias("tile_data"))
+    pairs = shards.select("dim", "ids", "data").crossJoin(named.hint("shuffle_replicate_nl")).where("dim = tile_dim").drop("tile_dim")
+    conf, key = queries.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(PAIRS))
+    try:
+        found = materialize(pairs.mapInArrow(lambda it: _search(it, k + 1), _PARTIAL), "lists")
+    finally:
+        conf.set(key, before)
+    discard(shards, tiles)
     first = Window.partitionBy("q", "tree").orderBy(F.desc("score"), "vec_id")
     last = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     merged = (
-        spark.read.schema(_PARTIAL).parquet(lists)
-        .withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
+        found.withColumn("tree", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
         .withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
         .withColumn("r", F.row_number().over(last)).where(F.col("r") <= k + 1)
     )
