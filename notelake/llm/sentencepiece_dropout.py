@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import released, small_batches
 from .inttable import IntTable
@@ -329,15 +330,10 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 
 def _encoded(batches, model, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
     enc = _encoder(model.value, dropout, seed)
-    last, use = None, 0
     for batch in batches:
         for at, texts in _runs(batch.column(1)):
-            owners, uses, keys = batch.column(0).slice(at, len(texts)), [], []
-            for d, t in zip(owners.to_pylist(), texts, strict=True):
-                own = (d, xxhash.xxh3_128_digest(t or ""))
-                last, use = own, use + 1 if own == last else 0
-                uses.append(use)
-                keys.append(text_key(seed, d, use, t or ""))
+            owners, uses = batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts)).to_pylist()
+            keys = [text_key(seed, d, use, t or "") for d, use, t in zip(owners.to_pylist(), uses, texts, strict=True)]
             ids, counts = enc.encode_many([t or "" for t in texts], keys)
             fine = enc.lossless([t or "" for t in texts], ids, counts)
             none = np.array([t is None for t in texts])
@@ -361,13 +357,36 @@ def _broadcast_model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0) -> DataFrame:
+#: Copies of one row that a task makes; more are dealt out.
+COPIES = 1_000
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows(doc_id, text)`` with ``use``: equal rows are numbered from 0, so that the numbers depend on the rows alone.
+
+    Where no row repeats another, rows stay where they lie. Otherwise equal rows are counted, before they move, and each
+    is made again as often as it was there: it makes no difference which one gets which number.
+    """
+    keyed = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    counts = keyed.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if counts <= 1:
+        return rows.withColumn("use", F.lit(0))
+    once = keyed.groupBy("doc_id", "h1", "h2").agg(F.any_value("text").alias("text"), F.count("*").alias("n"))
+    if counts <= COPIES:
+        return once.select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("use"))
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES).cast("int"))).alias("part")
+    dealt = once.select("doc_id", "h1", "n", "text", parts).repartition("doc_id", "h1", "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
+    return dealt.select("doc_id", "text", F.explode(F.sequence((F.col("part") * COPIES).cast("int"), last.cast("int"))).alias("use"))
+
+
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.1, seed: int = 0, use: str | None = None) -> DataFrame:
     """``(doc_id, use, ids, lossless)`` of every row of ``docs(doc_id, text)``.
 
     A candidate merge is skipped by a hash keyed with seed, doc_id, text, use, the chunk's number in
     the text and the candidate's place, so that every occurrence of a word has its own draws and
-    runs repeat exactly. ``use`` is 0, and counts up over rows that repeat doc_id and text directly one after
-    the other in a file's part (the mixing operator writes them so). With ``dropout`` 0
+    runs repeat exactly. ``use`` names a column that numbers the uses of a document (say, its epoch); without one, rows that are equal in
+    doc_id and text are numbered from 0, wherever they lie. With ``dropout`` 0
     the ids are SentencePiece's own. ``lossless`` says whether decoding gives the text back.
     Characters without a piece, and a literal U+2581, become byte pieces. A null text gives no
     ids and counts as lossless, an empty one gives the piece of the leading space; the model file (bounded by its
@@ -377,7 +396,9 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, dropout: float = 0.
     small_batches(docs.sparkSession)
     model = _broadcast_model(docs, model_path)
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    own = docs["doc_id"], docs["text"].cast("string").alias("text")
+    rows = _numbered(docs.select(*own)) if use is None else docs.select(*own, docs[use].cast("int").alias("use"))
+    rows = rows.select("doc_id", "text", F.col("use").cast("int").alias("use"))
     return rows.mapInArrow(lambda it: released(_encoded(it, model, dropout, seed)), f"doc_id {ids}, use int, ids array<int>, lossless boolean")
 
 

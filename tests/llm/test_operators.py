@@ -179,7 +179,7 @@ def test_pii_base_spans(spark, docs):
     assert first.spans == "email:3:10" and first.base_sha256 == hashlib.sha256(b"email:3:10").hexdigest()
 
 
-def test_pii_trees_add_spans_and_redact(spark):
+def test_pii_redacts(spark):
     texts = [f"call me at {a}-555-{b}" for a, b in zip(range(200, 260), range(1000, 1060), strict=True)] + [f"mail me x{i}@y.org or +1 555 010 {1000 + i}" for i in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = (boosting.Boosted(base=1.0), {0: float("inf"), 1: float("inf"), 2: float("inf"), 3: 0.0})
@@ -187,8 +187,87 @@ def test_pii_trees_add_spans_and_redact(spark):
     r = found.where("doc_id = 0").first()
     assert [(s.s, s.k, s.e) for s in r.spans] == [(11, 3, 23)] and r.base == []
     assert pii.redact(found).where("doc_id = 0").first().text == "call me at [phone]"
-    trees, limits = pii.fit_trees(df)
-    assert set(limits) == {0, 1, 2, 3} and trees.trees
+
+
+def card(rng):
+    digits = [rng.randint(0, 9) for _ in range(15)]
+    total = sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits))
+    return "".join(map(str, digits)) + str(-total % 10)
+
+
+def private(seed, n, first=0):
+    """Texts with data in base forms, as the training rows have them."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        word = lambda: " ".join(rng.choice("river stone window paper light seven north".split()) for _ in range(rng.randint(1, 9)))
+        ip = ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        data = [f"{rng.choice('abc')}.b{i}@mail{i}.example.com", ip, card(rng), f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"]
+        out.append((first + i, f"{word()} {rng.choice(data)} {word()}. {word()} {rng.choice(data)}, {word()} {rng.randint(0, 9)}{str(rng.random())[2:17]} {word()}"))
+    return out
+
+
+def test_pii_trees_find_hidden_forms(spark):
+    """Trees that were fitted on some documents find other forms of the data in other documents, and leave what is none."""
+    schema = "doc_id long, text string"
+    model = pii.fit_trees(spark.createDataFrame(private(1, 400), schema))
+    assert all(np.isfinite(x) for x in model[1].values())
+    rest = spark.createDataFrame(private(2, 200, 1000), schema)
+    forms = pii.planted_variants(rest.select("doc_id", F.col("text").alias("t"))).withColumn("id", F.monotonically_increasing_id()).cache()
+    found = {r.doc_id: [(s.s, s.e) for s in r.spans] for r in pii.find_pii(forms.select(F.col("id").alias("doc_id"), F.col("t").alias("text")), model).collect()}
+    hits = Counter()
+    for r in forms.collect():
+        hits[r.kind, r.y, (r.s, r.e) in found[r.id]] += 1
+    for kind in pii.KINDS:
+        good, lost, bad = hits[kind, 1, True], hits[kind, 1, False], hits[kind, 0, True]
+        assert good > 20 and good >= 0.95 * (good + lost) and good >= 0.95 * (good + bad), (kind, hits)
+    assert pii.fit_trees(rest.limit(0))[1] == {k: float("inf") for k in range(4)}
+
+
+def plain_features(text, s, e, k):
+    """What the trees see of a candidate, by plain code."""
+    import regex
+
+    m, before, after = text[s:e], text[max(0, s - pii.CONTEXT) : s], text[e : e + 1]
+    kind, digits = pii.LOOSE[k][0], re.sub("[^0-9]", "", m)
+    if kind == "email":
+        at = regex.sub(r"\s?[\[(]\s?(?i:at|@)\s?[\])]\s?|\s(?i:at)\s", "@", m)
+        ok = bool(regex.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", regex.sub(r"\s?[\[(]\s?(?i:dot|\.)\s?[\])]\s?|\s(?i:dot)\s", ".", at)))
+    elif kind == "ip":
+        ok = all(int(p) <= 255 for p in re.sub(r"[\[\]()]", "", m).split("."))
+    elif kind == "card":
+        total = sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(map(int, digits[::-1])))
+        ok = 12 <= len(digits) <= 19 and total % 10 == 0
+    else:
+        ok = 9 <= len(digits) <= 15
+    edge = lambda c: 2 if re.match("[A-Za-z0-9]", c or " ") else 0 if c and c in " \t\n\x0b\f\r" else 1
+    return (
+        k, min(len(digits), 20), (" " in m) + 2 * bool(re.search(r"[().\[\]-]", m)), int(min(len(m) / 4, 10)), m.startswith("+") + 2 * ("@" in m) + 4 * bool(re.search(r"[\[(]", m)),
+        bool(re.search(pii._CUES, before)) + 2 * bool(re.search(r"(?i)\b(?:version|v|release|section|page|no|id|isbn|doi)\W{0,3}$", before)), edge(before[-1:]), edge(after), int(ok),
+    )
+
+
+def test_pii_selection(spark):
+    """The spans that are added, against a search with the same trees by plain code."""
+    import regex
+
+    base_rows = private(3, 300)
+    trees, limits = pii.fit_trees(spark.createDataFrame(base_rows, "doc_id long, text string"))
+    forms = pii.planted_variants(spark.createDataFrame(private(4, 60), "doc_id long, t string")).collect()
+    texts = [r.t for r in forms] + [t for _, t in private(5, 40)] + ["a at b.com (at) c.org", "1.2.3.4 [.] 1[.]2[.]3[.]4", "4111.1111.1111.1111/4111.1111.1111.1111 00491701234567", "", "555-123-4567 555 123 4567 call 555-123-4567"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (trees, limits)).collect()
+    added = 0
+    for r in rows:
+        base, more = [(s, e) for s, _, e in plain_pii(r.t)], []
+        for k, (kind, pattern) in enumerate(pii.LOOSE):
+            for m in regex.finditer(pattern, r.t):
+                clear = not any(s < m.end() and m.start() < e for s, e in base)
+                if clear and trees.margin(plain_features(r.t, m.start(), m.end(), k)) >= limits[k]:
+                    more.append((m.start(), -m.end(), pii.KINDS.index(kind), m.end()))
+        kept = [x for x in more if not any(o[0] < x[3] and x[0] < o[3] and (o[0], o[1], o[2]) < (x[0], x[1], x[2]) for o in more)]
+        want = sorted(plain_pii(r.t)) + sorted((s, k, e) for s, _, k, e in kept)
+        assert sorted((s.s, s.k, s.e) for s in r.spans) == sorted(want), r.t
+        added += len(kept)
+    assert added > 50
 
 
 def test_boosting_learns_and_calibrates():
@@ -281,11 +360,23 @@ def test_sentencepiece_follows_the_agenda(dropout):
         assert len({tuple(repeated[i : i + 2]) for i in range(0, 40)}) > 2  # a word's occurrences differ
 
 
-def test_sentencepiece_uses_of_a_document_differ(spark):
+@pytest.mark.parametrize("copies", [1_000, 2])
+def test_sentencepiece_uses_depend_on_rows_alone(spark, monkeypatch, copies):
+    """Equal rows side by side, apart, and in several parts have the same uses and ids; all uses differ."""
+    monkeypatch.setattr(sentencepiece_dropout, "COPIES", copies)
     text = "a window of stone and light"
-    got = sentencepiece_dropout.encode(spark.createDataFrame([(1, text)] * 3 + [(2, text), (None, None)], "doc_id long, text string").coalesce(1), dropout=0.5).collect()
-    assert [(r.doc_id, r.use) for r in got] == [(1, 0), (1, 1), (1, 2), (2, 0), (None, 0)]
-    assert len({tuple(r.ids) for r in got[:4]}) == 4 and all(r.lossless for r in got) and got[4].ids == []
+    rows = [(1, text)] * 5 + [(2, text), (None, None), (None, text), (None, text), (3, None), (3, None), (3, "")]
+    schema, seen = "doc_id long, text string", []
+    for order in (rows, rows[::-1], rows[::2] + rows[1::2]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, schema).repartition(parts) if parts > 1 else spark.createDataFrame(order, schema).coalesce(1)
+            seen.append(sorted(((r.doc_id, r.use, r.ids, r.lossless) for r in sentencepiece_dropout.encode(df, dropout=0.5).collect()), key=str))
+    assert all(x == seen[0] for x in seen)
+    assert sorted((str(d), u) for d, u, _, _ in seen[0]) == sorted([("1", i) for i in range(5)] + [("2", 0), ("None", 0), ("None", 0), ("None", 1), ("3", 0), ("3", 0), ("3", 1)])
+    assert len({tuple(i) for d, _, i, _ in seen[0] if d == 1}) == 5 and all(f for *_, f in seen[0])
+    given = spark.createDataFrame([(1, text, 4), (1, text, 0)], schema + ", epoch int")
+    got = {r.use: r.ids for r in sentencepiece_dropout.encode(given, dropout=0.5, use="epoch").collect()}
+    assert got == {u: i for d, u, i, _ in seen[0] if d == 1 and u in (0, 4)}
 
 
 def plain_phrases(model, lang, text):
@@ -460,9 +551,10 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
-@pytest.mark.parametrize("group", [1, 32_000_000])
-def test_top_k_with_repeated_ids(spark, group, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP_BYTES", group)
+@pytest.mark.parametrize(("tile", "shard"), [(1, 2), (2, 3), (512, 4096)])
+def test_top_k_with_repeated_ids(spark, tile, shard, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_QUERIES", tile)
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     vectors = [(50, [1, 2]), (50, [1, 2]), (50, [2, 1]), (1, [1, 2]), (2, [5, 0]), (100, [1, 0]), (None, [3, 3])]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<double>")
     q = topk.quantized(df, scale=1)
