@@ -14,58 +14,65 @@ MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _windows(run: int, least: int):
-    """An array of all windows of ``first``, ``second`` and ``words``: every ``run`` lines, and fewer with ``least`` words.
+def _starts(run: int, least: int, n: int):
+    """Where windows of ``n`` lines start: everywhere for whole runs, else where the lines have ``least`` words."""
+    size = F.size("ids")
+    every = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+    words = lambda s: sum((F.get("words", s + i) for i in range(1, n)), F.get("words", s))
+    return every if n == run else F.filter(every, lambda s: words(s) >= least)
 
-    Of each: its first line ``s`` and lines ``n``, the place ``p`` of the least line hash in it (leftmost of
-    equals), that hash ``f``, and two hashes of the whole window.
-    """
 
-    def window(s, n):
-        part = F.slice(F.col("first"), s + 1, n)
-        low = F.array_min(part)
-        return F.struct(
-            s.alias("s"),
-            F.lit(n).alias("n"),
-            (s + F.array_position(part, low) - 1).cast("int").alias("p"),
-            low.alias("f"),
-            F.xxhash64(part).alias("w1"),
-            F.xxhash64(F.lit(1), F.slice(F.col("second"), s + 1, n)).alias("w2"),
-        )
+def _selected(s, n: int):
+    """The least line hash of a window, and its line (leftmost of equals)."""
+    part = F.slice(F.col("first"), s + 1, n)
+    low = F.array_min(part)
+    return F.struct(low.alias("f"), (s + F.array_position(part, low) - 1).cast("int").alias("p"))
+
+
+def _first():
+    """Hashes of lines, from which windows select."""
+    return F.transform("ids", lambda x: F.xxhash64(x))
+
 
-    def starts(n):
-        size = F.size("first")
-        every = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-        words = lambda s: sum((F.get("words", s + i) for i in range(1, n)), F.get("words", s))
-        return every if n == run else F.filter(every, lambda s: words(s) >= least)
+def fingerprints(lines: DataFrame, run: int, least: int) -> DataFrame:
+    """``(f, d, k, p)``: of ``lines(d, k, ids, words)``, each place that some window selects, once."""
+    of = lambda n: F.transform(_starts(run, least, n), lambda s: _selected(s, n))
+    picked = F.flatten(F.array(*[of(n) for n in range(1, run + 1)]))
+    rows = lines.select("d", "k", "ids", "words", F.explode(F.array(_first())).alias("first"))
+    return rows.select("d", "k", F.explode(F.array_distinct(picked)).alias("x")).select("x.f", "d", "k", "x.p")
 
-    def windows(n):
-        return F.transform(starts(n), lambda s: window(s, n))
 
-    return F.flatten(F.array(*[windows(n) for n in range(1, run + 1)]))
+def extended(lines: DataFrame, hits: DataFrame, run: int, least: int) -> DataFrame:
+    """``(d, k, s, n, w)``: from each place of ``hits(d, k, places)``, both ways, the windows that selected it, with their lines' digest."""
+    rows = lines.join(hits, ["d", "k"]).select("d", "k", "ids", "words", "places", F.explode(F.array(_first())).alias("first"))
+
+    def around(n):
+        held = F.filter(_starts(run, least, n), lambda s: F.array_contains("places", _selected(s, n)["p"]))
+        own = lambda s: F.sha2(F.to_binary(F.array_join(F.transform(F.slice("ids", s + 1, n), F.hex), ""), F.lit("hex")), 256)
+        return F.transform(held, lambda s: F.struct(s.alias("s"), F.lit(n).alias("n"), F.unhex(F.left(own(s), F.lit(32))).alias("w")))
+
+    windows = F.flatten(F.array(*[around(n) for n in range(1, run + 1)]))
+    return rows.select("d", "k", F.explode(windows).alias("x")).select("d", "k", "x.s", "x.n", "x.w")
 
 
 def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc_id, text_key, line)``: lines (from 0) that belong to a run of ``min_run`` or more
     lines, or of fewer with ``min_words`` or more words, which occurs earlier, in the order of
     doc_id, text hash and line."""
-    lines = F.split(F.col("t"), "\n")
-    hashed = [F.transform(lines, lambda x: F.xxhash64(x)).alias("first"), F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)).alias("second")]
-    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
-    arrays = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), text_of(docs).alias("t")).select(
-        "d", F.xxhash64("t").alias("k"), *hashed, words.alias("words")
-    )
-    rows = arrays.select("d", "k", F.explode(_windows(min_run, min_words)).alias("w")).select("d", "k", "w.*")
-    windows = materialize(rows, "line_windows")
-    # Fingerprints: the selected places; a run that occurs twice has its fingerprints twice.
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), text_of(docs).alias("t"))
+    cut = F.split(F.col("t"), "\n")
+    ids = F.transform(cut, lambda x: F.unhex(F.left(F.sha2(x, 256), F.lit(32))))
+    words = F.transform(cut, lambda x: F.regexp_count(x, F.lit(WORD)))
+    lines = materialize(rows.select("d", F.xxhash64("t").alias("k"), ids.alias("ids"), words.alias("words")), "lines")
+    # A run that occurs twice has its selected places twice: join the places by their hash.
+    prints = materialize(fingerprints(lines, min_run, min_words), "fingerprints")
     place = F.struct("d", "k", "p")
-    prints = windows.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    shared = materialize(prints.where("lo <> hi").select("f"), "fingerprints")
-    # Join positions, then extend both ways: all windows that hold a shared fingerprint.
-    near = materialize(windows.join(shared, "f").select("d", "k", "s", "n", "w1", "w2"), "extended")
-    earliest = near.groupBy("w1", "w2").agg(F.min(F.struct("d", "k", "s")).alias("lo"), F.max(F.struct("d", "k", "s")).alias("hi"))
-    origin = materialize(earliest.where("lo <> hi").select("w1", "w2", "lo"), "origins")
-    later = near.join(origin, ["w1", "w2"]).where(F.struct("d", "k", "s") > F.col("lo"))
+    shared = prints.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f")
+    hits = prints.join(materialize(shared, "shared"), "f").groupBy("d", "k").agg(F.collect_set("p").alias("places"))
+    near = materialize(extended(lines, hits, min_run, min_words), "extended")
+    at = F.struct("d", "k", "s")
+    origin = near.groupBy("w", "n").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("w", "n", "lo")
+    later = near.join(materialize(origin, "origins"), ["w", "n"]).where(F.struct("d", "k", "s") > F.col("lo"))
     covered = later.select("d", "k", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("line"))
     return covered.distinct().select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "line")
 
@@ -74,9 +81,9 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WO
     """``(doc_id, n_lines, n_removed, text)`` of every row, later repeated runs deleted.
 
     Lines end at ``\\n``. A window of ``min_run`` lines, or of fewer with ``min_words`` words together, selects its
-    least line hash; runs of at least that many lines or words that occur twice therefore share a selected place. Places with a
-    hash in common are extended both ways by the windows around them, compared by two
-    64-bit hashes, and every line of a window that occurs earlier (by doc_id, text hash, line)
+    least line hash; runs of at least that many lines or words that occur twice therefore share a selected place. Selected places alone
+    are written and joined by their hash; those that have it in common are extended both ways to the windows that
+    selected them, whose lines are compared by 128 bits of SHA-256, and every line of a window that occurs earlier (by doc_id, text hash, line)
     is deleted; the first occurrence stays. Shorter texts stay whole; null counts as
     empty; rows that repeat a doc_id with equal text count as one place and all keep what it
     keeps; a null doc_id sorts first; other columns are ignored; an empty table gives none.
