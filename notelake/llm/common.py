@@ -93,14 +93,21 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, upper, low))
 
 
+#: Most groups of a sample, whose counts (one row each) every task holds.
+MAX_GROUPS = 100_000
+
+
 def hash_sample(ids: DataFrame, group: str, size: int) -> DataFrame:
     """At most ``size`` rows of each group of ``ids(doc_id, h, <group>)``: those of least hash ``h``.
 
     A group's count sets a threshold that about twice as many hashes pass, so that only those
     rows, however large the group, meet in one task to be ranked. Groups (languages, labels) are
-    few: their counts are broadcast, so that no row moves before the threshold has applied.
+    few: their counts are broadcast, so that no row moves before the threshold has applied; more than MAX_GROUPS raise
+    ValueError.
     """
-    counts = ids.groupBy(group).agg(F.count("*").alias("n"))
+    counts = materialize(ids.groupBy(group).agg(F.count("*").alias("n")), "group_counts")
+    if counts.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} values of {group}")
     part = F.shiftrightunsigned("h", 11) / float(1 << 53)
     some = ids.join(F.broadcast(counts), group).where(part * F.col("n") < 2.0 * size + 50).drop("n")
     first = Window.partitionBy(group).orderBy(F.shiftrightunsigned("h", 1), "doc_id")

@@ -39,6 +39,7 @@ class DigestIndex:
     filter on the digest, which lookups by digest use to skip files. FAN_OUT runs of a level
     compact into one of the next; compaction keeps the smallest and the largest identifier and
     adds up the members. Runs are never changed in place, so a lost executor costs a re-read.
+    Null texts count as empty, null ids order first; rows that repeat an id are members of their own; an empty batch makes an empty run.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):

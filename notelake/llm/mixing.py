@@ -14,6 +14,8 @@ from .common import materialize, text_of
 MAX_SOURCES = 100_000
 #: Rows of a block, on average.
 BLOCK_ROWS = 512
+#: Epochs of a block that one row stands for until they are dealt out; most epochs that a source may have.
+EPOCHS, MOST_EPOCHS = 1_000, (1 << 31) - 2
 #: The exponent is a multiple of 1 / STEPS in [0, 1].
 STEPS = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,7 +118,8 @@ def mix(
     share = F.when(F.col("total") > 0, F.floor(found.weight(F.col("total")) * F.lit(found.budget)).cast("long")).otherwise(0)
     if cover:  # the largest source's share is its total but for rounding
         share = F.greatest(share, F.col("total"))
-    whole = F.when(F.col("total") > 0, F.floor(share / F.greatest(F.col("total"), F.lit(1))).cast("int")).otherwise(1)
+    whole = F.when(F.col("total") > 0, F.floor(share / F.greatest(F.col("total"), F.lit(1))).cast("long")).otherwise(F.lit(1).cast("long"))
+    whole = F.when(whole > MOST_EPOCHS, F.raise_error(F.concat(F.lit("too many epochs of the source "), "source")).cast("long")).otherwise(whole)
     plan = totals.select(
         "source", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("blocks"), whole.alias("whole"), (share - whole * F.col("total")).alias("rest")
     )
@@ -131,9 +134,11 @@ def mix(
     ordered = materialize(placed.withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0).cast("long"))).drop("h"), "placed")
 
     blocks = ordered.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
-    epochs = blocks.join(F.broadcast(plan), "source").select(
-        "source", "block", "size", "whole", "rest", F.explode(F.sequence(F.lit(1), F.col("whole") + 1)).alias("epoch")
-    )
+    # A small source may have very many epochs: they are dealt out in parts.
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("whole") / EPOCHS))).alias("part")
+    dealt = blocks.join(F.broadcast(plan), "source").select("source", "block", "size", "whole", "rest", parts).repartition("source", "block", "part")
+    within = F.sequence(F.col("part") * EPOCHS + 1, F.least((F.col("part") + 1) * EPOCHS, F.col("whole") + 1))
+    epochs = dealt.select("source", "block", "size", "whole", "rest", F.explode(within.cast("array<int>")).alias("epoch"))
     turn = _digest(F.lit(seed), F.col("epoch"), F.col("source"), F.col("block"))
     # A source's blocks are ranked in two levels: within ranges of the turn's hash, then over the 256 ranges.
     turned = materialize(epochs.withColumn("turn", turn).withColumn("range", F.substring("turn", 1, 2)), "turns")
@@ -159,7 +164,11 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` uses its doc_id, with the columns of ``docs``."""
+    """The rows of ``docs``, each as often as ``mix`` uses its doc_id, with the columns of ``docs``.
+
+    Rows that repeat a doc_id, or have none, are each used as often as any of them; a null or empty text is used like another,
+    null sources are one source; an empty table gives no rows.
+    """
     uses = mix(docs, **options).groupBy("doc_id").agg(F.max("epoch").alias("copies"))
     times = materialize(uses.select(F.col("doc_id").alias("used_id"), "copies"), "uses")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
