@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         old = labels.select("v", F.col("l").alias("before"))
         changed = jumped.where("moved").limit(1).count() or near.join(old, "v").where("l < before").limit(1).count()
+        discard(near, labels)  # read by nothing from here on
         labels = jumped.select("v", "l")
         if not changed:
+            discard(both)
             return labels.select("v", F.col("l").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 #: Lines of a run that is found whatever its length: the winnowing window.
 MIN_RUN = 3
@@ -56,7 +56,7 @@ def extended(lines: DataFrame, hits: DataFrame, run: int, least: int) -> DataFra
 
 
 def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """``(doc_id, text_key, line)``: lines (from 0) that belong to a run of ``min_run`` or more
+    """``(doc_id, text_key, lines)``: of each text, the lines (from 0) that belong to a run of ``min_run`` or more
     lines, or of fewer with ``min_words`` or more words, which occurs earlier, in the order of
     doc_id, text hash and line."""
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("d"), text_of(docs).alias("t"))
@@ -67,14 +67,17 @@ def repeated_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN
     # A run that occurs twice has its selected places twice: join the places by their hash.
     prints = materialize(fingerprints(lines, min_run, min_words), "fingerprints")
     place = F.struct("d", "k", "p")
-    shared = prints.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f")
-    hits = prints.join(materialize(shared, "shared"), "f").groupBy("d", "k").agg(F.collect_set("p").alias("places"))
+    shared = materialize(prints.groupBy("f").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("f"), "shared")
+    hits = prints.join(shared, "f").groupBy("d", "k").agg(F.collect_set("p").alias("places"))
     near = materialize(extended(lines, hits, min_run, min_words), "extended")
+    discard(lines, prints, shared)
     at = F.struct("d", "k", "s")
-    origin = near.groupBy("w", "n").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("w", "n", "lo")
-    later = near.join(materialize(origin, "origins"), ["w", "n"]).where(F.struct("d", "k", "s") > F.col("lo"))
+    origin = materialize(near.groupBy("w", "n").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).where("lo <> hi").select("w", "n", "lo"), "origins")
+    later = near.join(origin, ["w", "n"]).where(F.struct("d", "k", "s") > F.col("lo"))
     covered = later.select("d", "k", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("line"))
-    return covered.distinct().select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "line")
+    found = materialize(covered.groupBy(F.col("d").alias("doc_id"), F.col("k").alias("text_key")).agg(F.collect_set("line").alias("lines")), "repeated")
+    discard(near, origin)
+    return found
 
 
 def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,10 +91,8 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, min_words: int = MIN_WO
     empty; rows that repeat a doc_id with equal text count as one place and all keep what it
     keeps; a null doc_id sorts first; other columns are ignored; an empty table gives none.
     """
-    gone = repeated_lines(docs, min_run, min_words)
-    per_doc = materialize(
-        gone.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set("line").alias("gone")), "removed"
-    )
+    found = repeated_lines(docs, min_run, min_words)
+    per_doc = found.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("lines").alias("gone"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t")).select(
         "doc_id", "t", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("t").alias("k")
     )

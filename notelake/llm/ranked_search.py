@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, text_of
+from .common import discard, materialize, small_batches, text_of
 from .license_scan import words_of
 
 #: Bytes of the items' terms that are broadcast at once.
@@ -194,6 +194,7 @@ def ranked(items: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:
                 arranged.append((q, own, times.astype(np.int64)))
         shared = spark.sparkContext.broadcast((Corpus(total["docs"], total["terms"] or 1, weights), arranged))
         lists.append(materialize(forward.mapInArrow(lambda it, shared=shared: _search(it, shared, k), _LISTS), "ranked"))
+        discard(forward)
     found = lists[0]
     for more in lists[1:]:
         found = found.union(more)
