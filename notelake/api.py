@@ -127,7 +127,7 @@ class Vault:
         notes = vault.parse(raw)
         if step.name == "semantic":
             max_tokens = self.settings.index.chunk_max_tokens
-            chunks = self.indexed.table("chunks") if self.indexed else providers.embedded(chunking.chunks(notes, max_tokens), self.embedder)
+            chunks = self.indexed.table("chunks") if self.indexed else providers.embedded(chunking.chunks(notes, max_tokens, counter=self.settings.counter()), self.embedder)
             return search.semantic_strategy(chunks, self.embedder.embed([query])[0])
         if step.name == "text":
             rules = ignore.read(self.spark, self.root) if self.table is None else []
@@ -255,7 +255,7 @@ class Vault:
     def index(self, root: str) -> index.Index:
         """The index kept below ``root``, which searches read from now on."""
         own = self.settings.index
-        self.indexed = index.Index(self.spark, root, own.chunk_max_tokens, embedder=self.embedder, chat=self.chat, facts=own.fact_extraction)
+        self.indexed = index.Index(self.spark, root, own.chunk_max_tokens, embedder=self.embedder, chat=self.chat, facts=own.fact_extraction, counter=self.settings.counter())
         return self.indexed
 
 

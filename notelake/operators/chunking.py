@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokens import TokenCounter
 
 HEADER_LINE = r"(?mdU)(?=^#{1,6}\s+.+$)"
 _SECTION = "struct<header:string,text:string>"
@@ -60,11 +61,40 @@ def frontmatter_text(title: Column, fm: Column) -> Column:
     return F.array_join(F.concat(F.array(F.concat(F.lit("Note: "), title), F.lit("Properties:")), shown), "\n")
 
 
-def chunks(notes: DataFrame, max_tokens: int = 1500, tokens=X.token_estimate) -> DataFrame:
+def counted_pieces(notes: DataFrame, max_tokens: int, counter: TokenCounter) -> DataFrame:
+    """``notes(sections, ...)`` with ``pieces``: ``(kind, header, text)`` of sections that fit, else of paragraphs, else of packed sentences.
+
+    A tokenizer counts and packs arrays of each note's texts, those alone that it must see: sections, paragraphs
+    of long sections, sentences of long paragraphs. Each count sits in a column of its own behind a one-row generator, so
+    that it stays out of the expressions that read it.
+    """
+    fixed = lambda df, name, c: df.withColumn(f"_{name}", c).select("*", F.explode(F.array(f"_{name}")).alias(name)).drop(f"_{name}")
+    piece = lambda kind, header, text: F.struct(F.lit(kind).alias("kind"), header.alias("header"), text.alias("text"))
+
+    def of_section(s: Column, n: Column) -> Column:
+        return F.when(n <= max_tokens, F.array(piece("section", s["header"], s["text"]))).otherwise(
+            F.transform(paragraphs(s["text"]), lambda p: piece("paragraph", s["header"], p))
+        )
+
+    def of_paragraph(p: Column, batches: Column) -> Column:
+        return F.when(batches.isNull(), F.array(p)).otherwise(F.transform(batches, lambda b: piece("paragraph", p["header"], b)))
+
+    filled = notes.withColumn("sections", F.filter("sections", lambda s: X.strip(s["text"]) != ""))
+    sized = fixed(filled, "n", counter.counts(F.transform("sections", lambda s: s["text"])))
+    cut = fixed(sized, "cut", F.flatten(F.zip_with("sections", "n", of_section))).drop("n")
+    paragraph = lambda p, n: F.when((p["kind"] == "paragraph") & n, p["text"])
+    sized = fixed(cut, "n", counter.counts(F.transform("cut", lambda p: paragraph(p, F.lit(True)))))
+    long = F.zip_with("cut", "n", lambda p, n: paragraph(p, n > max_tokens))
+    packed = fixed(sized, "batches", counter.packed(long, max_tokens))
+    return packed.withColumn("pieces", F.flatten(F.zip_with("cut", "batches", of_paragraph))).drop("n", "cut", "batches")
+
+
+def chunks(notes: DataFrame, max_tokens: int = 1500, tokens=X.token_estimate, counter: TokenCounter | None = None) -> DataFrame:
     """Chunks of parsed notes, one row each.
 
     Everything happens inside each note's own row (arrays, then one explode), so no shuffle is
-    needed for the running chunk index. ``tokens`` is a Column function that counts tokens.
+    needed for the running chunk index. ``tokens`` is a Column function that counts tokens; a ``counter`` counts them
+    with a tokenizer instead.
     """
     piece = lambda kind, header, text, shown, links: F.struct(
         F.lit(kind).alias("chunk_type"), header.alias("section_header"), text.alias("text"), shown.alias("content"), links.alias("links")
@@ -91,8 +121,13 @@ def chunks(notes: DataFrame, max_tokens: int = 1500, tokens=X.token_estimate) ->
     first = F.when(F.size("fm") > 0, F.array(piece("frontmatter", F.lit(""), front, front, F.array().cast("array<string>"))))
     filled = F.filter(F.col("sections"), lambda s: X.strip(s["text"]) != "")
     rest = F.flatten(F.transform(filled, by_section))
+    cut_notes = notes.withColumn("sections", sections(F.col("body")))
+    if counter is not None:
+        cut_notes = counted_pieces(cut_notes, max_tokens, counter)
+        whole = lambda p: piece("", p["header"], p["text"], prefixed(p["header"], p["text"]), X.wikilinks(p["text"])).withField("chunk_type", p["kind"])
+        rest = F.transform("pieces", whole)
     every = F.when(F.size("fm") > 0, F.concat(first, rest)).otherwise(rest)
-    rows = notes.withColumn("sections", sections(F.col("body"))).select("path", "title", "tags", F.posexplode(every).alias("chunk_index", "c"))
+    rows = cut_notes.select("path", "title", "tags", F.posexplode(every).alias("chunk_index", "c"))
     return rows.select(
         X.chunk_id(F.col("path"), F.col("chunk_index")).alias("chunk_id"),
         F.col("path").alias("source_path"),

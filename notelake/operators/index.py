@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.tokens import TokenCounter
 from ..sources import files as listed
 from ..sources import providers, vault
 from .chunking import chunks
@@ -91,7 +92,8 @@ class Index:
     that a run touches is written anew as parts of more bits, the others stay as they lie. ``vacuum`` deletes folders that
     are no longer named.
 
-    ``embedder`` and ``chat`` are the model services (offline ones by default); without ``facts`` none are extracted.
+    ``embedder`` and ``chat`` are the model services (offline ones by default); without ``facts`` none are extracted; a
+    ``counter`` counts tokens with a tokenizer.
     """
 
     spark: SparkSession
@@ -101,6 +103,7 @@ class Index:
     embedder: providers.Embedder | None = None
     chat: providers.Chat | None = None
     facts: bool = True
+    counter: TokenCounter | None = None
     counted: dict[str, int] = field(default_factory=dict)
 
     # files and manifests
@@ -246,7 +249,7 @@ class Index:
     def _made(self, notes: DataFrame, run: str) -> dict[str, DataFrame]:
         """Chunks with their vectors, and facts, of the notes of this run, written once."""
         columns = {n: [c.split()[0] for c in TABLES[n].split(", ")] for n in TABLES}
-        new = {"chunks": providers.embedded(chunks(notes, self.max_tokens), self.embedder).select(*columns["chunks"])}
+        new = {"chunks": providers.embedded(chunks(notes, self.max_tokens, counter=self.counter), self.embedder).select(*columns["chunks"])}
         if not self.facts:
             new["facts"] = self.spark.createDataFrame([], TABLES["facts"])
         elif self.chat is None:

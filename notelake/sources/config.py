@@ -10,6 +10,7 @@ from typing import Any
 
 import yaml
 
+from ..functions.tokens import TokenCounter
 from . import providers
 
 
@@ -62,9 +63,12 @@ class Folder:
 
 @dataclass
 class Index:
+    """``tokenizer`` is a file of ranks that counts tokens; without one they are estimated."""
+
     db_path: str = "index"
     fact_extraction: bool = True
     chunk_max_tokens: int = 1500
+    tokenizer: str = ""
 
 
 @dataclass
@@ -85,6 +89,9 @@ class Settings:
         roles = {r: asdict(getattr(m, r)) for r in ("router", "extractor", "synthesizer")}
         return providers.HttpChat(m.base_url, m.api_key, roles) if m.base_url else None
 
+    def counter(self) -> TokenCounter | None:
+        return TokenCounter.read(self.index.tokenizer) if self.index.tokenizer else None
+
     def embedder(self) -> providers.Embedder:
         e = self.embeddings
         if e.base_url:

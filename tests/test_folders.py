@@ -288,6 +288,63 @@ def test_index_with_services(spark, tmp_path, service):
     assert {r.source_path: r.embedding[0] for r in ix.table("chunks").collect()} == {"a.md": 27.0, "b.md": 27.0}
 
 
+# -- chunks by a tokenizer
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
+@pytest.mark.parametrize("most", [12, 40, 10_000])
+def test_chunks_by_a_tokenizer(spark, most):
+    """Pieces by plain code: sections that fit, else paragraphs, else sentences packed while they fit."""
+    import base64
+    import re
+
+    import tiktoken
+
+    from notelake.functions import tokens
+    from notelake.operators import chunking
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(TOKENIZER, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    size = lambda t: len(known.encode_ordinary(t))
+    rng = random.Random(1)
+    word = lambda: rng.choice("the river Über stone 12345 snowflake <|endoftext|> antidisestablishmentarianism . ! ? 日本".split())
+    say = lambda n: " ".join(word() for _ in range(n)).replace(" .", ".")
+    notes = [(f"n{i}.md", "\n\n".join([say(rng.randint(0, 30))] + [f"## H{j}\n\n" + "\n\n".join(say(rng.randint(1, 60)) for _ in range(rng.randint(0, 3))) for j in range(3)])) for i in range(25)]
+    notes += [("e.md", ""), ("f.md", "---\nk: v\n---\n"), ("g.md", "---\nk: v\n---\n" + say(100))]
+    got = {}
+    counter = tokens.TokenCounter.read(TOKENIZER)
+    parsed = vault.parse(spark.createDataFrame(notes, "path string, content string"))
+    for r in chunking.chunks(parsed, most, counter=counter).collect():
+        got.setdefault(r.source_path, []).append((r.chunk_index, r.chunk_type, r.section_header, r.content))
+    for r in parsed.select("path", "title", "body", "fm").collect():
+        want = [("frontmatter", "", f"Note: {r.title}\nProperties:\n  k: v")] if r.fm else []
+        parts = re.split(r"(?m)(?=^## )", r.body) if r.body else []
+        for part in parts:
+            head, text = ("", part) if not part.startswith("## ") else part.split("\n", 1) if "\n" in part else (part, "")
+            head, text = head.removeprefix("## ").strip(), text.strip()
+            pieces = []
+            if text and size(text) <= most:
+                pieces = [("section", text)]
+            elif text:
+                for p in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
+                    if size(p) <= most:
+                        pieces.append(("paragraph", p))
+                        continue
+                    now = ""
+                    for x in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+", p))):
+                        if now and size(now + x) > most:
+                            pieces.append(("paragraph", now))
+                            now = ""
+                        now += x
+                    pieces += [("paragraph", now)] if now else []
+            want += [(kind, head, f"Note: {r.title}\n" + (f"Section: {head}\n" if head else "") + t) for kind, t in pieces]
+        assert [x[1:] for x in sorted(got.get(r.path, []))] == want, r.path
+        assert [x[0] for x in sorted(got.get(r.path, []))] == list(range(len(want)))
+
+
 # -- approximate search
 
 
