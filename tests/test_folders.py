@@ -377,6 +377,18 @@ def test_odd_vectors(spark):
     assert [(r.id, r.rank) for r in got] == [(1, 1), (8, 2), (2, 3)]
 
 
+def test_near_pairs_are_no_rows(spark):
+    """Copies share every bucket: their pairs meet inside tasks, not in a join, and repeated ids are rows of their own."""
+    rows = [(i, [1.0, float(i % 7)]) for i in range(300)] + [(5, [0.5, 0.5])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    planes = nearest.Projections(2, tables=4, bits=2)
+    got = nearest.near_k(v.where("vec_id = 0"), v, nearest.buckets(v, planes), planes, k=3)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.query_id, r.rank, r.id) for r in got.orderBy("rank").collect()] == [(0, 1, 0), (0, 2, 7), (0, 3, 14)]
+    twice = nearest.near_k(v.where("vec_id = 0"), v.where("vec_id = 5"), nearest.buckets(v.where("vec_id = 5"), planes), planes, k=9, probes=2)
+    assert twice.count() == 2
+
+
 # -- ignore files
 
 
