@@ -17,11 +17,10 @@ from .common import discard, materialize, released, small_batches, text_of
 from .components import connected_components
 from .simhash import TABLE_PIVOTS, _references, fingerprint, link_fingerprints, shingle_hashes
 
-#: Documents (about) that the order of shingles is estimated on; any order gives the same result.
-ORDER_DOCS = 20_000
-CELLS = 1 << 22
-#: Sampled documents from which on a cell counts as common.
-COMMON = 8
+#: Cells that shingles are counted in, for their order (any order gives the same result), and cells of a block of counts.
+CELLS, CELL_BLOCK = 1 << 22, 1 << 12
+#: Shingles from which on a cell may count as common, and times the mean of all cells that it must have.
+COMMON, OVER = 8, 4
 #: Members of a bucket up to which its pairs are tested directly.
 PAIR_LIMIT = 32
 #: Further rounds, and members of a bucket and size band that those outside its largest component meet in each.
@@ -37,18 +36,39 @@ def shingle_set(raw: bytes, shingle: int) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """One task's shingles by cell, as blocks of counts."""
+    counts = np.zeros(CELLS, np.int32)
     for batch in batches:
         sets = [shingle_set(x.as_py(), shingle) for x in batch.column(0)] or [np.empty(0, np.uint64)]
         cell, n = np.unique(np.concatenate(sets) % np.uint64(CELLS), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+        counts[cell.astype(np.int64)] += n.astype(np.int32)
+    blocks = counts.reshape(-1, CELL_BLOCK)
+    for i in np.flatnonzero(blocks.any(axis=1)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], names=["block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells of whole blocks and their counts, over all tasks."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.int64)
+    for i, n in total.items():
+        own = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i * CELL_BLOCK + own), pa.array(n[own])], names=["cell", "n"])
 
 
 def _common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of common shingles and their counts in a sample of the texts."""
-    part = min(1.0, ORDER_DOCS / max(1, docs.count()))
-    raw = docs.select(text_of(docs).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    found = raw.select(F.col("t").cast("binary").alias("raw")).mapInArrow(lambda it: _cells(it, shingle), "cell long, n long")
-    rows = found.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).toArrow()
+    """Cells of common shingles and their counts over all texts.
+
+    Tasks count into CELLS cells and add up block by block. Cells with OVER times the mean are a share of CELLS at most, however many texts there are.
+    """
+    raw = docs.select(text_of(docs).cast("binary").alias("raw"))
+    parts = raw.mapInArrow(lambda it: released(_cells(it, shingle)), "block int, counts binary")
+    cells = materialize(parts.repartition("block").mapInArrow(_summed, "cell long, n long"), "shingle_cells")
+    every = cells.agg(F.sum("n")).first()[0] or 0
+    rows = cells.where(F.col("n") >= max(COMMON, OVER * every / CELLS)).toArrow()
+    discard(cells)
     return rows["cell"].to_numpy(), rows["n"].to_numpy()
 
 
@@ -245,10 +265,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
         home = sizes.groupBy("token").agg(F.max(F.struct("m", "c")).alias("home"))
         return own, materialize(own.join(home, "token").where("c <> home.c").select("token", "node", "n", "p", "band", "c"), "away")
 
+    def linked(found: DataFrame) -> DataFrame:
+        """One link a node, to the least of its component: what was found before, in place of all its links."""
+        return found.where("v <> component").select(F.col("component").alias("a"), F.col("v").alias("b"))
+
     proposed = pairs.select("a", "b").union(starred(crowd, 0))
     for again in range(ROUNDS + 1):
-        edges = materialize(edges.union(_verified(docs, nodes, proposed, shingle, least)), "near_edges")
-        found = connected_components(edges)
+        found = connected_components(edges.union(_verified(docs, nodes, proposed, shingle, least)))
+        edges = linked(found)
         own, away = placed(found)
         if not away.limit(1).count():
             break
@@ -260,8 +284,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, dist
             right = own.select("token", F.col("node").alias("b"), F.col("p").alias("pb"), F.col("c").alias("cb")).join(_marks(nodes, "b"), "b")
             both = (left["token"] == right["token"]) & (F.col("ca") != F.col("cb")) & _possible(least) & _close(least)
             rest = left.join(right, both).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            edges = materialize(edges.union(_verified(docs, nodes, rest, shingle, least, closed=True)), "near_edges")
-            found = connected_components(edges)
+            found = connected_components(edges.union(_verified(docs, nodes, rest, shingle, least, closed=True)))
     comp = nodes.join(found, nodes.node == found.v, "left").select("node", "lo", F.coalesce("component", "node").alias("component"))
     of = materialize(nodes.select(*key, "node"), "node_keys")
     comp = materialize(comp, "components")

@@ -53,3 +53,31 @@ def test_near_dedup_decides_by_row(spark):
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, b + " end"), (3, c + " end"), (3, a + " more")])
     alone = spark.createDataFrame([(None, a), (None, b)], "doc_id long, text string")
     assert corpus_pipeline.near_dedup(spark, alone, "").count() == 2
+
+
+def test_shingles_are_counted_over_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "ORDER_DOCS", 10, raising=False)
+    shared = " ".join(f"s{i}" for i in range(9))
+    df = spark.createDataFrame([(i, f"{shared} own{i}" if i < 40 else None) for i in range(50)], "doc_id long, text string").repartition(3)
+    cell, n = jaccard._common(df, 5)
+    assert dict(zip(cell.tolist(), n.tolist(), strict=True)) == {int(h) % jaccard.CELLS: 40 for h in jaccard.shingle_set(shared.encode(), 5)}
+
+
+def test_found_components_are_one_link_a_node(spark, monkeypatch):
+    """Each later search for components starts from one link a node, not from all pairs so far."""
+    sizes, verified, find, check = [], [], jaccard.connected_components, jaccard._verified
+
+    def seen(edges):
+        sizes.append(edges.count())
+        return find(edges)
+
+    def checked(*args, **more):
+        verified.append(check(*args, **more))
+        return verified[-1]
+
+    monkeypatch.setattr(jaccard, "PAIR_LIMIT", 0)
+    monkeypatch.setattr(jaccard, "connected_components", seen)
+    monkeypatch.setattr(jaccard, "_verified", checked)
+    known = texts()
+    jaccard.near_copies(spark.createDataFrame(list(enumerate(known)), "doc_id long, text string"))
+    assert len(sizes) > 1 and sizes[1] < sizes[0] + verified[1].count()
