@@ -11,8 +11,6 @@ from . import boosting
 from .common import materialize, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounded sample of documents that the trees are fitted and calibrated on.
-TRAIN_DOCS = 20_000
 #: Held-out precision that a generator's threshold must reach, and positives it must be seen on.
 PRECISION, SUPPORT = 0.95, 20
 #: Characters of context on each side of a candidate.
@@ -240,22 +238,19 @@ def _limit(model: boosting.Boosted, cells: list[boosting.Cell]) -> tuple[float,
 
 
 def fit_trees(docs: DataFrame) -> tuple[boosting.Boosted, dict[int, float]]:
-    """Trees and a threshold per generator, from a bounded sample of documents.
+    """Trees and a threshold per generator, from all documents with an id.
 
     Labels come from forms that are put where base spans stand (``planted_variants``): a candidate that is exactly such a
     form of its own kind is positive, one that only touches it, or touches a form that is no datum, is negative,
     and so are candidates of the texts themselves, clear of base spans, that fail their kind's test; those that pass it may be either and
-    are left out. Trees fit on the documents of one half of the sample,
-    thresholds on the other. A generator with under SUPPORT positives there takes the threshold of all generators together, even odds
+    are left out. Trees fit on one half of the documents, by a hash of
+    their ids, thresholds on the other; both see counts of feature combinations alone. A generator with under SUPPORT positives there takes the threshold of all generators together, even odds
     at least; where those have fewer too, it adds nothing.
     """
-    ids = docs.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).where("doc_id is not null")
-    chosen = ids.orderBy("h", "doc_id").limit(TRAIN_DOCS).select("doc_id", (F.pmod("h", F.lit(2)) == 0).alias("half")).distinct()
-    sample = docs.select("doc_id", text_of(docs).alias("t")).join(F.broadcast(chosen), "doc_id").where(F.col("t").rlike(r"[0-9@]|(?i:[\[( ]at[\]) ])"))
-    halves = chosen.withColumnRenamed("doc_id", "own_id")
-    planted = materialize(planted_variants(sample.select("doc_id", "t")), "pii_forms")
-    planted = planted.join(F.broadcast(halves), F.col("doc_id") == F.col("own_id"))
-    base = sample.select("t", "half", _all_base(base_spans(F.col("t"))).alias("base"))
+    half = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0).alias("half")
+    known = docs.select("doc_id", text_of(docs).alias("t")).where("doc_id is not null").where(F.col("t").rlike(r"[0-9@]|(?i:[\[( ]at[\]) ])"))
+    planted = materialize(planted_variants(known), "pii_forms").select("*", half)
+    base = known.select("t", half, _all_base(base_spans(F.col("t"))).alias("base"))
     groups = []
     place = F.struct(F.col("s").alias("s"), F.col("e").alias("e"))
     for k, (kind, _) in enumerate(LOOSE):

@@ -25,3 +25,9 @@ def test_other_forms_are_added_at_any_share(spark, share):
         want = {(f"ann{i} [at] site [dot] com", "email"), (f"10[.]9[.]{i % 250}[.]3", "ip"), (f"030-555-{1000 + i % 9000}", "phone")}
         assert want <= found[i], (i, found[i])
     assert all(k != "phone" for i in odd for _, k in found[i])
+
+
+def test_all_documents_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TRAIN_DOCS", 1, raising=False)
+    _, limits = pii.fit_trees(table(spark, 400, 0.02)[0])
+    assert all(x < float("inf") for x in limits.values())
