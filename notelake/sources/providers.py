@@ -10,6 +10,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import pyarrow as pa
@@ -86,6 +87,10 @@ class HttpEmbedder:
         return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
 
 
+#: Words whose hashes a worker of the offline embedder keeps, about 200 bytes each.
+WORDS = 1 << 16
+
+
 @dataclass
 class OfflineEmbedder:
     """Signed hashed words, scaled to length one; the same text always has the same vector."""
@@ -97,26 +102,38 @@ class OfflineEmbedder:
         return [embed_text(t, self.dimensions) for t in texts]
 
 
+@lru_cache(WORDS)
+def _placed(word: str) -> tuple[int, float]:
+    """A word's place, to be taken modulo the dimensions, and its sign."""
+    digest = hashlib.sha256(word.encode()).digest()
+    return int.from_bytes(digest[4:8], "big"), 1.0 if digest[0] >= 128 else -1.0
+
+
 def embed_text(text: str, dimensions: int = 64) -> list[float]:
     """The offline embedding of one text, in one pass over its words."""
     out = [0.0] * dimensions
-    for word in text.lower().split():
-        digest = hashlib.sha256(word.encode()).digest()
-        out[int.from_bytes(digest[4:8], "big") % dimensions] += 1.0 if digest[0] >= 128 else -1.0
+    for place, sign in map(_placed, text.lower().split()):
+        out[place % dimensions] += sign
     norm = sum(x * x for x in out) ** 0.5
     return [x / norm for x in out] if norm else out
 
 
 #: Requests that one task has under way.
 CONCURRENCY = 4
+#: Most rows of an Arrow batch of texts to embed.
+TEXTS = 1_000
 
 
 def embedded(chunks: DataFrame, embedder: Embedder | None = None, column: str = "content") -> DataFrame:
     """``chunks`` with an ``embedding`` of a text column, null where the service failed for its batch after all tries.
 
-    Texts stream to the service in batches of ``batch_size``, a few at once in each task.
+    Texts stream to the service in batches of ``batch_size``, a few at once in each task. The session's Arrow batches are held to
+    TEXTS rows, so that a task has few whole texts at a time, however many its part of the input holds.
     """
     service = embedder or OfflineEmbedder()
+    conf, name = chunks.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= TEXTS:
+        conf.set(name, str(TEXTS))
 
     def batch(texts: list[str]) -> list[list[float] | None]:
         try:

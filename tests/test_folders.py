@@ -389,6 +389,19 @@ def test_near_pairs_are_no_rows(spark):
     assert twice.count() == 2
 
 
+def test_few_whole_texts_reach_an_embedding_task_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        got = providers.embedded(spark.range(5000).select(F.concat(F.lit("word "), F.col("id").cast("string")).alias("content")))
+        assert int(spark.conf.get(key)) == providers.TEXTS < 5000
+        assert got.where(F.size("embedding") == 64).count() == 5000
+        assert providers._placed.cache_info().maxsize == providers.WORDS
+    finally:
+        spark.conf.set(key, before)
+
+
 # -- ignore files
 
 
