@@ -7,7 +7,10 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,20 +80,44 @@ def stats(found: DataFrame) -> DataFrame:
 
 #: Notes of a part; when there are more on average, parts are cut in two.
 NOTES_PER_PART = 4096
+#: Bits of a row's slot; a part is a span of slots.
+SLOT_BITS = 30
+#: Spans of slots that a scan is given as a condition; more are joined.
+SPANS = 64
 #: Seconds for which files that no current manifest names are kept for readers that began before, and for runs under way.
 RETAIN = 7 * 24 * 3600
 
 
+def _nothing() -> dict:
+    return {"bits": 0, "notes": 0, "tables": {n: {"folders": [], "wrote": [], "current": [[-1, 1 << SLOT_BITS]]} for n in TABLES}}
+
+
+def _slot(column: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - SLOT_BITS).cast("int")
+
+
+def _owners(table: dict, bits: int) -> np.ndarray:
+    """For each part the place of the folder that is current for it, or -1."""
+    place, slots = np.array(table["current"], np.int64).T
+    return np.repeat(place, slots >> (SLOT_BITS - bits))
+
+
+def _slots(parts: np.ndarray, bits: int) -> int:
+    return int(parts.sum()) << (SLOT_BITS - bits)
+
+
 @dataclass
 class Index:
-    """Chunk, fact and metadata tables in Parquet below ``root``, cut into parts by the last bits of a hash of the path.
+    """Chunk, fact and metadata tables in Parquet below ``root``, cut into parts by the first bits of a hash of the path.
 
-    A manifest names the folder that holds each part of each table, as ``bits.part``. A run writes folders for the
-    parts it touches and then a new manifest under the next number, whose creation fails if another run has made it
-    meanwhile; readers take the manifest with the highest number. So a failed run leaves the tables as they were, and a
-    new process finds them again. When parts grow beyond ``notes_per_part`` notes, the number of bits grows: a part
-    that a run touches is written anew as parts of more bits, the others stay as they lie. ``vacuum`` deletes folders that
-    are no longer named.
+    A run writes one folder a table, with the rows of all parts that it touches, in as many files as their bytes ask for and sorted
+    by ``slot``, the hash's first bits; the rows that those parts have in earlier folders aren't current any more. A manifest names each
+    table's folders and the one that is current for each part. It is written last, under the next number, whose creation
+    fails if another run has made it meanwhile; readers take the manifest with the highest number. So a failed run leaves the
+    tables as they were, and a new process finds them again. When parts grow beyond ``notes_per_part`` notes, the number of
+    bits grows, and no row moves. A run takes over the rest of a folder that is current for no more parts than it writes, or for less
+    than half of what was written: so a table has few folders, however many runs and parts, and at least half of what it holds is
+    current. ``vacuum`` deletes folders that are no longer named.
 
     ``embedder`` and ``chat`` are the model services (offline ones by default); without ``facts`` none are extracted; a
     ``counter`` counts tokens with a tokenizer.
@@ -122,10 +149,14 @@ class Index:
         return {int(n[:-5]): t for n, t in self._names("manifests") if n.endswith(".json") and not n.startswith(".")}
 
     def manifest(self, number: int | None = None) -> tuple[int, dict]:
-        """Number and content, ``{"bits", "notes", "tables": {table: {"bits.part": folder}}}``, of the newest manifest; 0 and none at first."""
+        """Number and content of the newest manifest; 0 and none at first.
+
+        ``{"bits", "notes", "tables": {table: {"folders", "wrote", "current"}}}``: folders, the slots that each was written for, and
+        ``[place of a folder, slots]`` one after the other.
+        """
         number = max(self._numbers(), default=0) if number is None else number
         if not number:
-            return 0, {"bits": 0, "notes": 0, "tables": {n: {} for n in TABLES}}
+            return 0, _nothing()
         stream = self._files().open(self._path(f"manifests/{number}.json"))
         try:
             return number, json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
@@ -147,13 +178,31 @@ class Index:
     # reading
     def table(self, name: str) -> DataFrame:
         """A table as the newest manifest has it."""
-        return self._read(name, self.manifest()[1]["tables"][name].values())
-
-    def _read(self, name: str, folders) -> DataFrame:
-        where = sorted(folders)
-        if not where:
+        return self._read(name, self.manifest()[1])
+
+    def _read(self, name: str, held: dict, taken: np.ndarray | None = None) -> DataFrame:
+        """The current rows of a table; with ``taken``, of those parts alone."""
+        table, bits = held["tables"][name], held["bits"]
+        owner, read = _owners(table, bits), self.spark.read.schema(f"{TABLES[name]}, slot int")
+        whole, some = [], []
+        for i, folder in enumerate(table["folders"]):
+            parts = owner == i if taken is None else (owner == i) & taken
+            if _slots(parts, bits) == table["wrote"][i]:
+                whole.append(f"{self.root}/{folder}")
+            elif parts.any():
+                some.append(self._of_parts(read.parquet(f"{self.root}/{folder}"), parts, bits))
+        found = ([read.parquet(*whole)] if whole else []) + some
+        if not found:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.root}/{f}" for f in where])
+        return reduce(DataFrame.unionByName, found).drop("slot")
+
+    def _of_parts(self, rows: DataFrame, parts: np.ndarray, bits: int) -> DataFrame:
+        """Rows of the marked parts: few spans of slots skip pages of the files, many are a join."""
+        ends = np.flatnonzero(np.diff(parts.astype(np.int8), prepend=0, append=0)).reshape(-1, 2) << (SLOT_BITS - bits)
+        if len(ends) <= SPANS:
+            return rows.where(reduce(Column.__or__, [F.col("slot").between(a, b - 1) for a, b in ends.tolist()]))
+        marked = self.spark.createDataFrame(pa.table({"part": np.flatnonzero(parts)}))
+        return rows.withColumn("part", F.shiftright("slot", SLOT_BITS - bits).cast("long")).join(F.broadcast(marked), "part", "left_semi").drop("part")
 
     def counts(self) -> DataFrame:
         """One row ``(notes, chunks, facts)``: rows of the tables."""
@@ -162,7 +211,7 @@ class Index:
 
     # writing
     def wipe(self) -> None:
-        self._publish(self.manifest()[0] + 1, {"bits": 0, "notes": 0, "tables": {n: {} for n in TABLES}})
+        self._publish(self.manifest()[0] + 1, _nothing())
 
     def update(self, files: DataFrame, only: DataFrame | None = None) -> DataFrame:
         """Bring the tables up to a table ``files(path, content, mtime, size)``; with ``only(path)``, those paths alone, whatever their times.
@@ -192,7 +241,7 @@ class Index:
     def _run(self, listing: DataFrame, read: Callable[[DataFrame, DataFrame], DataFrame], only: DataFrame | None) -> DataFrame:
         number, held = self.manifest()
         run = f"run-{number + 1}-{uuid.uuid4().hex}"
-        meta = self._read("meta", held["tables"]["meta"].values())
+        meta = self._read("meta", held)
         if only is not None:
             meta = meta.join(only.select("path").distinct(), "path", "left_semi")
         rows = compared(listing, meta)
@@ -210,8 +259,11 @@ class Index:
         made["meta"] = moved.where("state <> 'removed'").select("path", "mtime", "size", "content_hash")
         stale = moved.where("state <> 'touched'")
         held["notes"] += self.counted.pop("new") - self.counted["removed"]
-        held["bits"] = max(held["bits"], (max(1, held["notes"]) // self.notes_per_part).bit_length())
-        tables = {n: self._merged(n, moved if n == "meta" else stale, new, held, run) for n, new in made.items()}
+        held["bits"] = min(SLOT_BITS, max(held["bits"], (max(1, held["notes"]) // self.notes_per_part).bit_length()))
+        all_parts, stale_parts = self._touched(moved, held["bits"])
+        tables = {
+            n: self._merged(n, moved, all_parts, new, held, run) if n == "meta" else self._merged(n, stale, stale_parts, new, held, run) for n, new in made.items()
+        }
         self._publish(number + 1, held | {"tables": tables})
         return self.report()
 
@@ -265,35 +317,44 @@ class Index:
         return out
 
     @staticmethod
-    def _part(column: str, bits: int) -> Column:
-        return F.xxhash64(column).bitwiseAND((1 << bits) - 1)
-
-    def _merged(self, name: str, stale: DataFrame, new: DataFrame, held: dict, run: str) -> dict[str, str]:
-        """The folders of a table after this run; only parts with a stale or new note are read and written.
+    def _touched(moved: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each part, whether a note of it is in ``moved``, and whether one is that isn't merely touched.
 
         As many numbers as the run touches parts reach the driver, which keeps the manifest.
         """
-        bits, folders = held["bits"], dict(held["tables"][name])
-        touched = {r[0] for r in stale.select(self._part("path", bits).alias("p")).distinct().collect()}
-        if not touched:
-            return folders
-        old = [k for k in folders if any(self._covers(k, p) for p in touched)] if len(touched) < 1000 else [k for k in folders if self._touched(k, touched, bits)]
-        rows = without(self._read(name, [folders.pop(k) for k in old]), stale, NOTE[name]).unionByName(new)
-        rows = rows.withColumn("part", self._part(NOTE[name], bits)).repartition("part").sortWithinPartitions("part", NOTE[name])
-        rows.write.partitionBy("part").parquet(f"{self.root}/{run}/{name}")
-        filled = [n for n, _ in self._names(f"{run}/{name}") if n.startswith("part=")]
-        return folders | {f"{bits}.{n[5:]}": f"{run}/{name}/{n}" for n in filled}
-
-    @staticmethod
-    def _covers(key: str, part: int) -> bool:
-        """Whether a folder of fewer or equal bits holds a part's rows."""
-        own, number = map(int, key.split("."))
-        return part & ((1 << own) - 1) == number
-
-    @staticmethod
-    def _touched(key: str, parts: set[int], bits: int) -> bool:
-        own, number = map(int, key.split("."))
-        return any(p in parts for p in range(number, 1 << bits, 1 << own))
+        part = F.shiftright(_slot("path"), SLOT_BITS - bits)
+        found = moved.groupBy(part.alias("part")).agg(F.bool_or(F.col("state") != "touched").alias("stale")).toArrow()
+        both = np.zeros((2, 1 << bits), bool)
+        both[0, found["part"].to_numpy()] = True
+        both[1, found["part"].to_numpy()] = found["stale"].to_numpy()
+        return both[0], both[1]
+
+    def _merged(self, name: str, stale: DataFrame, touched: np.ndarray, new: DataFrame, held: dict, run: str) -> dict:
+        """A table's entry in the manifest after this run; only parts with a stale or new note, and those taken over, are read and written."""
+        table, bits = held["tables"][name], held["bits"]
+        if not touched.any():
+            return table
+        owner, wrote = _owners(table, bits), np.array(table["wrote"], np.int64) >> (SLOT_BITS - bits)
+        taken = touched | (owner < 0)
+        while True:
+            rest = np.bincount(owner[~taken], minlength=len(wrote))
+            over = (rest > 0) & ((rest <= taken.sum()) | (2 * rest < wrote))
+            if not over.any():
+                break
+            taken |= over[owner]
+        rows = without(self._read(name, held, taken), stale, NOTE[name]).unionByName(new)
+        rows.withColumn("slot", _slot(NOTE[name])).repartition("slot").sortWithinPartitions("slot", NOTE[name]).write.parquet(f"{self.root}/{run}/{name}")
+        left = np.flatnonzero(rest)
+        place = np.full(len(wrote) + 1, len(left))
+        place[left] = np.arange(len(left))
+        owner = np.where(taken, len(left), place[owner])
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        spans = np.diff(first, append=len(owner)) << (SLOT_BITS - bits)
+        return {
+            "folders": [table["folders"][i] for i in left] + [f"{run}/{name}"],
+            "wrote": [table["wrote"][i] for i in left] + [_slots(taken, bits)],
+            "current": np.stack([owner[first], spans], 1).tolist(),
+        }
 
     def report(self) -> DataFrame:
         """One row of the last run's counts: ``(indexed, skipped, removed, chunks, facts, errors)``.
@@ -312,16 +373,13 @@ class Index:
         """
         numbers, now, fs = self._numbers(), time.time(), self._files()
         kept = set(sorted(numbers)[-versions:]) | {n for n, t in numbers.items() if now - t < retain}
-        named = {f for n in kept for folders in self.manifest(n)[1]["tables"].values() for f in folders.values()}
+        named = {f for n in kept for table in self.manifest(n)[1]["tables"].values() for f in table["folders"]}
         gone = 0
         for run, made in self._names(""):
             if not run.startswith("run-") or (int(run.split("-")[1]) > max(numbers, default=0) and now - made < max(retain, 3600)) or now - made < retain:
                 continue
-            inner = [(f"{run}/{t}/{p}", f"{run}/{t}") for t, _ in self._names(run) for p, _ in (self._names(f"{run}/{t}") if t in TABLES else [])]
-            if not any(f in named for f, _ in inner):
-                gone += fs.delete(self._path(run), True)
-                continue
-            spare = [f for f, _ in inner if f not in named and "/part=" in f] + [f"{run}/{t}" for t, _ in self._names(run) if t not in TABLES]
+            inner = [f"{run}/{t}" for t, _ in self._names(run)]
+            spare = [f for f in inner if f not in named] if any(f in named for f in inner) else [run]
             gone += sum(fs.delete(self._path(f), True) for f in spare)
         for n in set(numbers) - kept:
             fs.delete(self._path(f"manifests/{n}.json"), False)

@@ -204,6 +204,24 @@ def test_parts_grow_and_vacuum_bounds_the_folder(spark, tmp_path):
     assert again.counts().first().asDict() == {"notes": 2, "chunks": 2, "facts": 0}
 
 
+def test_parts_share_files(spark, tmp_path):
+    """Folders and files don't grow with the parts; rows are the same whichever parts a run touches."""
+    ix, want = index.Index(spark, f"file://{tmp_path}/ix", notes_per_part=1), {}
+    for t, step in enumerate((1, 3, 50, 2), 1):
+        want |= {f"n{i}.md": f"text {t} of the note {i}" for i in range(0, 300, step)}
+        rows = [(p, c, float(c[5]), 9) for p, c in want.items()]
+        ix.update(spark.createDataFrame(rows, "path string, content string, mtime double, size bigint"))
+        table = ix.manifest()[1]["tables"]["chunks"]
+        assert len(table["folders"]) <= t and sum(n for _, n in table["current"]) == 1 << index.SLOT_BITS
+        assert {r.source_path: r.content.split("\n", 1)[1] for r in ix.table("chunks").collect()} == want
+    assert ix.manifest()[1]["bits"] == 9 and len(list((tmp_path / "ix").rglob("*.parquet"))) < 100
+    held = ix.manifest()[1]
+    some = np.arange(1 << 9) % 3 == 0  # more spans than a condition holds
+    got = {r.path for r in ix._read("meta", held, some).collect()}
+    slot = {r.path: r.slot for r in spark.createDataFrame([(p,) for p in want], "path string").select("path", index._slot("path").alias("slot")).collect()}
+    assert got == {p for p in want if (slot[p] >> (index.SLOT_BITS - 9)) % 3 == 0}
+
+
 def test_settings_take_effect(spark, tmp_path):
     root = tmp_path / "v"
     put(root, **{"a.md": "First sentence is here now. " * 20 + "\n\nname: value"})
