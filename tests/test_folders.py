@@ -9,6 +9,7 @@ import threading
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 import yaml
 from pyspark.sql import functions as F
@@ -472,6 +473,63 @@ def test_watched_batches(spark, tmp_path):
     assert runs[1:] == [["c.md", "d.md"], ["c.md"], ["f.md"]]
 
 
+class Kept(dict):
+    """A state variable in memory that counts its calls."""
+
+    calls = 0
+
+    def counted(f):  # noqa: N805
+        def call(self, *a):
+            Kept.calls += 1
+            return f(self, *a)
+
+        return call
+
+    updateValue, getValue = counted(dict.__setitem__), counted(dict.get)
+    removeKey, containsKey = counted(dict.pop), counted(dict.__contains__)
+    iterator, keys = (lambda self: iter(list(self.items()))), (lambda self: iter(list(dict.keys(self))))
+    exists, get, update = (lambda self: 0 in self), (lambda self, *a: dict.get(self, *(a or (0,)))), (lambda self, v: self.__setitem__(0, v))
+
+
+class Store(dict):
+    def getMapState(self, name, *_):
+        return self.setdefault(name, Kept())
+
+    getValueState = getMapState
+    listTimers = lambda self: ()
+    registerTimer = deleteTimer = lambda self, at: self.__setitem__("timer", at)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 64])
+def test_changes_are_held_in_blocks(monkeypatch, most):
+    """The watcher's calls of the state store follow the Arrow batches, not the changes; the last changes are a plain reading's."""
+    monkeypatch.setattr(changes, "HELD", most, raising=False)
+    rng, gap, held, got, want, seen = random.Random(5), 1_000_000, changes.Settling(1_000_000), [], {}, []
+    held.init(Store())
+    clock = lambda now: type("Timers", (), {"getCurrentWatermarkInMs": lambda self: now // 1000})()
+    Kept.calls = 0
+    for step in range(4):
+        rows = [(step * 40_000_000 + rng.randrange(50) * 900_000, rng.choice([None, *(f"p{i}.md" for i in range(40))]), rng.choice("xyz")) for _ in range(2_000)]
+        rows = [r for r in rows if (r[0] // 900_000) % 7] + [(None, "p.md", "x")]
+        seen += rows[:-1]
+        frames = [pd.DataFrame(rows[i : i + 500], columns=["us", "path", "change_type"]) for i in range(0, len(rows), 500)]
+        assert not list(held.handleInputRows(("v",), iter(frames), None))
+        got += [f for f in held.handleExpiredTimer(("v",), clock(step * 40_000_000), None)]
+    got += list(held.handleExpiredTimer(("v",), clock(10**12), None))
+    start = before = None
+    ends = {}
+    for us, path, change in sorted(seen, key=lambda r: r[0]):
+        start = us if before is None or us - before > gap else start
+        before = ends[start] = us
+        if path:
+            want[start, path] = max(want.get((start, path), (us, "")), (us, change))
+    rows = [(r.start.value // 1000, r.end.value // 1000, r.path, r.change_type) for f in got for r in f.itertuples()]
+    assert len(ends) > 10 and sorted(rows) == sorted((s, ends[s] + gap, p, c) for (s, p), (_, c) in want.items())
+    assert not held.blocks and not held.open
+    if most > len(seen):
+        assert Kept.calls < len(seen) / 10
+
+
 def test_batches_of_a_table(spark):
     rng, rows = random.Random(2), []
     for key in ("a", "b"):
