@@ -64,17 +64,19 @@ class _Lister(DataSourceReader):
         self.root, self.folders, self.named = root, folders, named
 
     def partitions(self) -> list[_Folders]:
-        """Folders dealt round; the driver opens levels of folders, and reads their folders' names alone, until there are enough."""
+        """Folders dealt round; the driver opens one after the other until there are enough, or they held so many files that tasks should go on."""
         from pyarrow import fs
 
         store, base = store_of(self.root)
         if store.get_file_info(base).type != fs.FileType.Directory:
             raise NotADirectoryError(self.root)
         opened: list[str] = []
-        ahead = [""]
-        while ahead and len(opened) + len(ahead) < self.folders:
-            below = [path for folder in ahead for path, info in entries(store, base, folder) if info.type == fs.FileType.Directory]
-            opened, ahead = opened + ahead, sorted(below)
+        ahead, seen = [""], 0
+        while ahead and len(opened) + len(ahead) < self.folders and seen < BATCH_ROWS:
+            opened.append(ahead.pop(0))
+            found = entries(store, base, opened[-1])
+            seen += len(found)
+            ahead += sorted(path for path, info in found if info.type == fs.FileType.Directory)
         n = max(1, min(self.folders, len(opened) + len(ahead)))
         return [_Folders(opened[i::n], ahead[i::n]) for i in range(n)]
 

@@ -62,6 +62,19 @@ def test_many_folders_are_dealt_out(tmp_path):
         assert len(parts) <= folders and len(rows) == len({r["path"] for r in rows}) == 7 + 40 + 40
 
 
+def test_folders_with_many_files_are_left_to_tasks(tmp_path, monkeypatch):
+    for d in range(6):
+        for i in range(30):
+            put(tmp_path, **{f"d{d}__e__n{i}.md": "x"})
+    opened, plain = [], files.entries
+    monkeypatch.setattr(files, "entries", lambda store, base, folder, *a: opened.append(folder) or plain(store, base, folder, *a))
+    monkeypatch.setattr(files, "BATCH_ROWS", 40)
+    reader = files._Lister(str(tmp_path), 256, frozenset())
+    parts = reader.partitions()
+    assert opened == ["", *(f"d{d}" for d in range(6)), "d0/e"] and len(parts) == 13  # five of the folders with files aren't opened by the driver
+    assert sorted(p for part in parts for b in reader.read(part) for p in b["path"].to_pylist() if p.endswith(".md")) == sorted(f"d{d}/e/n{i}.md" for d in range(6) for i in range(30))
+
+
 def test_empty_notes_and_folders_are_read(spark, folder):
     lake = api.Vault(spark, str(folder))
     assert [(r.name, r.is_dir) for r in lake.ls().collect()] == [("_u", True), ("a.md", False), ("bad.md", False), ("d", True), ("e.md", False), ("empty", True), ("s p", True)]
