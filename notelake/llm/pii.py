@@ -37,6 +37,8 @@ LOOSE = (
     ("phone", r"(?<![0-9])(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{3,4}(?![0-9])"),
 )
 _CUES = r"(?i)\b(?:e-?mail|mail|contact|call|tel|phone|fax|mobile|card|visa|iban|account|ip|host|server|address)\b"
+#: Place, among a candidate's features, of whether it passes its kind's test.
+PASSES = 8
 _VERSION = r"(?i)\b(?:version|v|release|section|page|no|id|isbn|doi)\W{0,3}$"
 
 
@@ -210,8 +212,17 @@ def planted_variants(docs: DataFrame) -> DataFrame:
     Only forms that the base patterns don't find there. A phone or an email in a form that is no datum by itself may well be one after a word that
     announces it: where the surroundings have such a word, it is left out.
     """
+    return _planted(_with_base(docs))
+
+
+def _with_base(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, t)`` with the base spans of each kind."""
+    return docs.select("doc_id", "t", *[c.alias(f"b_{k}") for k, c in base_spans(F.col("t")).items()])
+
+
+def _planted(found: DataFrame) -> DataFrame:
+    """``planted_variants`` of ``_with_base``'s result."""
     rows = []
-    found = docs.select("doc_id", "t", *[c.alias(f"b_{k}") for k, c in base_spans(F.col("t")).items()])
     for kind in KINDS:
         seen = found.select("doc_id", "t", F.explode(f"b_{kind}").alias("b")).select("doc_id", "t", "b", F.explode(_variants(kind, F.col("b.m"))).alias("v"))
         before = F.substring(F.col("t"), F.greatest(F.lit(1), F.col("b.s") - 2 * CONTEXT + 1), F.least(F.lit(2 * CONTEXT), F.col("b.s")))
@@ -228,6 +239,19 @@ def planted_variants(docs: DataFrame) -> DataFrame:
     return every.where(hidden)
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """``(doc_id, t, b_<kind>, c_<generator>)`` of every row of ``docs(doc_id, text)``: base spans as ``(s, e, m)``, candidates clear of them as ``(s, e, f)``.
+
+    ``f`` has a candidate's features. All that learning and scoring need of the whole texts, so that each text is searched once.
+    """
+    found = _with_base(docs.select("doc_id", text_of(docs).alias("t")))
+    found = found.withColumn("base", _all_base({k: F.col(f"b_{k}") for k in KINDS}))
+    clear = lambda x: ~_overlaps(F.col("base"), x)
+    seen = lambda g: lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array(*_features(F.col("t"), x, g)).alias("f"))
+    more = [F.transform(F.filter(_loose(F.col("t"), g), clear), seen(g)).alias(f"c_{g}") for g in range(len(LOOSE))]
+    return found.select("doc_id", "t", *[f"b_{k}" for k in KINDS], *more)
+
+
 def _limit(model: boosting.Boosted, cells: list[boosting.Cell]) -> tuple[float, float]:
     """Smallest margin at which the held-out candidates reach PRECISION, and how many positives are there."""
     for m in sorted({model.margin(x) for x, _, _ in cells}):
@@ -247,17 +271,21 @@ def fit_trees(docs: DataFrame) -> tuple[boosting.Boosted, dict[int, float]]:
     their ids, thresholds on the other; both see counts of feature combinations alone. A generator with under SUPPORT positives there takes the threshold of all generators together, even odds
     at least; where those have fewer too, it adds nothing.
     """
+    return _fitted(materialize(candidates(docs), "pii_candidates"))
+
+
+def _fitted(found: DataFrame) -> tuple[boosting.Boosted, dict[int, float]]:
+    """``fit_trees`` of the result of ``candidates``."""
     half = (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)) == 0).alias("half")
-    known = docs.select("doc_id", text_of(docs).alias("t")).where("doc_id is not null").where(F.col("t").rlike(r"[0-9@]|(?i:[\[( ]at[\]) ])"))
-    planted = materialize(planted_variants(known), "pii_forms").select("*", half)
-    base = known.select("t", half, _all_base(base_spans(F.col("t"))).alias("base"))
+    known = found.where("doc_id is not null")
+    planted = materialize(_planted(known), "pii_forms").select("*", half)
     groups = []
     place = F.struct(F.col("s").alias("s"), F.col("e").alias("e"))
     for k, (kind, _) in enumerate(LOOSE):
-        names = [c.alias(f"f{i}") for i, c in enumerate(_features(F.col("t"), F.col("x"), k))]
-        real = base.select("half", "t", "base", F.explode(_loose(F.col("t"), k)).alias("x"))
-        real = real.where(~_overlaps(F.col("base"), F.col("x")) & ~_passes(F.col("x.m"), kind))
-        groups.append(real.select("half", *names, F.lit(False).alias("y")))
+        features = _features(F.col("t"), F.col("x"), k)
+        names = [c.alias(f"f{i}") for i, c in enumerate(features)]
+        real = known.select(half, F.explode(f"c_{k}.f").alias("f")).select("half", *[F.col("f")[i].alias(f"f{i}") for i in range(len(features))])
+        groups.append(real.where(F.col(f"f{PASSES}") == 0).withColumn("y", F.lit(False)))
         touched = planted.select("half", "t", "kind", "y", place.alias("p"), F.explode(_loose(F.col("t"), k)).alias("x"))
         touched = touched.where((F.col("p.s") < F.col("x.e")) & (F.col("x.s") < F.col("p.e")))
         same = (F.col("p.s") == F.col("x.s")) & (F.col("p.e") == F.col("x.e")) & (F.col("kind") == kind) & (F.col("y") == 1)
@@ -286,9 +314,9 @@ def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
 
 
-def _chosen(trees: boosting.Boosted, generator: int, limit: float):
-    """Whether a candidate is clear of base spans and scores at or over its threshold."""
-    return lambda x: ~_overlaps(F.col("base"), x) & (trees.column(_features(F.col("t"), x, generator)) >= limit)
+def _scored(trees: boosting.Boosted, limit: float):
+    """Whether a candidate scores at or over its threshold."""
+    return lambda x: trees.column([x["f"][i] for i in range(PASSES + 1)]) >= limit
 
 
 def find_pii(docs: DataFrame, model: tuple[boosting.Boosted, dict[int, float]] | None = None) -> DataFrame:
@@ -305,20 +333,23 @@ def find_pii(docs: DataFrame, model: tuple[boosting.Boosted, dict[int, float]] |
     Returns ``(doc_id, t, n_email, n_ip, n_card, n_phone, base, spans)``; ``base`` and ``spans``
     are arrays of ``(s, k, e)``, k the kind's place in KINDS.
     """
-    trees, limits = model or fit_trees(docs)
-    rows = docs.select("doc_id", text_of(docs).alias("t"))
+    every = candidates(docs)
+    if model is None:
+        every = materialize(every, "pii_candidates")
+        model = _fitted(every)
+    trees, limits = model
     b = {k: F.col(f"b_{k}") for k in KINDS}
-    found = rows.select("doc_id", "t", *[c.alias(f"b_{k}") for k, c in base_spans(F.col("t")).items()])
-    tagged = [_tagged(b[k], i) for i, k in enumerate(KINDS)]
-    found = found.select("doc_id", "t", *[F.size(b[k]).cast("long").alias(f"n_{k}") for k in KINDS], F.flatten(F.array(*tagged)).alias("base"))
+    base = F.flatten(F.array(*[_tagged(b[k], i) for i, k in enumerate(KINDS)])).alias("base")
     more = []
     for g, (kind, _) in enumerate(LOOSE):
         if not math.isfinite(limits.get(g, math.inf)):
             continue
-        more.append(_tagged(F.filter(_loose(F.col("t"), g), _chosen(trees, g, limits[g])), KINDS.index(kind)))
+        high = F.filter(f"c_{g}", _scored(trees, limits[g]))
+        more.append(_tagged(high, KINDS.index(kind)))
+    columns = ["doc_id", "t", *[F.size(b[k]).cast("long").alias(f"n_{k}") for k in KINDS], base]
     if not more:
-        return found.withColumn("spans", F.col("base"))
-    found = found.withColumn("more", F.flatten(F.array(*more)))
+        return every.select(*columns).withColumn("spans", F.col("base"))
+    found = every.select(*columns, F.flatten(F.array(*more)).alias("more"))
     clear = lambda x: ~F.exists(
         F.col("more"),
         lambda o: (o["s"] < x["e"]) & (x["s"] < o["e"]) & ((o["s"] < x["s"]) | ((o["s"] == x["s"]) & ((o["e"] > x["e"]) | ((o["e"] == x["e"]) & (o["k"] < x["k"]))))),

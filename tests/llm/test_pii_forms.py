@@ -31,3 +31,16 @@ def test_all_documents_are_learned_from(spark, monkeypatch):
     monkeypatch.setattr(pii, "TRAIN_DOCS", 1, raising=False)
     _, limits = pii.fit_trees(table(spark, 400, 0.02)[0])
     assert all(x < float("inf") for x in limits.values())
+
+
+def test_texts_are_searched_once(spark):
+    df = table(spark, 200, 0.02)[0]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    assert pii.find_pii(df.mapInArrow(counted, df.schema)).count() == 200
+    assert read.value == 200
