@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import materialize, text_of
+from .common import discard, materialize, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Held-out precision that a generator's threshold must reach, and positives it must be seen on.
@@ -271,7 +271,10 @@ def fit_trees(docs: DataFrame) -> tuple[boosting.Boosted, dict[int, float]]:
     their ids, thresholds on the other; both see counts of feature combinations alone. A generator with under SUPPORT positives there takes the threshold of all generators together, even odds
     at least; where those have fewer too, it adds nothing.
     """
-    return _fitted(materialize(candidates(docs), "pii_candidates"))
+    found = materialize(candidates(docs), "pii_candidates")
+    model = _fitted(found)
+    discard(found)
+    return model
 
 
 def _fitted(found: DataFrame) -> tuple[boosting.Boosted, dict[int, float]]:

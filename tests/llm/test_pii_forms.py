@@ -1,8 +1,11 @@
 """fit_trees and find_pii end to end on forms that the base patterns don't take."""
 
+from pathlib import Path
+
 import pytest
 
 from notelake.llm import pii
+from notelake.llm.common import shared_dir
 
 
 def table(spark, n, share):
@@ -44,3 +47,10 @@ def test_texts_are_searched_once(spark):
 
     assert pii.find_pii(df.mapInArrow(counted, df.schema)).count() == 200
     assert read.value == 200
+
+
+def test_a_fit_leaves_no_copy_of_the_texts(spark):
+    root = Path(shared_dir(spark).removeprefix("file://"), "notelake")
+    before = set(root.glob("pii_candidates-*"))
+    pii.fit_trees(table(spark, 100, 0.02)[0])
+    assert root.is_dir() and set(root.glob("pii_candidates-*")) == before
